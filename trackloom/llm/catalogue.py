@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing
 
-MODULES = (mixing,)
+MODULES = (mixing, bpe)
 
 
 def queries() -> dict:
