@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, simhash
 
-MODULES = (mixing, bpe)
+MODULES = (mixing, bpe, simhash)
 
 
 def queries() -> dict:
