@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, media, mixing, simhash
 
-MODULES = (mixing, bpe, simhash)
+MODULES = (mixing, bpe, simhash, media)
 
 
 def queries() -> dict:
