@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, simhash
+from . import bpe, chat, media, mixing, simhash
 
-MODULES = (mixing, bpe, simhash, media)
+MODULES = (mixing, bpe, simhash, media, chat)
 
 
 def queries() -> dict:
