@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, simhash
+from . import bpe, chat, media, mixing, simhash, warc
 
-MODULES = (mixing, bpe, simhash, media, chat)
+MODULES = (mixing, bpe, simhash, media, chat, warc)
 
 
 def queries() -> dict:
