@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, simhash, warc
+from . import bpe, chat, media, mixing, simhash, topk, warc
 
-MODULES = (mixing, bpe, simhash, media, chat, warc)
+MODULES = (mixing, bpe, simhash, media, chat, warc, topk)
 
 
 def queries() -> dict:
