@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, simhash, topk, warc
+from . import bpe, chat, media, mixing, ngram, simhash, topk, warc
 
-MODULES = (mixing, bpe, simhash, media, chat, warc, topk)
+MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram)
 
 
 def queries() -> dict:
