@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, ngram, simhash, topk, warc
+from . import bpe, chat, media, mixing, ngram, quality, simhash, topk, warc
 
-MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram)
+MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram, quality)
 
 
 def queries() -> dict:
