@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,25 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1, 1), steps.reshape(-1).view("<u8"))), dtype=np.uint64)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: high bytes are mostly zero and cost next to nothing."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1) if len(x) else b""
+
+
+def stretch(data: bytes, n: int, kind: str) -> np.ndarray:
+    """``n`` integers of a kind (u or i), of the size they were squeezed from."""
+    if not n:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(planes.T).view(f"<{kind}{len(planes)}").ravel()
+
+
 def counts_bytes(x: np.ndarray) -> bytes:
-    return x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<u8").tobytes()
+    return squeeze(x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<u8"))
 
 
 def counts_of(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8").astype(np.int64)
+    return stretch(data, n, "u").astype(np.int64)
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -86,7 +100,7 @@ def cut(docs: DataFrame) -> DataFrame:
         def emit(role: int, held: list) -> pa.RecordBatch:
             _, ids, lengths, tokens, words = held
             vocab = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-            row = [uuid.uuid4().int >> 65, role, ids, np.array(lengths, "<i4").tobytes(), np.concatenate(tokens).astype("<i4").tobytes(), vocab.astype("<u8").tobytes(), sum(lengths)]
+            row = [uuid.uuid4().int >> 65, role, ids, np.array(lengths, "<i4").tobytes(), squeeze(np.concatenate(tokens).astype("<i4")), vocab.astype("<u8").tobytes(), sum(lengths)]
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in CHUNKS.split(", ")])
 
@@ -110,9 +124,9 @@ def cut(docs: DataFrame) -> DataFrame:
     return short_batches(docs.select("doc_id", "text", fold.alias("fold"))).mapInArrow(run, CHUNKS)
 
 
-def keyed(tokens: bytes, vocab: bytes) -> tuple:
+def keyed(tokens: bytes, n: int, vocab: bytes) -> tuple:
     """Per kind (words, pairs) the distinct keys, ascending, and for every token its place among them."""
-    tokens, hashes = np.frombuffer(tokens, "<i4"), np.frombuffer(vocab, "<u8").astype(np.uint64)
+    tokens, hashes = stretch(tokens, n, "i"), np.frombuffer(vocab, "<u8").astype(np.uint64)
     words, place = np.unique(hashes, return_inverse=True)
     token_word = place[tokens]
     token_hash = hashes[tokens]
@@ -129,15 +143,15 @@ def ask(chunks: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.array([-(-(i << 64) // ranges) for i in range(ranges)], np.uint64)
         for b in batches:
-            for chunk, role, tokens, vocab in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for kind, (keys, place) in enumerate(keyed(tokens, vocab)):
+            for chunk, role, tokens, n, vocab in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for kind, (keys, place) in enumerate(keyed(tokens, n, vocab)):
                     counts = np.bincount(place, minlength=len(keys))
                     edge = [*np.searchsorted(keys, starts).tolist(), len(keys)]
                     rows = [(i, chunk, role, kind, z - a, pack(keys[a:z]), counts_bytes(counts[a:z]) if role != HELD else b"") for i, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "range long, chunk long, role int, kind int, n long, keys binary, counts binary"
-    return chunks.select("chunk", "role", "tokens", "vocab").mapInArrow(run, schema)
+    return chunks.select("chunk", "role", "tokens", "n", "vocab").mapInArrow(run, schema)
 
 
 def answer(asked: DataFrame, ranges: int) -> DataFrame:
@@ -172,7 +186,7 @@ def answer(asked: DataFrame, ranges: int) -> DataFrame:
         if rows:
             yield add(*key, rows)
 
-    dealt = asked.repartition(ranges, "range").sortWithinPartitions("range", "kind")
+    dealt = asked.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "kind")
     return dealt.select("range", "kind", "chunk", "role", "n", "keys", "counts").mapInArrow(run, ANSWERS)
 
 
@@ -183,11 +197,11 @@ def with_answers(chunks: DataFrame, answers: DataFrame, work, schema: str, parts
     rows = rows.unionByName(answers.where("chunk is not null").select("chunk", "role", "kind", "range", "n", F.col("total").alias("a"), F.col("deleted").alias("b"), none("binary").alias("c"), none("array<long>").alias("ids")))
 
     def finish(base: tuple, parts: list) -> pa.RecordBatch:
-        role, lengths, tokens, vocab, ids = base
+        role, n, lengths, tokens, vocab, ids = base
         found = []
-        for kind, (keys, place) in enumerate(keyed(tokens, vocab)):
-            total = np.concatenate([counts_of(a, n) for k, n, a, _ in parts if k == kind])
-            deleted = np.concatenate([counts_of(b, n) for k, n, _, b in parts if k == kind]) if role == DELETED else None
+        for kind, (keys, place) in enumerate(keyed(tokens, n, vocab)):
+            total = np.concatenate([counts_of(a, m) for k, m, a, _ in parts if k == kind])
+            deleted = np.concatenate([counts_of(b, m) for k, m, _, b in parts if k == kind]) if role == DELETED else None
             found.append((place, total, deleted))
             if len(total) != len(keys):
                 raise ValueError("a chunk has not got all its answers")
@@ -200,7 +214,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, work, schema: str, parts
                 if kind < 0:
                     if key is not None:
                         yield finish(base, parts)
-                    key, base, parts = chunk, (role, a, bb, c, ids), []
+                    key, base, parts = chunk, (role, n, a, bb, c, ids), []
                 else:
                     parts.append((kind, n, a, bb))
         if key is not None:
