@@ -35,8 +35,9 @@ from .common import new_path, seeded, short_batches, stored, table
 
 DATE, SOFTWARE, SPACE = "2024-01-01T00:00:00Z", "trackloom", uuid.UUID("6f0d2c1e-8a53-5d7b-9a55-0c6f1f2b7a10")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes of a shard on average, compressed bytes after which a file is rolled, gzip level, sampled ids a shard.
-SHARD_BYTES, ROLL_BYTES, LEVEL, SAMPLED, SEED = 16 << 20, 8 << 20, 6, 32, 7
+#: Payload bytes of a shard on average, compressed bytes after which a file is rolled, gzip level, sampled ids a shard;
+#: and the most shards, beyond which they grow instead (the sample of ids on the driver is SAMPLED times that at most).
+SHARD_BYTES, ROLL_BYTES, LEVEL, SAMPLED, SEED, SHARDS = 16 << 20, 8 << 20, 6, 64, 7, 1 << 16
 MANIFEST = "shard long, seq long, temporary string, file string, records long, bytes long, sha256 string"
 
 
@@ -120,11 +121,12 @@ class Roller:
             self.out, self.seq = None, self.seq + 1
 
 
-def borders(ids: DataFrame, total_bytes: int, shard_bytes: int) -> np.ndarray:
-    """Ids at which shards begin, the same in every run."""
-    n = max(1, -(-total_bytes // shard_bytes))
-    sample = ids.where("page_id is not null").select("page_id", seeded(SEED, F.col("page_id")).alias("h")).distinct().orderBy("h", "page_id").limit(n * SAMPLED)
-    found = np.sort(np.array([r[0] for r in sample.collect()], np.int64))
+def borders(ids: DataFrame, rows: int, total_bytes: int, shard_bytes: int) -> np.ndarray:
+    """Ids at which shards begin, the same in every run: quantiles of the ids whose seeded hash is small enough, about SAMPLED a shard."""
+    n = min(SHARDS, max(1, -(-total_bytes // shard_bytes)))
+    share = min(1.0, n * SAMPLED / max(rows, 1))
+    sample = ids.where("page_id is not null").select("page_id").distinct().where(seeded(SEED, F.col("page_id")) < int(share * (1 << 60)))
+    found = np.sort(np.array([r[0] for r in sample.toLocalIterator()], np.int64))
     return np.unique(found[np.arange(1, n) * len(found) // n]) if len(found) else found
 
 
@@ -132,8 +134,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int =
     """Writes ``pages`` (page_id, url, html) to part-*.warc.gz in ``folder``, a URI that driver and executors share; returns the manifest."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     small = stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "payloads")
-    total = small.agg(F.sum("n")).first()[0] or 0
-    at = borders(small, total, shard_bytes)
+    count, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    at = borders(small, count, total, shard_bytes)
     groups = small.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     roles = small.where(F.col("n") >= least).join(groups, "digest").select("page_id", "digest", "response").distinct()
     none = lambda kind: F.lit(None).cast(kind)
