@@ -37,7 +37,7 @@ CHUNK_BYTES, RANGE_TOKENS, ROWS = 8 << 20, 1 << 20, 8
 #: Context buckets by powers of 2, histogram steps a power of e, EM rounds, weights where nothing is deleted.
 BUCKETS, STEPS, ROUNDS, DEFAULT = 32, 8, 60, (0.4, 0.4, 0.2)
 CHUNKS = "chunk long, role int, ids array<long>, lengths binary, tokens binary, vocab binary, n long"
-ANSWERS = "chunk long, role int, kind int, range long, n long, total binary, deleted binary"
+ANSWERS = "chunk long, role int, kind int, range long, n long, total binary, deleted binary, tokens long, words long"
 
 
 def pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -155,9 +155,9 @@ def ask(chunks: DataFrame, ranges: int) -> DataFrame:
 
 
 def answer(asked: DataFrame, ranges: int) -> DataFrame:
-    """Sums of the training counts, for every chunk in the order of its keys; and a row with chunk null, total: [tokens, words] of the range."""
-    names = ["chunk", "role", "kind", "range", "n", "total", "deleted"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """Sums of the training counts, for every chunk in the order of its keys; and a row with chunk null that has the range's training tokens and words."""
+    names = ["chunk", "role", "kind", "range", "n", "total", "deleted", "tokens", "words"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def add(rng: int, kind: int, rows: list) -> pa.RecordBatch:
         keys, place = np.unique(np.concatenate([unpack(k, n) for _, _, n, k, _ in rows]), return_inverse=True)
@@ -169,9 +169,9 @@ def answer(asked: DataFrame, ranges: int) -> DataFrame:
                 total[at] += c  # a chunk has a key once
                 if role == DELETED:
                     deleted[at] += c
-        out = [(chunk, role, kind, rng, n, counts_bytes(total[place[a : a + n]]), counts_bytes(deleted[place[a : a + n]]) if role == DELETED else b"") for (chunk, role, n, _, _), a in zip(rows, edge, strict=False)]
+        out = [(chunk, role, kind, rng, n, counts_bytes(total[place[a : a + n]]), counts_bytes(deleted[place[a : a + n]]) if role == DELETED else b"", None, None) for (chunk, role, n, _, _), a in zip(rows, edge, strict=False)]
         if kind == 0:
-            out.append((None, None, kind, rng, 2, np.array([total.sum(), np.count_nonzero(total)], "<i8").tobytes(), b""))
+            out.append((None, None, kind, rng, None, None, None, int(total.sum()), int(np.count_nonzero(total))))
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +268,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = max(8, -(-n_chunks // 2))
     short_batches(chunks, ROWS)
     answers = stored(answer(ask(chunks, ranges), ranges), "answers")
-    sums = [np.frombuffer(r[0], "<i8") for r in answers.where("chunk is null").select("total").toLocalIterator()]
-    n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
+    n, v = answers.where("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     left = n - deleted
 
     def histogram(role, ids, lengths, words, both) -> pa.RecordBatch:
