@@ -78,7 +78,7 @@ def detect_threshold(spark, sf_dir):
     """Rows whose residual exceeds five robust sigmas of their group, with their ratio to sigma."""
     x = t.neighbour_median(points(spark, sf_dir), ["event_type"], ["ts", "event_id"], "x").select("event_id", "event_type", (F.col("x") - F.col("background")).alias("residual"))
     s = t.robust_sigma(x, ["event_type"], "residual").where("sigma > 0")
-    return x.join(F.broadcast(s), "event_type").where("residual > 5 * sigma").select("event_id", rounded(F.col("residual"), 4).alias("peak"), rounded(F.col("residual") / F.col("sigma"), 2).alias("snr"))
+    return x.join(s, "event_type").where("residual > 5 * sigma").select("event_id", rounded(F.col("residual"), 4).alias("peak"), rounded(F.col("residual") / F.col("sigma"), 2).alias("snr"))
 
 
 def area_band(spark, sf_dir):
