@@ -108,10 +108,10 @@ def linked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(fp) distinct to links (u, v) whose components are those of all pairs at two or fewer bits."""
-    x = distinct.select("fp")
+    n = max(8, -(-distinct.count() * 32 // ANCHOR_ROWS), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = distinct.select("fp").repartition(n, "fp")  # the table may be one small file, but each row becomes up to 32
     low, high = F.col("fp").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(0x7FFFFFFF))
     keyed = x.select("fp", F.explode(F.concat(anchors(low), F.transform(anchors(high), lambda a: a.bitwiseOR(F.lit(1 << 31))))).alias("anchor"))
-    n = max(8, -(-distinct.count() * 32 // ANCHOR_ROWS), int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, values = np.empty(0, np.int64), np.empty(0, np.uint64)
