@@ -1,0 +1,47 @@
+import json
+
+import numpy as np
+
+from trackloom.__main__ import main
+from trackloom.kernels.fits import write_image
+from trackloom.operators.frames import pixels
+from trackloom.pipeline import Config, Run
+from trackloom.sources.fits import FitsDataSource
+
+
+def frame(i, moves=True):
+    y, x = np.mgrid[0:96, 0:96]
+    image = np.random.default_rng(i).normal(200, 4, (96, 96))
+    stars = [(*np.random.default_rng(k).uniform(12, 84, 2), 150) for k in range(30)]
+    for cx, cy, a in [*stars, *([(30 + 3 * i, 60 - 2 * i, 90)] if moves else [])]:
+        image += a * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / 4.5)
+    header = {"DATE-OBS": "2024/01/01", "TIME-OBS": f"{6 + i // 5:02d}:{i % 5 * 12:02d}:00.000", "TELESCOP": "SOHO", "INSTRUME": "LASCO", "DETECTOR": "C3", "EXPTIME": 18.0}
+    return write_image(image.astype(np.int16), header)
+
+
+def test_from_files_to_candidates(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for i in range(10):
+        (tmp_path / "in" / f"{i:08d}.fts").write_bytes(frame(i))
+    (tmp_path / "in" / "99999999.fts").write_bytes(b"no frame")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    run = Run(spark, source, out, Config())
+    assert run.failures().count() == 1 and run.images().count() == 10 and run.sequences().count() == 1
+    assert main(["run", source, out]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (said["frames"], said["failed"], said["sequences"]) == (10, 1, 1) and said["candidates"].get("HIGH_PRIORITY", 0) >= 1
+    best = run.features().orderBy("n_frames", ascending=False).first()
+    assert best.n_frames >= 8 and best.direction_consistency > 0.95 and best.frame_coverage > 0.8
+    assert main(["report", source, out, "--track-id", best.track_id]) == 0 and "## Key evidence" in capsys.readouterr().out
+    spark.dataSource.register(FitsDataSource)
+    rows = spark.read.format("fits").load(source).collect()
+    assert len(rows) == 11 and sum(r.error is not None for r in rows) == 1
+    good = next(r for r in rows if r.error is None)
+    assert pixels(good.data, good.height, good.width, good.dtype).mean() > 100
+
+
+def test_frames_without_a_partner_give_no_candidates(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "00000001.fts").write_bytes(frame(1))
+    run = Run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert run.candidates().count() == 0 and run.images().count() == 1

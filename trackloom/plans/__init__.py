@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sequencing", "index", "features", "evaluation", "text", "frames")
+MODULES = ("sequencing", "index", "features", "evaluation", "text", "frames", "streams")
 
 
 def queries() -> dict:

@@ -24,3 +24,16 @@ def get_session(name: str = "trackloom", master: str | None = None, **conf: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/trackloom-{name}-{uuid.uuid4().hex}"
