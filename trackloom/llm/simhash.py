@@ -114,8 +114,6 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = x.select("fp", F.explode(F.concat(anchors(low), F.transform(anchors(high), lambda a: a.bitwiseOR(F.lit(1 << 31))))).alias("anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, values = np.empty(0, np.int64), np.empty(0, np.uint64)
-
         def flush(key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.diff(key)) + 1
             start, stop = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
@@ -133,15 +131,21 @@ def links(distinct: DataFrame) -> DataFrame:
             if len(u):
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
+        keys, held = [], []  # of the last anchor, which may go on in the next batch
         for b in batches:
-            key = np.concatenate((key, b.column(0).to_numpy(zero_copy_only=False)))
-            values = np.concatenate((values, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            whole = np.searchsorted(key, key[-1]) if len(key) else 0  # the last anchor may go on in the next batch
-            if whole:
-                yield from flush(key[:whole], values[:whole])
-                key, values = key[whole:], values[whole:]
-        if len(key):
-            yield from flush(key, values)
+            key, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(key):
+                continue
+            keys.append(key)
+            held.append(values)
+            if key[-1] == keys[0][0]:
+                continue
+            key, values = np.concatenate(keys), np.concatenate(held)
+            whole = np.searchsorted(key, key[-1])
+            yield from flush(key[:whole], values[:whole])
+            keys, held = [key[whole:]], [values[whole:]]
+        if keys:
+            yield from flush(np.concatenate(keys), np.concatenate(held))
 
     dealt = keyed.select("anchor", "fp").repartition(n, "anchor").sortWithinPartitions("anchor")
     found = short_batches(dealt, 10_000).mapInArrow(run, "u long, v long")
