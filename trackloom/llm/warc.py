@@ -180,7 +180,12 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int =
                     raise FileNotFoundError(f"{path}/{name}")
             yield b
 
-    return stored(manifest.mapInArrow(commit, MANIFEST), "committed")
+    committed = stored(manifest.mapInArrow(commit, MANIFEST), "committed")
+    store, path = fs.FileSystem.from_uri(folder)
+    for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if f.base_name.startswith("_temporary-"):  # of attempts that lost
+            store.delete_file(f.path)
+    return committed
 
 
 def members(source: pa.NativeFile) -> Iterator[bytes]:
