@@ -106,6 +106,9 @@ def test_ranking_known_case(spark):
     d = spark.createDataFrame(list(zip(["r"] * 5, [1, 0, 1, 0, 0], [0.9, 0.8, 0.7, 0.6, 0.1], range(5), strict=True)), "run string, label int, score double, id int")
     r = ranking.report(d, ["run"], "label", "score", "id", (1, 4, 2)).first()
     assert r.average_precision == pytest.approx((1 + 2 / 3) / 2, abs=1e-6) and (r.precision_at_1, r.precision_at_4, r.recall_at_2, r.precision) == (1.0, 0.5, 0.5, 0.5)
+    assert tuple(ranking.report(d, [], "label", "score", "id", (1, 4, 2)).first()) == tuple(r)[1:]
+    odd = spark.createDataFrame([(1, 0.5, 1), (0, float("nan"), 2), (1, None, 3), (0, 0.7, 4)], "label int, score double, id int")
+    assert [(x.id, x.rank, x.hits) for x in ranking.ranked(odd, [], "label", "score", "id").orderBy("rank").collect()] == [(4, 1, 0), (1, 2, 1), (2, 3, 1), (3, 4, 2)]
     none = ranking.report(d.withColumn("label", F.lit(0)), ["run"], "label", "score", "id").first()
     assert (none.average_precision, none.recall_at_10, none.f1) == (0, 0, 0)
 

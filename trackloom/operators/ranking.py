@@ -21,10 +21,30 @@ def prf(df: DataFrame, keys: list[str], label: str, score: str, threshold: float
 
 
 def ranked(df: DataFrame, keys: list[str], label: str, score: str, tie: str) -> DataFrame:
-    """Adds ``rank`` by score, highest first, ties by ``tie``, NaN and null last; and ``hits``, positives up to there."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.when(~F.isnan(score), F.col(score))), tie)
-    hits = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({"rank": F.row_number().over(w), "hits": hits})
+    """Adds ``rank`` by score, highest first, ties by ``tie``, NaN and null last; and ``hits``, positives up to there. Without keys all rows are one ranking."""
+    known, one = F.when(~F.isnan(score), F.col(score)), F.when(F.col(label) == 1, 1).otherwise(0)
+    if not keys:
+        return ranked_together(df, known, one, tie)
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(known), tie)
+    return df.withColumns({"rank": F.row_number().over(w), "hits": F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+def ranked_together(df: DataFrame, score: Column, one: Column, tie: str, parts: int = 64) -> DataFrame:
+    """One ranking of all rows without one task that sorts them all.
+
+    Rows fall into buckets by approximate quantiles of the score; a row's rank and hits are those in its bucket plus
+    the sums of the buckets above, of which there are no more than parts + 1.
+    """
+    x = df.withColumns({"_s": score, "_one": one})
+    edges = x.select(F.percentile_approx("_s", [i / parts for i in range(1, parts)], 10_000).alias("e"))
+    x = x.crossJoin(F.broadcast(edges)).withColumn("_b", F.coalesce(F.size(F.filter("e", lambda e: e <= F.col("_s"))), F.lit(-1))).drop("e")
+    up = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_p"))
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_above"), F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_hits"))
+    w = Window.partitionBy("_b").orderBy(F.desc_nulls_last("_s"), tie)
+    x = x.join(F.broadcast(sums), "_b")
+    x = x.withColumns({"rank": F.col("_above") + F.row_number().over(w), "hits": F.col("_hits") + F.sum("_one").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return x.drop("_b", "_s", "_one", "_above", "_hits")
 
 
 def report(df: DataFrame, keys: list[str], label: str, score: str, tie: str, ks: tuple = (10, 50), threshold: float = 0.5, places: int = 6) -> DataFrame:
@@ -62,14 +82,6 @@ def recovery(scored: DataFrame, positives: DataFrame, item: str, event: str, seq
     return g.select(event, (F.col("n_positive_tracks") > 0).alias("recovered"), "n_positive_tracks", F.col(f"b.{item}").alias("best_track"), F.col("b.score").alias("best_fusion"), "b.global_rank", "b.sequence_rank", "b.sequence_pool")
 
 
-def global_rank(df: DataFrame, item: str, parts: int = 64) -> DataFrame:
-    """Rank over all rows by score, ties by item, without one task that sorts everything.
-
-    Rows are range-partitioned into score buckets; a row's rank is its place in its bucket plus the sizes of the buckets above.
-    """
-    edges = df.select(F.percentile_approx("score", [i / parts for i in range(1, parts)], 10_000).alias("e"))
-    x = df.crossJoin(F.broadcast(edges)).withColumn("_b", F.coalesce(F.size(F.filter("e", lambda e: e <= F.col("score"))), F.lit(-1))).drop("e")
-    sizes = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    above = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("score"), item))
-    return x.join(F.broadcast(above), "_b").withColumn("global_rank", F.col("_above") + place).drop("_b", "_above")
+def global_rank(df: DataFrame, item: str) -> DataFrame:
+    """Adds ``global_rank`` over all rows by score, ties by item."""
+    return ranked_together(df, F.col("score"), F.lit(0), item).withColumnRenamed("rank", "global_rank").drop("hits")

@@ -29,7 +29,7 @@ def ranking_at_k(spark, sf_dir):
 
 
 def ranking_report(spark, sf_dir):
-    return ranking.report(_scored(spark, sf_dir).withColumn("run", F.lit("fusion")), ["run"], "toxic", "score", "doc_id")
+    return ranking.report(_scored(spark, sf_dir), [], "toxic", "score", "doc_id").withColumn("run", F.lit("fusion"))
 
 
 def ranking_global(spark, sf_dir):
