@@ -157,17 +157,28 @@ def test_dates_lists_ids(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     when = lambda s: one(f.observation_time(F.lit(s)))
     assert when("2024/01/01T00:06:06.030") == dt.datetime(2024, 1, 1, 0, 6, 6, 30000) and when("2024/01/01") == T0 and when("2024-01-01") is None and when("nonsense") is None
-    line = lambda s: one(f.event_line(F.lit(s)))
+    line = lambda s: f.with_event(spark.createDataFrame([(s,)], "line string"), "line").first().e
     e = line("4907 x y A. Name C3 Kreutz Apr30-May01,24 note")
     assert (e.soho_number, e.discoverers, list(e.cameras), str(e.obs_start), str(e.obs_end)) == (4907, "A. Name", ["C3"], "2024-04-30", "2024-05-01")
     assert str(line("4908* x y B C3,C2 Meyer Dec30-Jan02,24").obs_end) == "2025-01-02" and line("4908* x y B C3,C2 Meyer Dec30-Jan02,24").flagged
-    for bad in ("no event", "4909 x y B C3 Kreutz Xxx99,24", "4909 x y B C3 Kreutz Feb31,24", "", "4909 x y C3"):
+    for bad in ("no event", "4909 x y B C3 Kreutz Xxx99,24", "4909 x y B C3 Kreutz Xxx05,24", "4909 x y B C3 Kreutz anF05,24", "4909 x y B C3 Kreutz Feb31,24", "", "4909 x y C3"):
         assert line(bad) is None
     assert one(f.listed_frames(F.lit('<a href="22812345.fts"><a HREF="22812344.FTS"><a href="22812345.fts"><a href="x.jpg">'))) == ["22812344.FTS", "22812345.fts"]
     assert one(f.sequence_of(F.lit("seq36_ab_00001"))) == 36 and one(f.sequence_of(F.lit("x"))) is None
     assert len(f.config_hash(tracking.TracksConfig())) == 16
 
 
+def test_events_are_added_from_a_list(spark):
+    d = labels.new_document()
+    lines = ["4907 x y A. Name C3 Kreutz Apr30-May01,24 note", "no event"]
+    assert labels.add_event(d, spark, 4907, "list.txt", lines)["days"].keys() == {"2024-04-30", "2024-05-01"}
+    for number in (4907, 1):
+        with pytest.raises(ValueError):
+            labels.add_event(d, spark, number, "list.txt", lines)
+    labels.set_day(d, 4907, "2024-05-01", 7, [])
+    assert d["events"][0]["status"] == "ingested"
+
+
 def document():
     d = labels.new_document()
     d["events"].append({"soho_number": 1, "group": "Kreutz", "cameras": ["C2A"], "obs_start": "2024-01-01", "obs_end": "2024-01-03", "source_file": "f", "source_line": "l", "status": "labeled", "notes": "", "days": {"2024-01-01": {"sequence_id": 5, "positive_track_ids": ["seq5_a_00001"]}, "2024-01-02": {"sequence_id": 6, "positive_track_ids": []}}})

@@ -68,6 +68,7 @@ def reports(packages_: DataFrame) -> DataFrame:
 def significant(c: Column, digits: int = 4) -> Column:
     """A number with so many significant digits, trailing zeros dropped; very large and small ones in exponent form."""
     e = F.when(c == 0, 0).otherwise(F.floor(F.log10(F.abs(c)) + 1e-12)).cast("int")
+    e = e + F.when(F.round(F.abs(c) / F.pow(F.lit(10.0), e), digits - 1) >= 10, 1).otherwise(0)
     trimmed = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     plain = F.element_at(F.array(*(trimmed(F.format_string(f"%.{n}f", c)) for n in range(digits + 4))), F.greatest(F.lit(1), F.lit(digits) - e))
     mantissa = trimmed(F.format_string(f"%.{digits - 1}f", c / F.pow(F.lit(10.0), e)))

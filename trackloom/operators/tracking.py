@@ -93,9 +93,13 @@ def build(detections: DataFrame, frames: DataFrame, tag: str, config: TracksConf
         seconds = lambda s: s.to_numpy("datetime64[us]").astype(np.int64) / 1e6
         found = link(seconds(det.ts), det[["x", "y"]].to_numpy(float), config, seconds(frm.ts))
         found = sorted((t for t in found if len(t.rows) >= config.min_track_frames), key=lambda t: t.first)
-        parts = [det.iloc[t.rows].assign(track_id=f"seq{key[0]}_{tag}_{i:05d}", seq=range(len(t.rows)), residual=t.residuals) for i, t in enumerate(found)]
         columns = [c.split()[0] for c in out.split(", ")]
-        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+        if not found:
+            return pd.DataFrame(columns=columns)
+        size = [len(t.rows) for t in found]
+        points = det.iloc[np.concatenate([t.rows for t in found])]
+        ids = np.repeat([f"seq{key[0]}_{tag}_{i:05d}" for i in range(len(found))], size)
+        return points.assign(track_id=ids, seq=np.concatenate([np.arange(n) for n in size]), residual=np.concatenate([t.residuals for t in found]))[columns]
 
     # fresh aliases, as both sides may stem from one plan
     times = frames.select(F.col("sequence_id").alias("sequence_id"), F.col("frame").alias("frame"), F.col("ts").cast("timestamp").alias("ts"))

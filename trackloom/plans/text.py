@@ -35,23 +35,23 @@ def _lines(spark, sf_dir):
 
 
 def list_parse(spark, sf_dir):
-    x = _lines(spark, sf_dir).select("o_orderkey", f.event_line(F.col("line")).alias("e")).where("e is not null")
+    x = f.with_event(_lines(spark, sf_dir), "line").where("e is not null")
     return x.select("o_orderkey", "e.soho_number", "e.flagged", "e.discoverers", F.array_join("e.cameras", ",").alias("cameras"), "e.group", "e.obs_start", "e.obs_end")
 
 
 def list_failures(spark, sf_dir):
-    return _lines(spark, sf_dir).where(f.event_line(F.col("line")).isNull()).select("o_orderkey", F.rtrim("line").alias("line"))
+    return f.with_event(_lines(spark, sf_dir), "line").where("e is null").select("o_orderkey", F.rtrim("line").alias("line"))
 
 
 def list_filter(spark, sf_dir):
     """Events by camera, group and span."""
-    e = _lines(spark, sf_dir).select(f.event_line(F.col("line")).alias("e")).where("e is not null").select("e.*")
+    e = f.with_event(_lines(spark, sf_dir), "line").where("e is not null").select("e.*")
     return e.where(F.array_contains("cameras", "C3") & (F.lower("group") == "kreutz") & (F.datediff("obs_end", "obs_start") + 1 >= 4)).select("soho_number", "obs_start")
 
 
 def obs_days(spark, sf_dir):
     """Days of the observation ranges and how many events each has."""
-    e = _lines(spark, sf_dir).select(f.event_line(F.col("line")).alias("e")).where("e is not null").select("e.*")
+    e = f.with_event(_lines(spark, sf_dir), "line").where("e is not null").select("e.*")
     return e.select(F.explode(F.sequence("obs_start", "obs_end")).alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 

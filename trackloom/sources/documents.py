@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import event_line, observation_time
+from ..functions import observation_time, with_event
 from ..schemas import LABELS, MANIFEST_ENTRY
 
 
@@ -23,7 +23,7 @@ def day_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def confirmation_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Events of a list, and its other lines that are not blank."""
-    x = spark.read.text(path).where(F.trim("value") != "").select("value", event_line(F.col("value")).alias("e"))
+    x = with_event(spark.read.text(path).where(F.trim("value") != ""), "value")
     return x.where("e is not null").select("e.*"), x.where("e is null").select(F.rtrim("value").alias("line"))
 
 
