@@ -1,3 +1,7 @@
+import random
+import re
+from re import _parser
+
 import pytest
 
 from trackloom.llm import licences as li
@@ -46,3 +50,52 @@ def test_on_spark(spark):
     d = spark.createDataFrame([(1, "Released under the MIT License.", 1), (1, "Released under the MIT License.", 1), (None, None, 2), (2, "x " * 200_000 + "\nLicensed under CC BY-NC 4.0.\n", 3)], "doc_id long, text string, licences int")
     got = sorted(((r.doc_id or 0, list(r.licences)) for r in li.scan(d).collect()))
     assert got == [(0, []), (1, ["MIT"]), (1, ["MIT"]), (2, ["CC-BY-NC-4.0"])] and li.scan(d.limit(0)).count() == 0
+
+
+def drawn(tree, r):
+    """A text that fits a parsed pattern, drawn at random."""
+    out = ""
+    for op, x in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(x)
+        elif kind == "ANY":
+            out += r.choice("xyz")
+        elif kind == "CATEGORY":
+            out += r.choice("0123456789") if str(x) == "CATEGORY_DIGIT" else r.choice("xyz")
+        elif kind == "IN":
+            out += drawn([r.choice(x)], r)
+        elif kind == "BRANCH":
+            out += drawn(r.choice(x[1]), r)
+        elif kind == "SUBPATTERN":
+            out += drawn(x[3], r)
+        elif kind == "MAX_REPEAT":
+            out += "".join(drawn(x[2], r) for _ in range(r.randint(x[0], min(x[1], x[0] + 2))))
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def draws(pattern, n=300):
+    tree, r = _parser.parse(re.sub(r"\(\?P<\w+>", "(?:", pattern)), random.Random(5)
+    found = {drawn(tree, r) for _ in range(n)}
+    return sorted(x for x in found if li.normal(x) == x)
+
+
+@pytest.mark.parametrize(("name", "pattern"), li.SENTENCES)
+def test_every_sentence_passes_the_filter(name, pattern):
+    for x in draws(pattern):
+        assert li.hinted(x) and li.hinted(x.upper().replace(" ", "\n")), x
+        assert li.identifiers(x) == [li.identify(x)], x
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("This program is released under the GPL v3.", ["GPL-3.0"]), ("This work is released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Published under Creative Commons Attribution 4.0 International.", ["CC-BY-4.0"]), ("Released under the AGPL v3.", ["AGPL-3.0"]),
+        ("Released under BSD 3 Clause.", ["BSD-3-Clause"]), ("Foo Inc. All\nrights\nreserved.", ["Proprietary"]), ("This is released into the public\ndomain.", ["Public-Domain"]),
+    ],
+)
+def test_sentences_without_the_word_licence(text, found):
+    assert li.licences(li.identifiers("Prose before.\n" + text + "\nAnd prose after.")) == found

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import short_batches, table
 
-#: A text, in lower case, without any of these has no licence sentence.
-HINTS = ("licenc", "licens", "copyright", "(c)", "spdx", "permission", "redistribut", "warrant", "public domain", "gnu ", "unencumbered", "rights reserved", "neither the name", "advertising materials", "altered source", "misrepresented", "notice may not", "proprietary", "unauthori", "no part of")
+#: Every pattern of SENTENCES needs one of these within a single word, so no line break parts them, or fits SHORT;
+#: a text, in lower case, with neither has no licence sentence.
+HINTS = ("licenc", "licens", "copyright", "spdx", "permission", "redistribut", "warrant", "applicable", "gpl", "bsd", "commons", "domain", "unencumbered", "reserved", "endorse", "advertising", "altered", "misrepresented", "proprietary", "unauthori", "reproduce")
+SHORT = regex.compile(r"(?<![a-z0-9])(?:c(?:[^a-z0-9]+c)?[^a-z0-9]+(?:\d|by(?![a-z0-9]))|cc[^a-z0-9]+(?:zero|0|by|attribution))")
 CUT = regex.compile(r"(?<=[.!?;:])\s+|\s*\n\s*")
 #: Pieces that may be joined into one sentence, and its longest normalised form.
 JOINED, LONGEST = 8, 2000
@@ -134,7 +136,7 @@ def identify(sentence: str) -> tuple[str, str] | None:
 
 def hinted(text: str) -> bool:
     low = text.lower()
-    return any(h in low for h in HINTS)
+    return any(h in low for h in HINTS) or SHORT.search(low) is not None
 
 
 def identifiers(text: str | None) -> list[tuple[str, str]]:
@@ -143,9 +145,9 @@ def identifiers(text: str | None) -> list[tuple[str, str]]:
         return []
     raw = [x for x in CUT.split(text) if x.strip()]
     pieces: list[str | None] = [None] * len(raw)
-    near, i, found = list(map(hinted, raw)), 0, []
+    i, found = 0, []
     while i < len(pieces):
-        if not any(near[i : i + JOINED]):
+        if not hinted("\n".join(raw[i : i + JOINED])):
             i += 1
             continue
         whole = ""
