@@ -44,3 +44,20 @@ def test_few_lists_are_walked_where_one_dimension_rules():
     ids, scores, scored = topk.Lists(np.arange(5000), v).top(-1, np.array([5, 1, 0, 0, 0, 0, 0, 0]), 10)
     s = v @ np.array([5, 1, 0, 0, 0, 0, 0, 0])
     assert scores.tolist() == sorted(s.tolist(), reverse=True)[:10] and scored < 500 and len(ids) == 10
+
+
+def test_own_rows_take_no_places(spark):
+    rows = [(0, [0.5, 0.25])] * 2 + [(i, [0.5, 0.25]) for i in range(1, 16)] + [(i, [0.25, 0.0]) for i in range(16, 30)]
+    for block in (8, 100_000):
+        assert run(spark, rows, 100, block) == by_hand(rows, 100)
+    assert [r[2] for r in by_hand(rows, 100)] == list(range(1, 11))
+
+
+def test_own_rows_of_several_vectors_take_no_places():
+    import numpy as np
+
+    v = np.array([[100 - i, 1] for i in range(40)])
+    for ids in (np.array([7] * 5 + list(range(50, 85))), np.array([7, 50, 7, 51] * 10)):
+        got, scores, _ = topk.Lists(ids, v).top(7, np.array([3, 1]), 10)
+        want = sorted((-int(s), int(i)) for i, s in zip(ids, v @ np.array([3, 1]), strict=True) if i != 7)[:10]
+        assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want

@@ -43,6 +43,7 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
+        self.rows = ids[order]
         self.vectors, group = np.unique(vectors[order], axis=0, return_inverse=True)
         by = np.argsort(group.ravel(), kind="stable")
         self.ids = ids[order][by]  # of each vector, ascending
@@ -60,6 +61,7 @@ class Lists:
             raise ValueError("scores do not fit 64 bits")
         used = np.flatnonzero(query)
         weights, up = query[used], query[used] > 0
+        own_rows = int(np.searchsorted(self.rows, own, "right") - np.searchsorted(self.rows, own))
         # row i of walk lists block positions from the favoured end of dimension used[i]
         seen, scored = np.zeros(n, bool), np.zeros(n, bool)
         ids, scores, depth, step, count = np.empty(0, np.int64), np.empty(0, np.int64), 0, FIRST, 0
@@ -78,7 +80,7 @@ class Lists:
                 s = (self.exact[new] @ query.astype(np.float64)).astype(np.int64)
             else:
                 s = self.vectors[new] @ query
-            ids, scores = self.merge(own, ids, scores, new, s, k)
+            ids, scores = self.merge(own, own_rows, ids, scores, new, s, k)
             depth, step = stop if count < n else n, step * 2
             if depth < n and len(scores) == k:
                 edge = np.where(up, self.sorted[used, min(depth, n - 1)], self.sorted[used, n - 1 - min(depth, n - 1)])
@@ -86,16 +88,17 @@ class Lists:
                     break
         return ids, scores, count
 
-    def merge(self, own: int, ids: np.ndarray, scores: np.ndarray, new: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, own: int, own_rows: int, ids: np.ndarray, scores: np.ndarray, new: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(scores) == k:
             keep = s >= scores[-1]
             new, s = new[keep], s[keep]
-        if len(s) > k + 1:
-            keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+        enough = k + own_rows  # of vectors, and of a vector's smallest ids: so many may be the query's own
+        if len(s) > enough:
+            keep = s >= np.partition(s, len(s) - enough)[len(s) - enough]
             new, s = new[keep], s[keep]
         if not len(s):
             return ids, scores
-        size = np.minimum(self.begin[new + 1] - self.begin[new], k + 1)  # the smallest ids; one may be the query's own
+        size = np.minimum(self.begin[new + 1] - self.begin[new], enough)
         at = np.repeat(self.begin[new] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         ids, scores = np.concatenate((ids, self.ids[at])), np.concatenate((scores, np.repeat(s, size)))
         keep = ids != own
