@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from re import _parser
 
 import pytest
@@ -99,3 +100,30 @@ def test_every_sentence_passes_the_filter(name, pattern):
 )
 def test_sentences_without_the_word_licence(text, found):
     assert li.licences(li.identifiers("Prose before.\n" + text + "\nAnd prose after.")) == found
+
+
+LGPL = GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+
+
+@pytest.mark.parametrize(("text", "found"), [(GPL, "GPL-3.0-or-later"), (LGPL, "LGPL-2.1-or-later"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (APACHE, "Apache-2.0")])
+def test_notices_wrapped_at_every_width(text, found):
+    for width in (1, 12, 20, 30, 60):
+        wrapped = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+        for join in ("\n", "\n# ", "\n#\n# ", "\n *\n\n//\n * "):
+            assert li.licences(li.identifiers(f"Prose before.{join}{join.join(wrapped)}{join}Prose after.")) == [found]
+
+
+@pytest.mark.parametrize(("name", "pattern"), li.SENTENCES)
+def test_every_sentence_is_found_wrapped_at_every_blank(name, pattern):
+    for x in draws(pattern, 40):
+        got = [n for n, _ in li.identifiers("Prose.\n" + x.replace(" ", "\n//\n") + "\nmore")]
+        assert li.identify(x)[0] in got, x
+
+
+def test_unfinished_beginnings_hide_nothing():
+    long = "A name\n" * 50
+    name = f"Neither the name of\n{long}nor theirs may be used to endorse or promote products."
+    assert [n for n, _ in li.identifiers(name)] == ["bsd-name"]
+    assert [n for n, _ in li.identifiers("Neither the name of X.\n" + long + MIT + "\n" + name)] == ["mit-grant", "bsd-name"]
+    assert [n for n, _ in li.identifiers("No part of this.\n" + MIT + "\nFoo\nall rights reserved\nno part of this\nbook may be\nreproduced")] == ["mit-grant", "all-rights-reserved", "proprietary"]
+    assert li.identifiers("license\n" + "Neither the name of\n" * 20_000 + "this software is provided by the " * 20_000) == []

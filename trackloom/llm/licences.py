@@ -1,8 +1,12 @@
 """License scans by sentence-rule recognition.
 
-A text is cut into lines and sentences; neighbouring pieces are joined where a licence sentence is wrapped. A
-normalised sentence (lower case, letters, digits and single blanks) that fits a known pattern becomes that
-pattern's identifier, with the version it states. The sequence of identifiers is then matched from left to
+A text is cut into lines and sentences; neighbouring pieces are joined, however many they are, as long as they
+can still become a known sentence, and pieces without letters and digits are passed over. A normalised sentence
+(lower case, letters, digits and single blanks) that fits a known pattern becomes that pattern's identifier,
+with the version it states. Of sentences that overlap the one that ends first counts, and of these the longest:
+a beginning that is never finished hides nothing that follows. Where a pattern may begin with any words, these
+are looked for no further back than the piece in which its fixed words begin, and words in the middle of a
+pattern never run over another beginning of it. The sequence of identifiers is then matched from left to
 right against ordered licence rules; at each place the first rule that fits wins and consumes its identifiers,
 and an identifier that no rule begins with is passed over.
 
@@ -13,7 +17,9 @@ columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -26,8 +32,6 @@ from .common import short_batches, table
 HINTS = ("licenc", "licens", "copyright", "spdx", "permission", "redistribut", "warrant", "applicable", "gpl", "bsd", "commons", "domain", "unencumbered", "reserved", "endorse", "advertising", "altered", "misrepresented", "proprietary", "unauthori", "reproduce")
 SHORT = regex.compile(r"(?<![a-z0-9])(?:c(?:[^a-z0-9]+c)?[^a-z0-9]+(?:\d|by(?![a-z0-9]))|cc[^a-z0-9]+(?:zero|0|by|attribution))")
 CUT = regex.compile(r"(?<=[.!?;:])\s+|\s*\n\s*")
-#: Pieces that may be joined into one sentence, and its longest normalised form.
-JOINED, LONGEST = 8, 2000
 SPDX = regex.compile(r"SPDX-License-Identifier:\s*([\w.+() -]*[\w+)])", regex.IGNORECASE)
 
 _V = r"(?: version| v)? ?(?P<v>\d(?: \d)?)"
@@ -75,6 +79,26 @@ SENTENCES: list[tuple[str, str]] = [
     ("proprietary", r"(?:.* )?(?:proprietary and confidential|unauthori[sz]ed copying of this file.*|no part of this .* may be reproduced.*)"),
 ]
 KNOWN = [(name, regex.compile(p)) for name, p in SENTENCES]
+
+
+def unbounded(pattern: str) -> bool:
+    """Whether a pattern begins with any words or has any words in its middle, so that any text may go on to fit it."""
+    return pattern.startswith(("(?:.* )?", ".*")) or " .* " in pattern
+
+
+def finder(pattern: str) -> regex.Pattern:
+    """Finds an unbounded pattern in pieces that each end a line; tails run to the end of their piece."""
+    free = pattern.startswith((".*", "(?:.* )?"))
+    p = pattern.removeprefix("(?:.* )?").removeprefix(".*")
+    cut = " " if free else r"\n"
+    p = regex.sub(r"([^|(]*(?:\([^()]*\)\?)?[^|(]*) \.\* ", lambda m: f"{m[1]} (?:(?!{cut}{m[1]} )(?s:.))+? ", p).replace(".*", "[^\n]*")
+    begin = "" if pattern.startswith(".*") else "(?<![a-z0-9])(?=[a-z0-9])" if free else "(?<=\n)"
+    return regex.compile(rf"{begin}(?:{p})(?=\n)".replace(" ", "[ \n]"))
+
+
+#: Sentences that begin with known words and go on with known words: whether a text may become one is seen from its beginning.
+BEGUN = regex.compile("|".join(p for _, p in SENTENCES if not unbounded(p)))
+FINDERS = [finder(p) for _, p in SENTENCES if unbounded(p)]
 #: Ordered rules: identifiers in their order (those ending in ? may lack) and the licence; {v} is the version of the first identifier that has one.
 RULES: list[tuple[tuple[str, ...], str]] = [
     (("copyright?", "mit-grant", "mit-notice?", "mit-no-warranty?"), "MIT"),
@@ -143,26 +167,30 @@ def identifiers(text: str | None) -> list[tuple[str, str]]:
     """The known sentences of the whole text, in order."""
     if not text or not hinted(text):
         return []
-    raw = [x for x in CUT.split(text) if x.strip()]
-    pieces: list[str | None] = [None] * len(raw)
-    i, found = 0, []
-    while i < len(pieces):
-        if not hinted("\n".join(raw[i : i + JOINED])):
-            i += 1
-            continue
-        whole = ""
-        for j in range(i, min(i + JOINED, len(pieces))):
-            if pieces[j] is None:
-                pieces[j] = normal(raw[j])
-            whole = f"{whole} {pieces[j]}".strip()
-            if len(whole) > LONGEST and j > i:
-                break
-            if got := identify(whole):
-                said = SPDX.search(" ".join(raw[i : j + 1])) if got[0] == "spdx" else None
-                found.append((got[0], said[1]) if said else got)
-                i = j
-                break
-        i += 1
+    raw, pieces = [], []
+    for x in CUT.split(text):
+        if piece := normal(x):
+            raw.append(x)
+            pieces.append(piece)
+    ends = []  # (last piece, first piece) of all known sentences
+    for i, whole in enumerate(pieces):
+        j = i
+        while (m := BEGUN.fullmatch(whole, partial=True)) and m.partial and j + 1 < len(pieces):
+            j += 1
+            whole = f"{whole} {pieces[j]}"
+        if m and not m.partial:
+            ends.append((j, i))
+    lines = "\n".join(["", *pieces, ""])
+    begins = list(accumulate((len(x) + 1 for x in pieces), initial=1))
+    for pattern in FINDERS:
+        ends += [(bisect_right(begins, m.end() - 1) - 1, bisect_right(begins, m.start()) - 1) for m in pattern.finditer(lines)]
+    found, after = [], 0
+    for j, i in sorted(ends):
+        if i >= after:
+            got = identify(" ".join(pieces[i : j + 1]))
+            said = SPDX.search(" ".join(raw[i : j + 1])) if got[0] == "spdx" else None
+            found.append((got[0], said[1]) if said else got)
+            after = j + 1
     return found
 
 
