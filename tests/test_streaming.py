@@ -1,8 +1,10 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from trackloom.operators import sequencing
+from trackloom.plans import streams
 from trackloom.streaming import sessions, tracker
 
 T0 = dt.datetime(2024, 1, 1)
@@ -33,3 +35,25 @@ def test_tracker_on_a_stream(spark, tmp_path):
     q.awaitTermination(180)
     got = spark.read.parquet(out).collect()
     assert [(r.n_frames, r.xs[0], r.xs[-1]) for r in got][:1] == [(8, 10.0, 38.0)]
+
+
+def test_streams_do_not_depend_on_the_number_of_files(spark, sf_dir, tmp_path):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    e = pq.read_table(f"{sf_dir}/events.parquet")
+    later = e.set_column(e.schema.get_field_index("ts"), "ts", pc.add(e["ts"], pa.scalar(dt.timedelta(days=400))))
+    e = pa.concat_tables([e, later]).sort_by([("ts", "descending")])
+    one, many, n = tmp_path / "one", tmp_path / "many", 1100
+    for d in (one, many / "events.parquet"):
+        d.mkdir(parents=True)
+    pq.write_table(e, one / "events.parquet")
+    for i in range(n):  # the newest rows come first
+        at = str(many / "events.parquet" / f"{i:04d}.parquet")
+        pq.write_table(e.slice(i * len(e) // n, (i + 1) * len(e) // n - i * len(e) // n), at)
+        os.utime(at, (1_700_000_000 + i, 1_700_000_000 + i))
+    firsts = spark.read.parquet(str(one / "events.parquet")).selectExpr("event_type", "date_trunc('hour', ts) as hour").distinct()
+    assert sorted(map(tuple, streams.stream_first_of_time(spark, str(many)).collect())) == sorted((r[0], r[1].replace(tzinfo=None)) for r in firsts.collect())
+    tracks = [sorted(map(tuple, streams.stream_tracker(spark, str(d)).collect())) for d in (one, many)]
+    assert tracks[0] and tracks[0] == tracks[1]

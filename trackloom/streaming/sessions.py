@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def frames_stream(spark: SparkSession, schema, path: str, files_per_batch: int = 1, **options) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options).parquet(path)
+def frames_stream(spark: SparkSession, schema, path: str, files_per_batch: int | None = 1, **options) -> DataFrame:
+    """The files that come, so many a micro-batch; None is all that are there."""
+    if files_per_batch is not None:
+        options["maxFilesPerTrigger"] = files_per_batch
+    return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
 def sequences(frames: DataFrame, key: str, ts: str, gap_minutes: float = 60.0, lateness: str = "2 hours") -> DataFrame:
