@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from trackloom.llm import topk
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def test_own_rows_of_several_vectors_take_no_places():
         got, scores, _ = topk.Lists(ids, v).top(7, np.array([3, 1]), 10)
         want = sorted((-int(s), int(i)) for i, s in zip(ids, v @ np.array([3, 1]), strict=True) if i != 7)[:10]
         assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want
+
+
+def test_large_components_take_part_or_are_an_error(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1e15, 2.0]), (2, [-2e15, 1.0]), (3, [float("-inf"), 1.0])]
+    x = spark.createDataFrame(rows, "vec_id long, v array<double>").select(topk.whole_numbers(F.col("v")).alias("v"))
+    assert [r.v for r in x.collect()] == [[0, 0], [1024 * 10**15, 2048], [-2048 * 10**15, 1024], None]
+    with pytest.raises(Exception, match="do not fit 64 bits"):
+        run(spark, [(0, [1.0, 2.0]), (1, [1e300, 2.0])], 10, 4)
+    with pytest.raises(Exception, match="do not fit 64 bits"):
+        run(spark, [(0, [8.0, 2.0]), (1, [1e15, 2.0])], 10, 4)

@@ -33,9 +33,12 @@ BLOCK, FIRST = 16_384, 16
 
 def whole_numbers(embedding: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component, null where the vector takes no part."""
-    x = F.transform(embedding, lambda v: F.floor(v.cast("double") * scale))
-    fine = (F.size(embedding) > 0) & F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15))
-    return F.when(fine, x)
+    def whole(v: Column) -> Column:
+        x = v.cast("double") * scale
+        return F.when(F.abs(x) < float(1 << 62), F.floor(x)).otherwise(F.raise_error(F.lit("components do not fit 64 bits")).cast("long"))
+
+    fine = (F.size(embedding) > 0) & F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.when(fine, F.transform(embedding, whole))
 
 
 class Lists:
