@@ -43,3 +43,10 @@ def test_sample_is_bounded_and_runs_agree(spark, sf_dir):
     rows = q.described(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
     a, b = q.fit(rows, 50), q.fit(rows.repartition(3), 50)
     assert np.allclose(a[1], b[1]) and a[0] == b[0]
+
+
+def test_a_long_word_counts_to_its_end():
+    word = b"aA" * 40
+    at = {q._shapes[word + x] for x in (b"", b"0", b"-", b"0-0")}
+    assert len(at) == 4 and q._shapes[b"aaAA" * 90 + b"00"] == q._shapes[b"aA" * 90 + b"0"]
+    assert not any(len(x) > 64 for x in q._shapes)

@@ -14,6 +14,7 @@ fitted and no rows come; ``keep_good`` passes all columns on as they are, whatev
 from __future__ import annotations
 
 import operator
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ EDGES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 #: Common words of four languages, written without accents' case. Fixed values.
 STOPWORDS = frozenset("the of and to in a is that it for on was with as be by der die und das den von zu mit ist im des ein eine nicht de la le les et en un une du que est pour dans qui sur par el los las y por con se del una es no".encode().split())
 SHAPES = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
 SYMBOLS = bytes(b for b in range(33, 127) if chr(b) in "#$%&*+/<=>@[\\]^_`{|}~")
 
 
@@ -93,10 +95,11 @@ class Shapes(dict):
     """A word's shape to its hashed dimension; runs of one class count as one."""
 
     def __missing__(self, shape: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        runs = bytes(b for i, b in enumerate(shape[:64]) if i == 0 or b != shape[i - 1])
-        self[shape] = at = zlib.crc32(b"shape " + runs) % DIMS
+        at = zlib.crc32(b"shape " + RUN.sub(rb"\1", shape)) % DIMS
+        if len(shape) <= 64:  # long ones rarely come again
+            if len(self) >= CACHE:
+                self.clear()
+            self[shape] = at
         return at
 
 
