@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -27,13 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a local folder and any other an error."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (own or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/trackloom-{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of our own that nothing reads any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
