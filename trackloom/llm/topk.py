@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, stored, table
+from .common import stored, table
 
 SCALE, K, EVERY = 1024, 10, 100
-BLOCK, FIRST = 16_384, 16
+#: Candidates of a block, least and most (a block is held in memory, and each meets every query); blocks up to which they stay at the least; queries of a packet.
+BLOCK, LARGEST, BLOCKS, PACKET, FIRST = 16_384, 65_536, 512, 256, 16
 
 
 def whole_numbers(embedding: Column, scale: int = SCALE) -> Column:
@@ -51,8 +52,8 @@ class Lists:
         by = np.argsort(group.ravel(), kind="stable")
         self.ids = ids[order][by]  # of each vector, ascending
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(group.ravel(), minlength=len(self.vectors)))))
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(self.vectors, self.order.T, axis=0).T.copy()
+        self.order = np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
         self.exact = self.vectors.astype(np.float64)
         self.largest = int(np.abs(self.vectors).max(initial=0))
 
@@ -110,31 +111,39 @@ class Lists:
         return ids[best], scores[best]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(vec_id, v array of long) and (query_id, v) to query_id, rank, vec_id, score: each query's k best by inner product, ties to smaller ids."""
-    n = max(1, -(-vectors.count() // block))
-    c = vectors.where("vec_id is not null and v is not null").select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.size("v").alias("dims"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
-    q = queries.where("query_id is not null and v is not null").select("query_id", "v").distinct()
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.size("v").alias("dims"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v")
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int | None = None) -> DataFrame:
+    """(vec_id, v array of long) and (query_id, v) to query_id, rank, vec_id, score: each query's k best by inner product, ties to smaller ids.
+
+    Every query meets every block, so what moves is queries times blocks; ``block`` candidates make one, by default so
+    many that blocks are few, and queries travel in packets.
+    """
+    rows = vectors.count()
+    n = max(1, -(-rows // (block or min(LARGEST, max(BLOCK, rows // BLOCKS)))))
+    c = vectors.where("vec_id is not null and v is not null").select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), F.size("v").alias("dims"), F.lit(0).alias("kind"), F.array("vec_id").alias("ids"), "v")
+    q = stored(queries.where("query_id is not null and v is not null").select("query_id", F.size("v").alias("dims"), "v").distinct(), "queries")
+    packets = max(1, -(-q.count() // PACKET))
+    q = q.groupBy("dims", F.pmod(F.xxhash64("query_id", "v"), F.lit(packets)).alias("packet")).agg(F.collect_list(F.struct("query_id", "v")).alias("x"))
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "dims", F.lit(1).alias("kind"), F.col("x.query_id").alias("ids"), F.flatten("x.v").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, lists = None, [], None
         for b in batches:
-            block_of, dims, kind, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            block_of, dims, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             at = 0
             while at < b.num_rows:
                 same = (block_of == block_of[at]) & (dims == dims[at]) & (kind == kind[at])
                 stop = at + (len(same) - at if same[at:].all() else int(np.argmin(same[at:])))
-                part = b.column(4).slice(at, stop - at).flatten().to_numpy(zero_copy_only=False).reshape(stop - at, dims[at])
+                ids, part = (b.column(i).slice(at, stop - at).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+                part = part.reshape(len(ids), dims[at])
                 if key != (block_of[at], dims[at]):
                     key, held, lists = (block_of[at], dims[at]), [], None
                 if kind[at] == 0:
-                    held.append((ids[at:stop], part))
+                    held.append((ids, part))
                 elif held or lists:
                     if lists is None:
                         lists, held = Lists(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])), []
                     own, found, score = [], [], []
-                    for i, v in zip(ids[at:stop].tolist(), part, strict=True):
+                    for i, v in zip(ids.tolist(), part, strict=True):
                         x, s, _ = lists.top(i, v, k)
                         own.append(np.full(len(x), i))
                         found.append(x)
@@ -142,7 +151,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
                     yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (own, found, score)], ["query_id", "vec_id", "score"])
                 at = stop
 
-    rows = short_batches(c.unionByName(q), 1024).repartition(n, "block").sortWithinPartitions("block", "dims", "kind")
+    rows = c.unionByName(q).repartition(n, "block").sortWithinPartitions("block", "dims", "kind")
     found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
