@@ -10,8 +10,9 @@ rename does no harm.
 Of equal payloads of at least ``least`` bytes the largest page_id is the response and the others revisit it;
 a revisit keeps the HTTP header with the payload's length but not the payload.
 
-Defined cases: null html is an empty payload; null page_id sorts first, is a response only if no equal payload
-has an id, and refers to null else; of repeated rows with the response's id the first is the response and
+Defined cases: null html is an empty payload; rows without page_id have shards of their own, dealt by payload and url,
+and refer to the largest id of their payload; where no equal payload has an id, one row of the first url (none before
+any) is the response and the rest revisit it, referring to null; of repeated rows with the response's id the first is the response and
 the rest revisit it; null url leaves out the target; an empty table writes no file and gives no rows; other
 columns are not read.
 """
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, seeded, short_batches, stored, table
+from .common import new_path, recut, seeded, stored, table
 
 DATE, SOFTWARE, SPACE = "2024-01-01T00:00:00Z", "trackloom", uuid.UUID("6f0d2c1e-8a53-5d7b-9a55-0c6f1f2b7a10")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -133,46 +134,50 @@ def borders(ids: DataFrame, rows: int, total_bytes: int, shard_bytes: int) -> np
 def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to part-*.warc.gz in ``folder``, a URI that driver and executors share; returns the manifest."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    small = stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "payloads")
-    count, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own_url = F.when(F.col("page_id").isNull(), F.col("url"))
+    small = stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n"), own_url.alias("url")), "payloads")
+    count, total, nameless = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("n") + 1)), F.lit(0))).first()
     at = borders(small, count, total, shard_bytes)
-    groups = small.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    roles = small.where(F.col("n") >= least).join(groups, "digest").select("page_id", "digest", "response").distinct()
+    extra = min(SHARDS, -(-nameless // shard_bytes))
+    # of a payload that no page with an id has, the first url answers
+    first = F.min(F.when(F.col("page_id").isNull(), F.struct(F.col("url").isNotNull(), "url")))
+    groups = small.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), first["url"].alias("first_url"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    roles = small.where(F.col("n") >= least).join(groups, "digest").select("page_id", "digest", "url", "response", "first_url").distinct()
     none = lambda kind: F.lit(None).cast(kind)
-    rows = pages.select("page_id", F.lit(1).alias("kind"), F.sha1(payload).alias("digest"), "url", "html", none("long").alias("response"))
-    rows = rows.unionByName(roles.select("page_id", F.lit(0).alias("kind"), "digest", none("string").alias("url"), none("string").alias("html"), "response"))
+    rows = pages.select("page_id", F.lit(1).alias("kind"), F.sha1(payload).alias("digest"), "url", "html", none("long").alias("response"), none("string").alias("first_url"))
+    rows = rows.unionByName(roles.select("page_id", F.lit(0).alias("kind"), "digest", "url", none("string").alias("html"), "response", "first_url"))
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(at, ids[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(at, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    by_id = shard_of(F.coalesce("page_id", F.lit(0)))
+    shard = F.when(F.col("page_id").isNotNull(), by_id).otherwise(F.pmod(F.xxhash64("digest", "url"), F.lit(max(1, extra))).cast("int") + len(at) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, page, roles, answered = Roller(folder, uuid.uuid4().hex, roll_bytes), (), {}, set()
-        for b in batches:
-            for shard, page_id, kind, digest, url, html, response in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if page != (page_id,):
-                    page, roles, answered = (page_id,), {}, set()
+        files, page, role, answered = Roller(folder, uuid.uuid4().hex, roll_bytes), None, None, False
+        for b in recut(batches):
+            for shard, page_id, kind, digest, url, html, response, first_url in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if page != (page_id, digest):
+                    page, role, answered = (page_id, digest), None, False
                 if kind == 0:
-                    roles[digest] = response
+                    role = (response, first_url)
                     continue
-                revisits = digest in roles and (roles[digest] != page_id or digest in answered)
-                answered.add(digest)
-                files.add(shard, record(page_id, url, (html or "").encode(), base32(digest), revisits, roles.get(digest)))
+                revisits = role is not None and (role[0] != page_id or answered or page_id is None and url != role[1])
+                answered = answered or not revisits
+                files.add(shard, record(page_id, url, (html or "").encode(), base32(digest), revisits, role and role[0]))
         files.close()
         cols = list(zip(*files.done, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "seq", "temporary", "file", "records", "bytes", "sha256"])
 
-    rows = rows.select(shard_of("page_id").alias("shard"), "*")
-    rows = short_batches(rows).repartitionById(len(at) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    rows = rows.select(shard.alias("shard"), "*")
+    rows = rows.repartitionById(len(at) + 1 + extra, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     manifest = stored(rows.mapInArrow(run, MANIFEST), "manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
-        for b in batches:
+        for b in recut(batches):
             for temporary, name in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if store.get_file_info(f"{path}/{temporary}").type != fs.FileType.NotFound:
                     store.move(f"{path}/{temporary}", f"{path}/{name}")
@@ -221,7 +226,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         number = lambda x: None if x is None else int(x)
-        for b in batches:
+        for b in recut(batches):
             for name in b.column(0).to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(f"{path}/{name}", compression=None) as source:
