@@ -3,8 +3,9 @@
 Overlapping heuristic labellers vote junk, fine or nothing on every document. The counts of all vote
 patterns, at most 3 to the number of labellers, are what expectation-maximisation needs to estimate each
 labeller's rates of the votes for either class, and with them a posterior for every pattern. The posteriors
-label a bounded sample (SAMPLE rows, chosen by seeded hash) on which a logistic scorer over hashed features
-is trained; the scorer then judges every document.
+label a bounded sample on which a logistic scorer over hashed features is trained; the scorer then judges every
+document. The sample is of at most SAMPLE distinct feature vectors, those with the smallest seeded hashes, so
+copies of a text count once in training, and neither missing nor repeated ids matter.
 
 Defined cases: null and blank text gets no votes and no features and is judged by the scorer's bias; repeated
 rows count and are judged each; null doc_id is a document like any other; with an empty table nothing is
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import seeded, short_batches, stored, table, text_bytes
+from .common import recut, stored, table, text_bytes
 
 JUNK, NONE, FINE = 0, 1, 2
 #: Hashed dimensions, rows of the training sample, EM and training rounds, seed of the sample, bound of a worker's cache of word shapes.
@@ -127,7 +128,7 @@ def described(docs: DataFrame) -> DataFrame:
     """doc_id, votes, dims, vals of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in recut(batches):
             codes, dims, vals = [], [], []
             for text in b.column(1).to_pylist():
                 found = measures(text)
@@ -137,7 +138,7 @@ def described(docs: DataFrame) -> DataFrame:
                 vals.append(y)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(codes, pa.int32()), pa.array(dims, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["doc_id", "votes", "dims", "vals"])
 
-    return short_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, votes int, dims array<int>, vals array<float>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, votes int, dims array<int>, vals array<float>")
 
 
 def posteriors(patterns: dict[int, int]) -> dict[int, float]:
@@ -186,11 +187,12 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.nda
     patterns = {r[0]: r[1] for r in rows.groupBy("votes").count().collect()}
     junk = posteriors(patterns) if patterns else {}
     total = sum(patterns.values())
-    part = rows.select("dims", "vals", "votes", seeded(SEED, F.col("doc_id")).alias("h"), "doc_id")
+    part = rows.select("dims", "vals", "votes", F.pmod(F.xxhash64(F.lit(SEED), "dims", "vals"), F.lit(1 << 60)).alias("h"))
     if total > sample:
-        part = part.where(F.col("h") < int(0.95 * sample / total * (1 << 60)))
-    part = sorted(part.limit(sample).toLocalIterator(), key=lambda r: (r.h, r.doc_id or 0, r.votes, list(r.dims)))
-    return junk, *train([(r.dims, r.vals, junk[r.votes]) for r in part])
+        kinds = part.agg(F.approx_count_distinct("h", 0.01)).first()[0]
+        part = part.where(F.col("h") < int(min(1.0, 0.95 * sample / max(kinds, 1)) * (1 << 60)))
+    part = part.groupBy("h").agg(F.first("dims").alias("dims"), F.first("vals").alias("vals"), F.first("votes").alias("votes"))
+    return junk, *train([(r.dims, r.vals, junk[r.votes]) for r in part.orderBy("h").limit(sample).collect()])
 
 
 def judge(rows: DataFrame, junk: dict[int, float], weights: np.ndarray, bias: float) -> DataFrame:
@@ -198,7 +200,7 @@ def judge(rows: DataFrame, junk: dict[int, float], weights: np.ndarray, bias: fl
     names = ["doc_id", "junk_votes", "posterior", "score", "keep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in recut(batches, 4096):
             code = b.column(1).to_numpy(zero_copy_only=False)
             against = sum((code // 3**i % 3 == JUNK).astype(np.int64) for i in range(len(LABELLERS)))
             score = scores(b.column(2), b.column(3), weights, bias)
@@ -219,17 +221,17 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in recut(batches):
             found = [features(measures(x)) for x in b.column(at).to_pylist()]
             dims, vals = (pa.array([x[i] for x in found], pa.list_(k)) for i, k in ((0, pa.int32()), (1, pa.float32())))
             yield b.filter(pa.array(scores(dims, vals, weights, bias) <= 0.5))
 
-    return short_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(described(table(spark, sf_dir, "documents")), "described")
-    return judge(short_batches(rows, 4096), *fit(rows))
+    return judge(rows, *fit(rows))
 
 
 QUERIES = {"op1_quality": op1_quality}
