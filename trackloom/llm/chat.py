@@ -26,12 +26,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import recut, table
 
 START, STOP, ASSISTANT = b"<|im_start|>", b"<|im_end|>\n", "assistant"
 ESCAPE, UNESCAPE = regex.compile(r"<(\\*)\|"), regex.compile(r"<\\(\\*)\|")
 TURN = regex.compile(rb"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", regex.DOTALL)
 EXTRA = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, ASSISTANT, "<|im_end|><|im_start|>assistant ok")]
+#: Bytes of a segment from which a slice is cheaper than indices.
+LONG = 4096
 PART = "conv_id long, part long, last boolean, formatted binary, mask_from array<long>, mask_to array<long>, n_turns long"
 
 
@@ -58,10 +60,14 @@ def column(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scatter(out: np.ndarray, to: np.ndarray, source: np.ndarray, lengths: np.ndarray) -> None:
-    """Copies consecutive runs of ``source`` to the offsets ``to`` of ``out``."""
-    if len(source):
-        begin = np.cumsum(lengths) - lengths
-        out[np.arange(len(source)) + np.repeat(to - begin, lengths)] = source
+    """Copies consecutive runs of ``source`` to the offsets ``to`` of ``out``: short ones by one array of indices, long ones each as a slice."""
+    begin = np.cumsum(lengths) - lengths
+    long = lengths > LONG
+    for a, b, n in zip(begin[long].tolist(), to[long].tolist(), lengths[long].tolist(), strict=True):
+        out[b : b + n] = source[a : a + n]
+    begin, to, lengths = begin[~long], to[~long], lengths[~long]
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(to, lengths) + within] = source[np.repeat(begin, lengths) + within]
 
 
 def assemble(roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +89,9 @@ def assemble(roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 def binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """An Arrow column over the buffer, without another copy."""
+    """An Arrow column over the buffer, without another copy. A batch is of some megabytes or one turn; a turn beyond Arrow's 2 GiB is an error."""
+    if len(data) >= 1 << 31:
+        raise ValueError("a formatted turn is longer than 2 GiB")
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
@@ -93,7 +101,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = 0
-        for b in batches:
+        for b in recut(batches):
             if not b.num_rows:
                 continue
             conv = b.column(0).to_pylist()
@@ -125,12 +133,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     x = x.repartition("conv_id").sortWithinPartitions("conv_id", "_turn", "role", "text")
     # the last row of each conversation, found while the sorted rows stream by
     x = x.select("conv_id", "role", "text").mapInArrow(_with_ends, "conv_id long, role string, text string, last boolean")
-    return short_batches(x).mapInArrow(run, PART)
+    return x.mapInArrow(run, PART)
 
 
 def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
-    for b in batches:
+    for b in recut(batches):
         if not b.num_rows:
             continue
         ids = b.column(0).to_pylist()
@@ -152,7 +160,7 @@ def read_conversations(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
-        for b in batches:
+        for b in recut(batches):
             rows = []
             for conv, part, last, data, mask_from, mask_to, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part == 0:
