@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table, tokenizer_path
+from .common import recut, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -190,11 +190,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
-        for b in batches:
+        for b in recut(batches):
             ids = [c.encode(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return short_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -202,11 +202,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
-        for b in batches:
+        for b in recut(batches):
             text = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return short_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

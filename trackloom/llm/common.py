@@ -3,44 +3,42 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of every operator here: maximal runs without ASCII white space. ``bytes.split()`` cuts at the same six bytes.
-WORD = r"[^\x20\x09-\x0D]++"
-
-#: Rows of one Arrow batch. Texts may be megabytes long, so batches stay short.
-BATCH_ROWS = 256
+from ..session import new_path, shared_dir, table
 
+__all__ = ["BATCH_ROWS", "WORD", "new_path", "recut", "row_hash", "seeded", "shared_dir", "stored", "table", "text_bytes", "tokenizer_path", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Words of every operator here: maximal runs without ASCII white space. ``bytes.split()`` cuts at the same six bytes.
+WORD = r"[^\x20\x09-\x0D]++"
 
-def short_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Bounds the Arrow batches of the Python stages that follow; returns ``df``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+#: Rows and bytes of the slices in which Python stages work. Spark's own batches are of up to 10,000 rows and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where that is unset."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    return (own or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+def recut(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most so many rows and bytes, without a copy; a row that is larger comes alone, and no slice is empty."""
+    for b in batches:
+        if b.num_rows > rows or b.num_rows > 1 and b.nbytes > size:
+            half = b.num_rows // 2
+            yield from recut((b.slice(0, half), b.slice(half)), rows, size)
+        elif b.num_rows:
+            yield b
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trackloom-{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again: cuts the lineage, survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to a new table of the shared folder and read again. The table stays, as the result may be read again."""
+    return written(df, new_path(df.sparkSession, name))
 
 
 def text_bytes(value: str | None) -> bytes:
@@ -53,6 +51,12 @@ def seeded(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for those that Spark cannot hash and those that share a name: an order for rows that agree otherwise."""
+    plain = [f.name for f in df.schema if df.columns.count(f.name) == 1 and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*(F.col(f"`{n.replace('`', '``')}`") for n in plain))
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of the installed public tokenizers; an existing path is taken as it is."""
     if os.path.exists(name):

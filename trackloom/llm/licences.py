@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import short_batches, table
+from .common import recut, table
 
 #: Every pattern of SENTENCES needs one of these within a single word, so no line break parts them, or fits SHORT;
 #: a text, in lower case, with neither has no licence sentence.
@@ -220,12 +220,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order), licences of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in recut(batches):
             found = [identifiers(x) for x in b.column(1).to_pylist()]
             strings = pa.list_(pa.string())
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([[n for n, _ in x] for x in found], strings), pa.array([licences(x) for x in found], strings)], ["doc_id", "sentences", "licences"])
 
-    return short_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, sentences array<string>, licences array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sentences array<string>, licences array<string>")
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

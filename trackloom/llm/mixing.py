@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, seeded, stored, table
+from .common import WORD, row_hash, seeded, stored, table
 
 SEED = 20240229
 WEIGHTS = (3, 1, 2)
@@ -95,8 +95,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     m = mix(docs, **how)
     key = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy(c)))
     m = key(m.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).cast("int").alias("_copies")), F.col("_copies"))
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("_size"))
-    row = key(row, F.xxhash64("_row.text"))
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("_size"), row_hash(docs).alias("_order"))
+    row = key(row, F.col("_order"))
     x = row.alias("a").join(m.where("_copies > 0").alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size")) & (F.col("a._nth") == F.col("b._nth")))
     return x.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 

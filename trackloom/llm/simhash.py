@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, stored, table, text_bytes
+from ..session import discard
+from .common import new_path, recut, row_hash, stored, table, text_bytes, written
 from .components import components
 
 SEED, WORDS = 42, 3
@@ -59,11 +60,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), fp (long: the fingerprint's 64 bits) for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in recut(batches):
             fp = np.fromiter(map(fingerprint, b.column(2).to_pylist()), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return short_batches(docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")).mapInArrow(run, "doc_id long, th long, fp long")
+    return docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def anchors(half: Column) -> Column:
@@ -148,7 +149,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield from flush(np.concatenate(keys), np.concatenate(held))
 
     dealt = keyed.select("anchor", "fp").repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = short_batches(dealt, 10_000).mapInArrow(run, "u long, v long")
+    found = dealt.mapInArrow(run, "u long, v long")
     return found.distinct()
 
 
@@ -156,8 +157,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), fp, root (a fingerprint of the group), component_id for every row of ``docs``."""
     d = stored(fingerprints(docs), "fingerprints")
     classes = stored(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges = stored(links(classes), "links")
-    roots = stored(components(edges), "roots")
+    pairs = new_path(docs.sparkSession, "links")
+    roots = stored(components(written(links(classes), pairs)), "roots")
+    discard(docs.sparkSession, pairs)
     c = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = c.groupBy("root").agg(F.min("first").alias("component_id"))
     return d.join(c.join(least, "root").select("fp", "root", "component_id"), "fp")
@@ -172,9 +174,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, one of its smallest doc_id's; all columns as they are."""
     keep = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("th").alias("_th"))
     keep = keep.select(F.col("doc_id").alias("_id"), "_th")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), text_hash(F.col("text")).alias("_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), text_hash(F.col("text")).alias("_hash"), row_hash(docs).alias("_order"))
     x = rows.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    x = x.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0))))
+    x = x.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_order")))
     return x.where("_nth = 1").select("_row.*")
 
 
