@@ -136,3 +136,10 @@ def test_packing_is_lossless():
         assert (ngram.unpack(ngram.pack(keys), len(keys)) == keys).all()
         counts = rng.integers(0, 1 << (20 if n < 1000 else 40), n)
         assert (ngram.counts_of(ngram.counts_bytes(counts), n) == counts).all()
+
+
+def test_hashes_that_meet_do_no_harm(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "SPARE", -4)
+    rows = some_rows()
+    got = ngram.score(frame(spark, rows), 300).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)

@@ -42,7 +42,7 @@ from .common import recut, stored, table, text_bytes
 
 FOLDS, HELD, DELETED, KEPT = 10, 0, 1, 2
 #: Text bytes of a chunk, tokens of a key range on average (up to WIDEN tokens in all), rows worked on at once (a row holds a packed chunk), spare bits of a hash.
-CHUNK_BYTES, RANGE_TOKENS, WIDEN, ROWS, SPARE = 8 << 20, 1 << 20, 1 << 31, 8, 18
+CHUNK_BYTES, RANGE_TOKENS, WIDEN, ROWS, SPARE = 8 << 20, 1 << 20, 1 << 31, 8, 20
 #: Context buckets by powers of 2, of single words and of pairs; histogram steps a power of e, EM rounds, weights where nothing is deleted.
 BUCKETS, PAIR_BUCKETS, STEPS, ROUNDS, DEFAULT = 32, 32, 2, 60, (0.3, 0.3, 0.3, 0.1)
 CHUNKS = "part int, seq long, role int, ids array<long>, lengths binary, tokens binary, vocab binary, n long"
@@ -260,7 +260,7 @@ def estimates(lengths: np.ndarray, words: np.ndarray, both: np.ndarray, triples:
     first = starts(lengths)
     word_before, pair_before = np.concatenate((words[:1], words[:-1])), np.concatenate((both[:1], both[:-1]))
     word_before[first] = pair_before[first] = words[lengths[0] - 1]  # ends, which are as many as documents
-    share = lambda c, of: np.divide(c, of, out=np.zeros(len(c)), where=of > 0)
+    share = lambda c, of: np.minimum(np.divide(c, of, out=np.zeros(len(c)), where=of > 0), 1.0)  # more only where hashes met
     where = np.where(pair_before > 0, BUCKETS - 1 + bucket(pair_before, PAIR_BUCKETS), bucket(word_before))
     return where, np.stack([share(triples, pair_before), share(both, word_before), words / max(n, 1)])
 
