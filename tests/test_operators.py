@@ -120,12 +120,21 @@ def test_global_rank_with_ties(spark):
     assert got == want
 
 
+def test_equal_scores_are_ranked_by_several_tasks(spark):
+    d = spark.range(20_000).select("id", F.lit(1.0).alias("score"))
+    x = ranking.ranked_together(d, F.col("score"), F.lit(1), "id", 8)
+    assert x.where("rank != id + 1 or hits != rank").count() == 0 and x.count() == 20_000
+    files = spark.read.parquet(x.inputFiles()[0].rsplit("/", 1)[0]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 8 and max(r["count"] for r in files) < 5_000
+
+
 def test_pages_filters_details(spark):
     d = spark.createDataFrame([(1, "A_1", 0.9), (2, "b%2", None), (3, "c", 0.5)], "id int, track_id string, score double")
     assert [r.id for r in index.page(d, "id").collect()] == [1, 3, 2]
     assert index.filtered(d, q="a_").count() == 1 and index.filtered(d, q="").count() == 3 and index.filtered(d, id=3, q=None).count() == 1
-    with pytest.raises(LookupError):
-        index.detail(d, "id", 9)
+    assert index.detail(d, "id", 3).first() == (3, "c", 0.5)
+    with pytest.raises(Exception, match="not found"):
+        index.detail(d, "id", 9).collect()
     with pytest.raises(ValueError):
         index.page(d, "id", 501)
 
@@ -169,50 +178,63 @@ def test_dates_lists_ids(spark):
 
 
 def test_events_are_added_from_a_list(spark):
-    d = labels.new_document()
-    lines = ["4907 x y A. Name C3 Kreutz Apr30-May01,24 note", "no event"]
-    assert labels.add_event(d, spark, 4907, "list.txt", lines)["days"].keys() == {"2024-04-30", "2024-05-01"}
+    lines = spark.createDataFrame([("4907 x y A. Name C3 Kreutz Apr30-May01,24 note",), ("no event",)], "line string")
+    t = labels.with_listed_event(labels.no_labels(spark), lines, 4907, "list.txt")
+    assert sorted(r.day for r in t.days.collect()) == ["2024-04-30", "2024-05-01"]
     for number in (4907, 1):
-        with pytest.raises(ValueError):
-            labels.add_event(d, spark, number, "list.txt", lines)
-    labels.set_day(d, 4907, "2024-05-01", 7, [])
-    assert d["events"][0]["status"] == "ingested"
+        with pytest.raises(ValueError, match=str(number)):
+            labels.with_listed_event(t, lines, number, "list.txt")
+    t = labels.with_day(t, 4907, "2024-05-01", 7)
+    assert t.events.first().status == "ingested" and {r.day: r.sequence_id for r in t.days.collect()} == {"2024-04-30": None, "2024-05-01": 7}
+    t = labels.with_day(t, 4907, "2024-04-30", track_ids=["seq7_a_00001"])
+    assert t.events.first().status == "labeled"
+    with pytest.raises(ValueError, match="no day"):
+        labels.with_day(t, 4907, "2024-06-01", 7)
+    again = labels.flat(labels.document(t))
+    assert [sorted(map(repr, x.select(*y.columns).collect())) for x, y in zip(again, t, strict=True)] == [sorted(map(repr, x.collect())) for x in t]
 
 
-def document():
-    d = labels.new_document()
-    d["events"].append({"soho_number": 1, "group": "Kreutz", "cameras": ["C2A"], "obs_start": "2024-01-01", "obs_end": "2024-01-03", "source_file": "f", "source_line": "l", "status": "labeled", "notes": "", "days": {"2024-01-01": {"sequence_id": 5, "positive_track_ids": ["seq5_a_00001"]}, "2024-01-02": {"sequence_id": 6, "positive_track_ids": []}}})
-    labels.add_negative_day(d, "2024-01-05", "c2", 8, ["list"])
-    labels.set_splits(d, {"train": ["2024-01-01", "2024-01-02"], "val": ["2024-01-05"]})
-    return d
+EVENT = {"soho_number": 1, "group": "Kreutz", "cameras": ["C2A"], "obs_start": "2024-01-01", "obs_end": "2024-01-03", "source_file": "f", "source_line": "l", "status": "labeled", "notes": "", "days": {"2024-01-01": {"sequence_id": 5, "positive_track_ids": ["seq5_a_00001"]}, "2024-01-02": {"sequence_id": 6, "positive_track_ids": []}}}
 
 
-def flat(spark, d, tmp_path):
+def flat(spark, tmp_path):
     import json
 
     from trackloom.sources.documents import labels as read
 
-    (tmp_path / "labels.json").write_text(json.dumps(d))
-    return labels.flat(read(spark, str(tmp_path / "labels.json")))
+    (tmp_path / "labels.json").write_text(json.dumps({"label_format": labels.FORMAT, "events": [EVENT], "negative_days": [], "splits": {}}))
+    d = read(spark, str(tmp_path / "labels.json"))
+    assert labels.format_problems(d).count() == 0 and labels.format_problems(d.withColumn("label_format", F.lit("v0"))).count() == 1
+    t = labels.with_negative_day(labels.flat(d), "2024-01-05", "c2", 8, ["list"])
+    return labels.with_splits(t, {"train": ["2024-01-01", "2024-01-02"], "val": ["2024-01-05"]})
 
 
 def test_labels_sound_and_unsound(spark, tmp_path):
-    d = document()
-    assert labels.validate(*flat(spark, d, tmp_path)).count() == 0
-    with pytest.raises(ValueError):
-        labels.add_negative_day(d, "2024-01-05", "C2", 8, [])
-    labels.set_day(d, 1, "2024-01-02", None, ["bad"])
-    d["negative_days"][0] |= {"day": "2024-01-01", "verified_against": []}
-    labels.set_splits(d, {"train": ["2024-01-01"], "val": ["2024-01-02", "2024-01-09"]})
-    got = {r.problem for r in labels.validate(*flat(spark, d, tmp_path)).collect()}
+    t = flat(spark, tmp_path)
+    assert labels.validate(*t).count() == 0
+    for day in ("2024-01-05", "2024-13-05"):
+        with pytest.raises(ValueError, match=day):
+            labels.with_negative_day(t, day, "C2", 8, [])
+    with pytest.raises(ValueError, match="soon"):
+        labels.with_splits(t, {"train": ["soon"]})
+    t = labels.with_day(t, 1, "2024-01-02", None, ["bad"])
+    t = t._replace(negatives=t.negatives.withColumns({"day": F.lit("2024-01-01"), "verified_against": F.array().cast("array<string>")}))
+    t = labels.with_splits(t, {"train": ["2024-01-01"], "val": ["2024-01-02", "2024-01-09"]})
+    got = {r.problem for r in labels.validate(*t).collect()}
     assert got == {"track id without sequence", "negative day overlaps an event", "no verification sources", "split day without data", "neighbouring days in different splits"}
 
 
 def test_split_resolution_excludes_unlabelled_days(spark, tmp_path):
-    _, days, negatives, splits = flat(spark, document(), tmp_path)
+    x = flat(spark, tmp_path)
+    _, days, negatives, splits = x
     t = spark.createDataFrame([(5, "seq5_a_00001"), (5, "seq5_a_00002"), (6, "seq6_a_00001"), (8, "seq8_a_00001")], "sequence_id long, track_id string")
     got = sorted((r.split, r.track_id, r.label) for r in labels.resolve(days, negatives, splits, t).collect())
     assert got == [("train", "seq5_a_00001", 1), ("train", "seq5_a_00002", 0), ("val", "seq8_a_00001", 0)]
+    assert labels.resolve_split(x, "val", t).count() == 1
+    with pytest.raises(ValueError, match="not defined"):
+        labels.resolve_split(x, "test", t)
+    with pytest.raises(Exception, match="has no crops"):
+        labels.resolve(days, negatives, splits, t.where("track_id != 'seq5_a_00001'")).collect()
     a = {r.track_id: r.event and r.event.relation for r in labels.attributed(t, days).collect()}
     assert a == {"seq5_a_00001": "confirmed_positive", "seq5_a_00002": None, "seq6_a_00001": "unrecovered_event_day", "seq8_a_00001": None}
 

@@ -139,17 +139,27 @@ def sigma_of(values: np.ndarray) -> float:
     return float(1.4826 * np.median(np.abs(values - np.median(values)))) if values.size else 0.0
 
 
-def residual(frames: list[np.ndarray], i: int, config: MotionConfig) -> np.ndarray | None:
-    """Frame i less the median of its neighbours, itself not among them, or less the frame before; None where there is none."""
+def less_background(frame: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """A frame less the median of its neighbours in time, pixel by pixel; itself is not among them."""
+    return frame - np.median(np.stack(near), axis=0)
+
+
+def neighbours(i: int, n: int, config: MotionConfig) -> list[int]:
+    """Places of the frames that make frame i's background: those about it, or the one before."""
     if config.method == "prev_diff":
-        return frames[i] - frames[i - 1] if i else None
+        return [i - 1] if i else []
     if config.method != "median":
         raise ValueError(f"unknown method {config.method!r}")
-    if len(frames) < 3:
+    if n < 3:
         raise ValueError("three frames or more are needed")
     half = config.window // 2
-    near = frames[max(0, i - half) : i] + frames[i + 1 : i + 1 + half]
-    return frames[i] - np.median(np.stack(near), axis=0)
+    return [j for j in range(max(0, i - half), min(n, i + half + 1)) if j != i]
+
+
+def residual(frames: list[np.ndarray], i: int, config: MotionConfig) -> np.ndarray | None:
+    """Frame i less its background; None where there is none."""
+    near = neighbours(i, len(frames), config)
+    return less_background(frames[i], [frames[j] for j in near]) if near else None
 
 
 def label(binary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -231,13 +241,13 @@ def detect(res: np.ndarray, mask: np.ndarray, config: MotionConfig) -> tuple[lis
 
 def crop(res: np.ndarray, mask: np.ndarray, x: float, y: float, size: int = 32) -> tuple[np.ndarray, float]:
     """Square about the rounded place, 0 outside and where invalid, and the valid share of the whole square."""
-    out, left, top = np.zeros((size, size), np.float32), round(x) - size // 2, round(y) - size // 2
-    y0, y1, x0, x1 = max(0, top), min(res.shape[0], top + size), max(0, left), min(res.shape[1], left + size)
-    if y0 >= y1 or x0 >= x1:
-        return out, 0.0
-    valid = mask[y0:y1, x0:x1]
-    out[y0 - top : y1 - top, x0 - left : x1 - left] = np.where(valid, res[y0:y1, x0:x1], 0)
-    return out, float(np.count_nonzero(valid)) / size**2
+    at, inside = [], []
+    for middle, most in ((y, res.shape[0]), (x, res.shape[1])):
+        places = round(middle) - size // 2 + np.arange(size)
+        inside.append((places >= 0) & (places < most))
+        at.append(np.clip(places, 0, most - 1))
+    valid = mask[np.ix_(*at)] & np.logical_and.outer(*inside)
+    return np.where(valid, res[np.ix_(*at)], 0).astype(np.float32), float(valid.mean())
 
 
 def normalise_stack(stack: np.ndarray, most: int = 16, floor: float = 1e-6) -> tuple[np.ndarray, int]:
@@ -248,6 +258,12 @@ def normalise_stack(stack: np.ndarray, most: int = 16, floor: float = 1e-6) -> t
     return np.concatenate([out, np.zeros((most - len(out), *out.shape[1:]), np.float32)]), min(len(stack), most)
 
 
+def recovered_shifts(frame: np.ndarray, shifts: list[tuple[float, float]]) -> list[tuple[float, float, float]]:
+    """For each planted shift (dx, dy): the estimate that undoes it, and its response."""
+    whole = np.ones(frame.shape, bool)
+    return [estimate_shift(frame, apply_shift(frame, whole, -dx, -dy)[0]) for dx, dy in shifts]
+
+
 def inject(frames: list[np.ndarray], start: tuple[float, float], velocity: tuple[float, float], strength: float, width: float = 1.5) -> tuple[list[np.ndarray], list[tuple[float, float]]]:
     """Copies with a faint moving source, its height in each frame's sigma; and where it is."""
     places = [(start[0] + velocity[0] * i, start[1] + velocity[1] * i) for i in range(len(frames))]

@@ -1,7 +1,8 @@
 """Frames as rows: normalise, register, subtract, detect, crop. Pixels travel as binary and never beyond the detection step.
 
 A frame row holds one frame; what a frame needs of others (the sequence's reference, its neighbours in time) is
-brought to it by a join or a window of a few rows, so no task holds a whole day of frames.
+brought to it by a join or a window of a few rows, so no task holds a whole day of frames. Spark cuts the rows that
+it hands to Python at 64 MB.
 """
 
 from __future__ import annotations
@@ -16,15 +17,6 @@ from pyspark.sql import functions as F
 from ..kernels import frames as k
 from ..schemas import DETECTION
 
-#: Frames of an Arrow batch.
-BATCH = 8
-
-
-def short_batches(df: DataFrame, rows: int = BATCH) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def pixels(data: bytes, height: int, width: int, kind: str = "<f4") -> np.ndarray:
     return np.frombuffer(data, kind).reshape(int(height), int(width))
 
@@ -46,7 +38,7 @@ def preprocess(raw: DataFrame, **own) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NORMALISED.split(", ")])
 
     columns = ["sequence_id", "frame", "ts", "height", "width", "dtype", "data", "detector", "exposure_seconds", "sun_x", "sun_y", "plate_scale_arcsec"]
-    return short_batches(raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)).mapInPandas(run, NORMALISED)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns).mapInPandas(run, NORMALISED)
 
 
 def mask_of(data: bytes, height: int, width: int) -> np.ndarray:
@@ -82,7 +74,7 @@ def register(normalised: DataFrame, config: k.RegisterConfig = k.RegisterConfig(
 
     ref = reference_frames(normalised).select("sequence_id", F.col("frame").alias("reference"), F.col("data").alias("reference_data"), F.col("height").alias("reference_height"), F.col("width").alias("reference_width"))
     x = normalised.where("usable").select("sequence_id", "frame", "ts", "height", "width", "data", "mask").join(ref, "sequence_id")
-    return short_batches(x).mapInPandas(run, REGISTERED)
+    return x.mapInPandas(run, REGISTERED)
 
 
 DETECTED = f"sequence_id long, frame string, ts timestamp, sigma double, detections array<{DETECTION}>"
@@ -105,7 +97,7 @@ def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), res
                 near = [pixels(b, r["height"], r["width"]) for b in r["near"] if b is not None]
                 found, sigma, res = [], 0.0, np.zeros_like(data)
                 if near:
-                    res = data - np.median(np.stack(near), axis=0)
+                    res = k.less_background(data, near)
                     valid = mask & mask_of(r["mask_before"], r["height"], r["width"]) if config.method == "prev_diff" else mask
                     found, sigma = k.detect(res, valid, config)
                 row = {"sequence_id": r["sequence_id"], "frame": r["frame"], "ts": r["ts"], "sigma": round(sigma, 5), "detections": found}
@@ -114,7 +106,7 @@ def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), res
 
     near = F.filter(F.array(*(F.lag("data", -o).over(w) for o in offsets)), lambda b: b.isNotNull())
     x = registered.where("status in ('ok', 'reference')").withColumns({"near": near, "mask_before": F.lag("mask").over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("sequence_id"))})
-    return short_batches(x.select("sequence_id", "frame", "ts", "height", "width", "data", "mask", "near", "mask_before", "n")).mapInPandas(run, schema)
+    return x.select("sequence_id", "frame", "ts", "height", "width", "data", "mask", "near", "mask_before", "n").mapInPandas(run, schema)
 
 
 def exploded(detected: DataFrame) -> DataFrame:
@@ -140,7 +132,7 @@ def crops(points: DataFrame, residual_frames: DataFrame, size: int = 32) -> Data
 
     by_frame = points.groupBy("sequence_id", "frame").agg(F.collect_list(F.struct("track_id", "seq", "x", "y")).alias("points"))
     x = residual_frames.select("sequence_id", "frame", "height", "width", "residual", "mask").join(by_frame, ["sequence_id", "frame"])
-    c = short_batches(x).mapInPandas(cut, "track_id string, seq int, frame string, x double, y double, crop binary, valid_fraction double")
+    c = x.mapInPandas(cut, "track_id string, seq int, frame string, x double, y double, crop binary, valid_fraction double")
     g = c.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame", "x", "y", "crop", "valid_fraction"))).alias("a"))
-    joined = F.expr("aggregate(a, cast('' as binary), (s, p) -> concat(s, p.crop))")
+    joined = F.unhex(F.array_join(F.transform("a", lambda p: F.hex(p["crop"])), ""))  # one buffer, not one a crop
     return g.select("track_id", F.size("a").alias("n_frames"), F.lit(size).alias("crop_size"), joined.alias("crops"), F.col("a.valid_fraction").alias("valid_fractions"), F.col("a.frame").alias("frames"), F.transform("a", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("positions"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,34 @@ def page(scored: DataFrame, key: str, limit: int = 50, offset: int = 0, score: s
 
 
 def detail(df: DataFrame, key: str, value: object) -> DataFrame:
-    """The row of a unique key; LookupError when absent."""
-    row = df.where(F.col(key) == value)
-    if row.isEmpty():
-        raise LookupError(f"{key} {value!r} not found")
-    return row
+    """The row of a unique key; reading it is an error when the key is absent. Nothing runs before."""
+    one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    row = df.where(F.col(key) == value).withColumn("_there", F.lit(True))
+    there = lambda c: F.when(F.col("_there"), F.col(c)).otherwise(F.raise_error(F.lit(f"{key} {value!r} not found")))
+    return one.join(row, F.lit(True), "left").select(*(there(c).alias(c) for c in df.columns))
+
+
+def iso(c: Column) -> Column:
+    """A time as ISO-8601 text without a zone, to seconds, or to microseconds where it has a part of a second."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def api_rows(candidates: DataFrame) -> DataFrame:
+    """Rows as the interface gives them: times as ISO text, all else as it is."""
+    times = {f.name for f in candidates.schema if f.dataType.typeName().startswith("timestamp")}
+    return candidates.select(*(iso(F.col(c)).alias(c) if c in times else F.col(c) for c in candidates.columns))
+
+
+def image_rows(images: DataFrame, sequence: Column, sequence_id: object, time: str, name: str) -> DataFrame:
+    """Complete images of one sequence in order of time, then name."""
+    return images.where((sequence == F.lit(sequence_id)) & F.col(time).isNotNull()).orderBy(time, name)
+
+
+def log_tail(entries: DataFrame, job: str, order: list[str], most: int = 40) -> DataFrame:
+    """The last entries of each job's log; each task cuts its own before they meet."""
+    w = Window.partitionBy(job).orderBy(*(F.desc(c) for c in order))
+    return entries.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).drop("_nth")
 
 
 def counts_by(df: DataFrame, *keys: str, known_only: bool = False) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rounded
+from ..functions import rounded, sequence_of
+from ..session import stored
 
 
 def share(a: Column, b: Column) -> Column:
@@ -29,22 +30,25 @@ def ranked(df: DataFrame, keys: list[str], label: str, score: str, tie: str) ->
     return df.withColumns({"rank": F.row_number().over(w), "hits": F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0))})
 
 
-def ranked_together(df: DataFrame, score: Column, one: Column, tie: str, parts: int = 64) -> DataFrame:
+def ranked_together(df: DataFrame, score: Column, one: Column, tie: str, parts: int | None = None) -> DataFrame:
     """One ranking of all rows without one task that sorts them all.
 
-    Rows fall into buckets by approximate quantiles of the score; a row's rank and hits are those in its bucket plus
-    the sums of the buckets above, of which there are no more than parts + 1.
+    Rows are dealt into ranges of (score, tie), so equal scores part as well, and are written once with their place in their
+    range. A row's rank and hits are those in its range plus the sums of the ranges before, of which there are ``parts``.
     """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.withColumns({"_s": score, "_one": one})
-    edges = x.select(F.percentile_approx("_s", [i / parts for i in range(1, parts)], 10_000).alias("e"))
-    x = x.crossJoin(F.broadcast(edges)).withColumn("_b", F.coalesce(F.size(F.filter("e", lambda e: e <= F.col("_s"))), F.lit(-1))).drop("e")
-    up = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.desc_nulls_last("_s"), F.asc(tie)]
+    x = stored(x.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    # the id numbers the rows of a partition in order below bit 33, and the partition above
+    x = x.withColumns({"_b": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_p"))
-    sums = sums.select("_b", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_above"), F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_hits"))
-    w = Window.partitionBy("_b").orderBy(F.desc_nulls_last("_s"), tie)
-    x = x.join(F.broadcast(sums), "_b")
-    x = x.withColumns({"rank": F.col("_above") + F.row_number().over(w), "hits": F.col("_hits") + F.sum("_one").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return x.drop("_b", "_s", "_one", "_above", "_hits")
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_hits"))
+    hits = F.sum("_one").over(Window.partitionBy("_b").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_own", hits).join(F.broadcast(sums), "_b")
+    x = x.withColumns({"rank": F.col("_above") + F.col("_nth"), "hits": F.col("_hits") + F.col("_own")})
+    return x.select(*df.columns, "rank", "hits")
 
 
 def report(df: DataFrame, keys: list[str], label: str, score: str, tie: str, ks: tuple = (10, 50), threshold: float = 0.5, places: int = 6) -> DataFrame:
@@ -85,3 +89,28 @@ def recovery(scored: DataFrame, positives: DataFrame, item: str, event: str, seq
 def global_rank(df: DataFrame, item: str) -> DataFrame:
     """Adds ``global_rank`` over all rows by score, ties by item."""
     return ranked_together(df, F.col("score"), F.lit(0), item).withColumnRenamed("rank", "global_rank").drop("hits")
+
+
+def event_summary(events: DataFrame, days: DataFrame, splits: DataFrame, scored: DataFrame) -> DataFrame:
+    """Recovery of each labelled event: soho_number, group, splits (``unsplit`` without any), days, and what ``recovery`` says, with the pool of all scored.
+
+    scored: track_id, score. An event of several days counts its positives over all of them; a best track without a score has no ranks.
+    """
+    s = scored.select("track_id", "score", sequence_of(F.col("track_id")).alias("sequence_id"))
+    of = days.join(splits.select("day", "split"), "day", "left").groupBy("ord").agg(F.count_distinct("day").alias("days"), F.array_sort(F.collect_set("split")).alias("splits"))
+    facts = events.select("ord", "soho_number", "group").join(of, "ord", "left")
+    none = F.coalesce(F.size("splits"), F.lit(0)) <= 0
+    facts = facts.select("soho_number", "group", F.when(none, F.array(F.lit("unsplit"))).otherwise(F.col("splits")).alias("splits"), F.coalesce("days", F.lit(0)).alias("days"))
+    positives = events.select("ord", "soho_number").join(days.select("ord", F.explode("positive_track_ids").alias("track_id")), "ord", "left").select("soho_number", "track_id")
+    found = recovery(s, positives, "track_id", "soho_number", "sequence_id").withColumn("best_fusion", rounded(F.col("best_fusion"), 4))
+    pool = scored.agg(F.count(F.lit(1)).alias("global_pool"))
+    return facts.join(found, "soho_number").crossJoin(F.broadcast(pool))
+
+
+def split_summary(resolved: DataFrame, scored: DataFrame) -> DataFrame:
+    """Ranking quality of each split: n_positives, n_negatives, n_missing_scores, ap, p_at_10, r_at_50, r_at_250. A track without a score ranks last."""
+    x = resolved.join(scored.select("track_id", "score"), "track_id", "left")
+    missing = x.groupBy("split").agg(F.count_if(F.col("score").isNull()).alias("n_missing_scores"))
+    r = report(x, ["split"], "label", "score", "track_id", (10, 50, 250), places=4).join(missing, "split")
+    names = {"average_precision": "ap", "precision_at_10": "p_at_10", "recall_at_50": "r_at_50", "recall_at_250": "r_at_250"}
+    return r.select("split", F.col("n_pos").alias("n_positives"), (F.col("n_total") - F.col("n_pos")).alias("n_negatives"), "n_missing_scores", *(F.col(a).alias(b) for a, b in names.items()))

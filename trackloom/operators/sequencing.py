@@ -11,7 +11,10 @@ GAP_MINUTES = 60.0
 
 
 def sessionise(frames: DataFrame, key: str, ts: str, tie: str, gap_minutes: float = GAP_MINUTES) -> DataFrame:
-    """Adds ``day`` and ``seq`` (from 1 within key and day). A gap of exactly the limit does not part.
+    """Adds ``day`` and ``seq`` (from 1 within key and day), in place of columns of these names. A gap of exactly the limit does not part.
+
+    Rows without a time are a sequence of their own a row, on no day; of equal times the smaller ``tie`` comes first; repeated
+    rows each count; no rows give none.
 
     Days are parted anyway, so (key, day) is the window's partition: an instrument's years never meet in one task.
     """
@@ -44,6 +47,12 @@ def ungrouped(images: DataFrame) -> Column:
     return F.col("sequence_id").isNull() & (F.col("ingestion_status") == "complete") & F.col("observation_time").isNotNull()
 
 
+def grouping_counts(images: DataFrame) -> DataFrame:
+    """How many images await a sequence, and how many are skipped."""
+    waits = F.coalesce(ungrouped(images), F.lit(False))
+    return images.agg(F.count_if(waits).alias("waiting"), F.count_if(~waits).alias("skipped"))
+
+
 def attach(frames: DataFrame, built: DataFrame, frame_key: list[str], instrument: str, ts: str, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Frames with the earliest sequence of their instrument and day whose window, widened by the gap, holds their time; null columns if none does.
 

@@ -20,8 +20,8 @@ def classify(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
 
 
 def latest(versions: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key of an append log."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
+    """The newest row of each key of an append log; of several with the same version, the one with the largest hash of all its columns, the same in every run."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc(F.xxhash64(*(c for c, kind in versions.dtypes if "map<" not in kind))))
     return versions.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
@@ -52,12 +52,14 @@ def bands(candidates: DataFrame, key: str, score: str, label: str, status: str,
 
     Only the top ``medium`` rows, a fixed number, are ever ranked together: they come from a bounded top-k.
     """
-    open_ = F.col(label).isNull() & F.col(score).isNotNull()
-    top = candidates.where(open_).select(F.col(key).alias("_key"), score).orderBy(F.desc(score), F.asc("_key")).limit(medium)
-    top = top.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc("_key")))).select("_key", "_rank")
-    x = candidates.join(F.broadcast(top), F.col(key) == F.col("_key"), "left")
-    band = F.when(~open_, F.col(status)).when(F.col("_rank") <= high, "HIGH_PRIORITY").when(F.col("_rank").isNotNull(), "MEDIUM_PRIORITY").otherwise("LOW_PRIORITY")
-    return x.withColumn(status, band).drop("_key", "_rank")
+    own = lambda c: F.col(f"_all.`{c}`")
+    candidates, open_ = candidates.alias("_all"), own(label).isNull() & own(score).isNotNull()
+    top = candidates.where(open_).select(F.col(key).alias("key"), F.col(score).alias("score")).orderBy(F.desc("score"), "key").limit(medium)
+    top = top.select("key", F.row_number().over(Window.orderBy(F.desc("score"), "key")).alias("rank")).alias("_top")
+    place = F.col("_top.rank")
+    band = F.when(~open_, own(status)).when(place <= high, "HIGH_PRIORITY").when(place.isNotNull(), "MEDIUM_PRIORITY").otherwise("LOW_PRIORITY")
+    x = candidates.join(F.broadcast(top), own(key) == F.col("_top.key"), "left")
+    return x.select(*(band.alias(c) if c == status else own(c) for c in candidates.columns))
 
 
 def reviewed(log: DataFrame, key: str, version: str) -> DataFrame:

@@ -32,7 +32,6 @@ def decode(files: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame([decoded(p, bytes(c)) for p, c in zip(part.path, part.content, strict=True)], columns=NAMES)
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     x = files.select("path", "content").mapInPandas(run, FRAME).withColumn("ts", observation_time(F.col("date_obs")))
     return x.withColumn("error", F.coalesce("error", F.when(F.col("ts").isNull(), "unparseable observation time")))
 
