@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_path, shared_dir, table
+from ..session import new_path, shared_dir, stored, table, written
 
 __all__ = ["BATCH_ROWS", "WORD", "new_path", "recut", "row_hash", "seeded", "shared_dir", "stored", "table", "text_bytes", "tokenizer_path", "written"]
 
@@ -30,17 +30,6 @@ def recut(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int =
             yield b
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` and read again: cuts the lineage, survives lost executors."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table of the shared folder and read again. The table stays, as the result may be read again."""
-    return written(df, new_path(df.sparkSession, name))
-
-
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "replace")
 
