@@ -20,6 +20,16 @@ def seeded_weights(seed: int = 0, extra: int = 0) -> dict[str, np.ndarray]:
     return out
 
 
+def known(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The model's weights among a checkpoint's arrays, others left out; one that is missing or has another shape is an error."""
+    shapes = {k: v.shape for k, v in seeded_weights().items()}
+    for name, shape in shapes.items():
+        got = arrays[name].shape if name in arrays else None
+        if got != shape and not (name == "head.w" and got is not None and len(got) == 1 and got[0] > shape[0]):
+            raise ValueError(f"weight {name} is {got}, not {shape}")
+    return {name: np.asarray(arrays[name], np.float32) for name in shapes}
+
+
 def parameters(weights: dict[str, np.ndarray]) -> int:
     return sum(w.size for w in weights.values())
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed, let, whole
 from ..schemas import FEATURES
+from .ranking import FUSION
 
 #: What every package states. Fixed values.
 CAVEATS = (
     "Scores are ranking signals, not detection probabilities; model calibration on unseen months is weak.",
     "A candidate is not a discovery: confirmation requires human review and astrometric verification.",
 )
-FUSION = "fusion_mean_v1"
 
 
 def packages(candidates: DataFrame, points: DataFrame, dna: DataFrame, predictions: DataFrame, events: DataFrame, provenance: dict[str, Column]) -> DataFrame:
@@ -47,18 +48,19 @@ def compact(packages_: DataFrame) -> DataFrame:
 
 
 def reports(packages_: DataFrame) -> DataFrame:
-    """track_id, generated_by, report: a deterministic text from the evidence alone."""
+    """track_id, generated_by, report: a deterministic text from the evidence alone. Its lines are fixed values."""
     line = lambda c: F.concat(F.lit("- "), c)
     fused = F.filter("predictions", lambda p: p["run_id"] == FUSION)
     others = F.filter("predictions", lambda p: p["run_id"] != FUSION)
     head = F.concat(F.lit("Automated summary for `"), F.col("track_id"), F.lit("` (status "), F.col("candidate.status"), F.lit(", "), F.col("candidate.n_frames").cast("string"), F.lit(" frames, "), F.coalesce("candidate.instrument", F.lit("unknown instrument")), F.lit("). LLM narration unavailable; facts below are quoted directly from the evidence package."))
-    facts = [F.when(F.col(f"motion_dna.{f}").isNotNull(), line(F.concat(F.lit(f"Motion DNA {f}: "), significant(F.col(f"motion_dna.{f}").cast("double"))))) for f in sorted(FEATURES)]
+    facts = F.array(*(F.struct(F.lit(f).alias("name"), F.col(f"motion_dna.{f}").cast("double").alias("value")) for f in sorted(FEATURES)))
+    facts = F.transform(F.filter(facts, lambda x: x["value"].isNotNull()), lambda x: line(F.concat(F.lit("Motion DNA "), x["name"], F.lit(": "), significant(x["value"]))))
     event = F.when(F.col("event").isNotNull(), line(F.concat(F.lit("Attribution: SOHO-"), F.col("event.soho_number").cast("string"), F.lit(" ("), F.col("event.relation"), F.lit(", "), F.coalesce("event.day", F.lit("None")), F.lit(")")))).otherwise("- No known-event attribution.")
     parts = F.concat(
         F.array(F.lit("## Assessment"), head, F.lit(""), F.lit("## Key evidence")),
-        F.transform(fused, lambda p: F.format_string(f"- Fusion score ({FUSION}): %.4f", p["score"])),
-        F.transform(others, lambda p: F.concat(F.lit("- "), p["run_id"], F.format_string(": %.4f", p["score"]))),
-        F.filter(F.array(*facts), lambda x: x.isNotNull()),
+        F.transform(fused, lambda p: F.concat(F.lit(f"- Fusion score ({FUSION}): "), fixed(p["score"], 4))),
+        F.transform(others, lambda p: F.concat(F.lit("- "), p["run_id"], F.lit(": "), fixed(p["score"], 4))),
+        facts,
         F.array(event, F.lit(""), F.lit("## Caveats")),
         F.transform("caveats", line),
     )
@@ -67,26 +69,47 @@ def reports(packages_: DataFrame) -> DataFrame:
 
 def significant(c: Column, digits: int = 4) -> Column:
     """A number with so many significant digits, trailing zeros dropped; very large and small ones in exponent form."""
-    e = F.when(c == 0, 0).otherwise(F.floor(F.log10(F.abs(c)) + 1e-12)).cast("int")
-    e = e + F.when(F.round(F.abs(c) / F.pow(F.lit(10.0), e), digits - 1) >= 10, 1).otherwise(0)
-    trimmed = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = F.element_at(F.array(*(trimmed(F.format_string(f"%.{n}f", c)) for n in range(digits + 4))), F.greatest(F.lit(1), F.lit(digits) - e))
-    mantissa = trimmed(F.format_string(f"%.{digits - 1}f", c / F.pow(F.lit(10.0), e)))
-    sign = F.when(e < 0, "-").otherwise("+")
-    return F.when((e < -4) | (e >= digits), F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(e).cast("string"), 2, "0"))).otherwise(plain)
-
-
-def markdown(summary: DataFrame, metrics: DataFrame, run: str = FUSION) -> str:
-    """Validation summary as text: recovery per event and metrics per split; both tables are a few rows."""
-    rows, splits = summary.orderBy("soho_number").collect(), metrics.orderBy("split").collect()
-    found = [r for r in rows if r.recovered]
-    top = sum(r.sequence_rank is not None and r.sequence_rank <= 10 for r in found)
-    out = ["# Scientific validation summary", "", f"Primary score: `{run}`.", "", "## Known-event recovery", ""]
-    out += [f"{len(found)}/{len(rows)} labeled events recovered; of those, {top}/{len(found)} rank in the top 10 of their own sequence.", ""]
-    out += ["| SOHO # | Recovered | Best fusion | Seq rank | Global rank |", "|---|---|---|---|---|"]
-    out += [f"| {r.soho_number} | yes ({r.n_positive_tracks}) | {r.best_fusion:.4f} | {r.sequence_rank}/{r.sequence_pool} | {r.global_rank} |" if r.recovered else f"| {r.soho_number} | no | — | — | — |" for r in rows]
-    out += ["", "## Ranking quality by split", "", "| Split | Positives | Total | AP | P@10 | R@50 |", "|---|---|---|---|---|---|"]
-    out += [f"| {m.split} | {m.n_pos} | {m.n_total:,} | {m.average_precision:.4f} | {m.precision_at_10:.4f} | {m.recall_at_50:.4f} |" for m in splits]
-    return "\n".join([*out, ""])
-
 
+    def text(x: Column) -> Column:
+        n, e = x["n"], x["e"]
+        places = F.lit(digits - 1) - e
+        trimmed = lambda t: F.when(F.instr(t, ".") > 0, F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t)
+        plain = let(F.lpad(n, F.greatest(F.length(n), places + 1), "0"), lambda p: trimmed(F.concat(F.substr(p, F.lit(1), F.length(p) - places), F.lit("."), F.right(p, places))))
+        sign, size = F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string")
+        power = F.concat(trimmed(F.concat(F.substring(n, 1, 1), F.lit("."), F.substr(n, F.lit(2)))), F.lit("e"), sign, F.lpad(size, F.greatest(F.lit(2), F.length(size)), "0"))
+        return F.when((e < -4) | (e >= digits), power).otherwise(plain)
+
+    def settled(size: Column, e: Column) -> Column:
+        """The exponent after rounding: the next power of ten, or the one before."""
+        return let(whole(size, F.lit(digits - 1) - e), lambda n: F.when(n >= 10**digits, e + 1).when((n > 0) & (n < 10 ** (digits - 1)), e - 1).otherwise(e))
+
+    def of(size: Column) -> Column:
+        guess = F.when(size == 0, 0).otherwise(F.floor(F.log10(size) + 1e-12)).cast("int")
+        return let(let(guess, lambda e: settled(size, e)), lambda e: text(F.struct(whole(size, F.lit(digits - 1) - e).cast("string").alias("n"), e.alias("e"))))
+
+    return F.concat(F.when(c < 0, "-").otherwise(""), let(F.abs(c), of))
+
+
+#: The summary's text. Fixed values.
+SUMMARY = (
+    "# Scientific validation summary", "", "Primary score: `{run}` over {n:,} scored tracks.", "", "## Known-event recovery", "",
+    "{found}/{events} labeled Sungrazer events recovered by the CV pipeline; of those, {top}/{found} rank in the top 10 of their own sequence under the fusion score.", "",
+    "| SOHO # | Group | Split(s) | Recovered | Best fusion | Seq rank | Global rank |", "|---|---|---|---|---|---|---|", "{event_rows}", "",
+    "## Ranking quality by split", "", "| Split | Positives | Negatives | AP | P@10 | R@50 | R@250 |", "|---|---|---|---|---|---|---|", "{split_rows}", "",
+)
+RECOVERED = "yes ({n} track{s}) | {best:.4f} | {rank}/{pool} | {global_rank}/{global_pool}"
+LOST = "no | — | — | —"
+
+
+def markdown(events: DataFrame, splits: DataFrame, n_scored: int, run: str = FUSION) -> str:
+    """Validation summary as text, of ``ranking.event_summary`` and ``ranking.split_summary``; both are a few rows. Splits come in the order train, val, test, others after."""
+    rows = events.orderBy("soho_number").collect()
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, ("train", "val", "test"))), F.col("split")), F.lit(0))
+    found = [r for r in rows if r.recovered]
+    facts = [RECOVERED.format(n=r.n_positive_tracks, s="" if r.n_positive_tracks == 1 else "s", best=r.best_fusion if r.best_fusion is not None else float("nan"), rank=r.sequence_rank, pool=r.sequence_pool, global_rank=r.global_rank, global_pool=r.global_pool) if r.recovered else LOST for r in rows]
+    measures = splits.orderBy(F.when(order == 0, 9).otherwise(order), "split").collect()
+    return "\n".join(SUMMARY).format(
+        run=run, n=n_scored, found=len(found), events=len(rows), top=sum(r.sequence_rank is not None and r.sequence_rank <= 10 for r in found),
+        event_rows="\n".join(f"| {r.soho_number} | {r.group} | {'/'.join(r.splits)} | {x} |" for r, x in zip(rows, facts, strict=True)),
+        split_rows="\n".join(f"| {m.split} | {m.n_positives} | {m.n_negatives:,} | {m.ap:.4f} | {m.p_at_10:.4f} | {m.r_at_50:.4f} | {m.r_at_250:.4f} |" for m in measures),
+    )

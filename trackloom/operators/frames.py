@@ -136,3 +136,26 @@ def crops(points: DataFrame, residual_frames: DataFrame, size: int = 32) -> Data
     g = c.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame", "x", "y", "crop", "valid_fraction"))).alias("a"))
     joined = F.unhex(F.array_join(F.transform("a", lambda p: F.hex(p["crop"])), ""))  # one buffer, not one a crop
     return g.select("track_id", F.size("a").alias("n_frames"), F.lit(size).alias("crop_size"), joined.alias("crops"), F.col("a.valid_fraction").alias("valid_fractions"), F.col("a.frame").alias("frames"), F.transform("a", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("positions"))
+
+
+def totals(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of each frame (height, width, dtype, data) with the sum and the largest of its pixels."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            images = [pixels(d, h, w, kind).astype(np.float64) for d, h, w, kind in zip(part.data, part.height, part.width, part.dtype, strict=True)]
+            yield part[keys].assign(total=[x.sum() for x in images], largest=[x.max(initial=-np.inf) for x in images])
+
+    kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    return frames.select(*keys, "height", "width", "dtype", "data").mapInPandas(run, f"{kinds}, total double, largest double")
+
+
+def stack_totals(stacks: DataFrame) -> DataFrame:
+    """track_id with the sums of all its crops, of the first and of the last one."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sums = [np.frombuffer(c, "<f4").reshape(-1, n * n).sum(axis=1, dtype=np.float64) for c, n in zip(part.crops, part.crop_size, strict=True)]
+            yield pd.DataFrame({"track_id": part.track_id, "total": [x.sum() for x in sums], "first_total": [x[0] for x in sums], "last_total": [x[-1] for x in sums]})
+
+    return stacks.select("track_id", "crops", "crop_size").mapInPandas(run, "track_id string, total double, first_total double, last_total double")

@@ -55,6 +55,19 @@ def api_rows(candidates: DataFrame) -> DataFrame:
     return candidates.select(*(iso(F.col(c)).alias(c) if c in times else F.col(c) for c in candidates.columns))
 
 
+def manifest_images(entries: DataFrame, root: str) -> DataFrame:
+    """Manifest entries (name, camera, status, content, any others) as image rows: local_path, instrument, ingestion_status (failed where the entry has none), checksum, size_bytes."""
+    others = [c for c in entries.columns if c not in ("name", "camera", "status", "content")]
+    made = {
+        "local_path": F.concat_ws("/", F.lit(root), "camera", "name"),
+        "instrument": F.concat(F.lit("LASCO/"), F.upper("camera")),
+        "ingestion_status": F.coalesce("status", F.lit("failed")),
+        "checksum": F.sha2("content", 256),
+        "size_bytes": F.octet_length("content").cast("long"),
+    }
+    return entries.select(*others, *(v.alias(k) for k, v in made.items()))
+
+
 def image_rows(images: DataFrame, sequence: Column, sequence_id: object, time: str, name: str) -> DataFrame:
     """Complete images of one sequence in order of time, then name."""
     return images.where((sequence == F.lit(sequence_id)) & F.col(time).isNotNull()).orderBy(time, name)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rounded, sequence_of
 from ..session import stored
 
+FUSION = "fusion_mean_v1"
+
 
 def share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -68,7 +70,7 @@ def report(df: DataFrame, keys: list[str], label: str, score: str, tie: str, ks:
 def fuse(predictions: DataFrame, item: str, run: str, score: str, least: int = 2) -> DataFrame:
     """Mean score of each item over its runs, as a run of its own; items of fewer than ``least`` runs have none."""
     x = predictions.groupBy(item).agg(F.avg(score).alias("score"), F.count_distinct(run).alias("n_runs"))
-    return x.where(F.col("n_runs") >= least).drop("n_runs").withColumn("run_id", F.lit("fusion_mean_v1"))
+    return x.where(F.col("n_runs") >= least).drop("n_runs").withColumn("run_id", F.lit(FUSION))
 
 
 def recovery(scored: DataFrame, positives: DataFrame, item: str, event: str, sequence: str) -> DataFrame:
@@ -81,7 +83,8 @@ def recovery(scored: DataFrame, positives: DataFrame, item: str, event: str, seq
     s = scored.withColumns({"sequence_rank": F.row_number().over(top(sequence)), "sequence_pool": F.count(F.lit(1)).over(Window.partitionBy(sequence))})
     s = global_rank(s, item)
     x = positives.join(s, item, "left")
-    best = F.max_by(F.struct(item, "score", "global_rank", "sequence_rank", "sequence_pool"), F.when(F.col(item).isNotNull(), F.struct(F.coalesce("score", F.lit(float("-inf"))), -F.coalesce("global_rank", F.lit(0)))))
+    order = F.struct(-F.coalesce("score", F.lit(float("-inf"))), F.coalesce("global_rank", F.lit(0)), F.col(item))
+    best = F.min_by(F.struct(item, "score", "global_rank", "sequence_rank", "sequence_pool"), F.when(F.col(item).isNotNull(), order))
     g = x.groupBy(event).agg(F.count(item).alias("n_positive_tracks"), best.alias("b"))
     return g.select(event, (F.col("n_positive_tracks") > 0).alias("recovered"), "n_positive_tracks", F.col(f"b.{item}").alias("best_track"), F.col("b.score").alias("best_fusion"), "b.global_rank", "b.sequence_rank", "b.sequence_pool")
 

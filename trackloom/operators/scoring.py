@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..kernels import frames as k
 from ..kernels import net
+from ..session import stored
+from ..sources.arrays import array_of
+from .ranking import FUSION, fuse
 
 
 def stack_of(crops: bytes, size: int) -> np.ndarray:
@@ -32,6 +36,27 @@ def score(stacks: DataFrame, weights: dict[str, np.ndarray], run_id: str, vector
     return x.mapInPandas(run, "track_id string, run_id string, score double")
 
 
+def weights_of(arrays_: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+    """Weights by run, of checkpoint files as ``sources.arrays`` reads them (a file a run); their number is the model's."""
+    runs: dict[str, dict[str, np.ndarray]] = {}
+    for r in arrays_.where(F.col("name").isin(*net.seeded_weights())).collect():
+        runs.setdefault(r.path.rsplit("/", 1)[-1].removesuffix(".npz"), {})[r.name] = array_of(r)
+    return {run: net.known(found) for run, found in sorted(runs.items())}
+
+
+def score_runs(stacks: DataFrame, runs: dict[str, dict[str, np.ndarray]], vector: str | None = None, max_frames: int = 16) -> tuple[DataFrame, str]:
+    """Scores of every run, from two runs on with their mean as a run of its own; and the run that ranks: the mean if there is one, else the only run."""
+    if not runs:
+        raise ValueError("a run is needed")
+    parts = [score(stacks, weights, run_id, vector, max_frames) for run_id, weights in runs.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
+        return every, next(iter(runs))
+    # one model after the other on the same stacks: the mean needs no second pass over them
+    every = stored(every, "scores")
+    return every.unionByName(fuse(every, "track_id", "run_id", "score").select(*every.columns)), FUSION
+
+
 def normalised(stacks: DataFrame, max_frames: int = 16) -> DataFrame:
     """track_id, length, stack (binary, padded)."""
 

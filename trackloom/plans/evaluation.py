@@ -77,8 +77,29 @@ def _negatives(spark, sf_dir):
 
 
 def split_resolve(spark, sf_dir):
-    x = labels.resolve(_label_days(spark, sf_dir), _negatives(spark, sf_dir), _splits(spark, sf_dir), _tracks(spark, sf_dir))
-    return x.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("n_tracks"))
+    return labels.resolve(_label_days(spark, sf_dir), _negatives(spark, sf_dir), _splits(spark, sf_dir), _tracks(spark, sf_dir))
+
+
+def _events(spark, sf_dir):
+    return _label_days(spark, sf_dir).select("ord", "soho_number", "group").distinct()
+
+
+def _track_scores(spark, sf_dir):
+    """Scores of all tracks but each tenth."""
+    x = table(spark, sf_dir, "events").where("event_id % 10 != 0")
+    return x.select(F.format_string("seq%d_x_%05d", F.dayofmonth("ts"), "event_id").alias("track_id"), (F.pmod(F.col("event_id") * 7919, F.lit(1000)) / 1000.0).alias("score"))
+
+
+def validation_events(spark, sf_dir):
+    """Recovery of every labelled event."""
+    x = ranking.event_summary(_events(spark, sf_dir), _label_days(spark, sf_dir), _splits(spark, sf_dir), _track_scores(spark, sf_dir))
+    longs = ("days", "global_rank", "sequence_rank", "sequence_pool", "global_pool")
+    return x.select("soho_number", "group", F.array_join("splits", "/").alias("splits"), "recovered", "n_positive_tracks", "best_track", "best_fusion", *(F.col(c).cast("long").alias(c) for c in longs))
+
+
+def validation_splits(spark, sf_dir):
+    """Ranking quality of every split, tracks without a score last."""
+    return ranking.split_summary(split_resolve(spark, sf_dir), _track_scores(spark, sf_dir))
 
 
 def split_leakage(spark, sf_dir):
@@ -91,9 +112,9 @@ def split_leakage(spark, sf_dir):
 
 
 def negative_overlap(spark, sf_dir):
-    """Negative days that are also days of positive tracks."""
-    p = _label_days(spark, sf_dir).where(F.size("positive_track_ids") > 0).select("day")
-    return _negatives(spark, sf_dir).join(p, "day", "left_semi").select("day", "camera")
+    """Negative days on which their camera saw an event: users of odd numbers are seen by C3, the others by C2."""
+    seen = _label_days(spark, sf_dir).select("day", F.array(F.when(F.col("soho_number") % 2 == 1, "c3a").otherwise("C2")).alias("cameras"))
+    return labels.overlapping(_negatives(spark, sf_dir), seen).select("day", "camera")
 
 
 def label_status(spark, sf_dir):
@@ -119,9 +140,9 @@ def knn_features(spark, sf_dir):
     return similarity.nearest(similarity.vector_of_map(e, "user_id", "features"), "user_id", 5, 10)
 
 
-QUERIES = {f.__name__: f for f in (ranking_prf, ranking_ap, ranking_at_k, ranking_report, ranking_global, event_recovery, recovery_totals, split_resolve, split_leakage, negative_overlap, label_status, event_attribution, knn_zscore, knn_features)}
+QUERIES = {f.__name__: f for f in (ranking_prf, ranking_ap, ranking_at_k, ranking_report, ranking_global, event_recovery, recovery_totals, validation_events, validation_splits, split_resolve, split_leakage, negative_overlap, label_status, event_attribution, knn_zscore, knn_features)}
 
-R = lambda c, n: f"floor(({c}) * 1e{n} + 0.5) / 1e{n}"
+R = lambda c, n: f"round_even(({c}) * 1e{n}, 0) / 1e{n}"
 _S = "s AS (SELECT doc_id, source, quality, toxic, ((doc_id * 7919 + n_chars) % 1000) / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
 
 
@@ -145,6 +166,10 @@ pos AS (SELECT user_id, day, dm, track_id FROM ev WHERE event_type = 'purchase'
 days AS (SELECT user_id, day, dm, count(*) FILTER (WHERE value > 120) AS npos FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2, 3),
 neg AS (SELECT DISTINCT day, dm FROM ev WHERE event_type = 'error' AND value < 1),
 spl AS (SELECT DISTINCT day, CASE WHEN dm <= 15 THEN 'train' WHEN dm <= 22 THEN 'val' ELSE 'test' END AS split FROM ev)"""
+_RESOLVED = """ds AS (SELECT * FROM days JOIN spl USING (day)), exc AS (SELECT DISTINCT split, dm FROM ds WHERE npos = 0), p AS (SELECT split, track_id FROM pos JOIN spl USING (day)),
+used AS (SELECT split, dm FROM ds UNION SELECT split, dm FROM neg JOIN spl USING (day)),
+n AS (SELECT u.split, ev.track_id FROM used u JOIN ev ON ev.dm = u.dm WHERE NOT EXISTS (SELECT 1 FROM exc WHERE exc.split = u.split AND exc.dm = u.dm) AND NOT EXISTS (SELECT 1 FROM p WHERE p.split = u.split AND p.track_id = ev.track_id))"""
+_SCORES = "SELECT track_id, dm, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS score FROM ev WHERE event_id % 10 <> 0"
 SQL = {
     "ranking_prf": f"WITH {_S}, {_report('quality', 'source')} SELECT source, tp, fp, fn, {_COLS} FROM q",
     "ranking_ap": f"WITH {_S}, {_report('toxic', 'source')} SELECT source, {_AP} FROM q",
@@ -153,15 +178,21 @@ SQL = {
     "ranking_global": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS global_rank FROM orders",
     "event_recovery": f"WITH {_REC} SELECT * FROM e",
     "recovery_totals": f"WITH {_REC} SELECT count(*) AS n_events, count(*) FILTER (WHERE recovered) AS n_recovered, count(*) FILTER (WHERE sequence_rank <= 10) AS n_top10_in_sequence FROM e",
-    "split_resolve": f"""WITH {_LAB}, ds AS (SELECT * FROM days JOIN spl USING (day)), exc AS (SELECT DISTINCT split, dm FROM ds WHERE npos = 0), p AS (SELECT split, track_id FROM pos JOIN spl USING (day)),
-used AS (SELECT split, dm FROM ds UNION SELECT split, dm FROM neg JOIN spl USING (day)),
-n AS (SELECT u.split, ev.track_id FROM used u JOIN ev ON ev.dm = u.dm WHERE NOT EXISTS (SELECT 1 FROM exc WHERE exc.split = u.split AND exc.dm = u.dm) AND NOT EXISTS (SELECT 1 FROM p WHERE p.split = u.split AND p.track_id = ev.track_id))
-SELECT split, 1 AS label, count(*) AS n, count(DISTINCT track_id) AS n_tracks FROM p GROUP BY 1 UNION ALL SELECT split, 0, count(*), count(DISTINCT track_id) FROM n GROUP BY 1""",
+    "split_resolve": f"""WITH {_LAB}, {_RESOLVED}
+SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n""",
+    "validation_events": f"""WITH {_LAB}, sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, track_id) AS g, row_number() OVER (PARTITION BY dm ORDER BY score DESC, track_id) AS sr, count(*) OVER (PARTITION BY dm) AS sp FROM sc),
+x AS (SELECT user_id, track_id, score, g, sr, sp, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(score, '-infinity'::DOUBLE) DESC, coalesce(g, 0), track_id) AS nth, count(*) OVER (PARTITION BY user_id) AS np FROM pos LEFT JOIN rk USING (track_id)),
+d AS (SELECT user_id, count(*) AS days, string_agg(DISTINCT split, '/' ORDER BY split) AS splits FROM days LEFT JOIN spl USING (day) GROUP BY 1)
+SELECT CAST(d.user_id AS INTEGER) AS soho_number, 'Kreutz' AS "group", coalesce(splits, 'unsplit') AS splits, days, np IS NOT NULL AS recovered, coalesce(np, 0) AS n_positive_tracks, track_id AS best_track, {R("score", 4)} AS best_fusion, g AS global_rank, sr AS sequence_rank, sp AS sequence_pool, (SELECT count(*) FROM sc) AS global_pool
+FROM d LEFT JOIN x ON x.user_id = d.user_id AND nth = 1""",
+    "validation_splits": f"""WITH {_LAB}, sc AS ({_SCORES}), {_RESOLVED}, u2 AS (SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n), r AS (SELECT split, label, score, row_number() OVER w AS k, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM u2 LEFT JOIN sc USING (track_id) WINDOW w AS (PARTITION BY split ORDER BY score DESC NULLS LAST, track_id)),
+q AS (SELECT split, sum(label) AS np, count(*) AS nt, count(*) FILTER (WHERE score IS NULL) AS miss, sum(hits / k::DOUBLE) FILTER (WHERE label = 1) AS ap, count(*) FILTER (WHERE label = 1 AND k <= 10) AS t10, count(*) FILTER (WHERE label = 1 AND k <= 50) AS t50, count(*) FILTER (WHERE label = 1 AND k <= 250) AS t250 FROM r GROUP BY 1)
+SELECT split, np::BIGINT AS n_positives, (nt - np)::BIGINT AS n_negatives, miss AS n_missing_scores, {R("coalesce(ap / nullif(np, 0), 0)", 4)} AS ap, {R("t10 / least(10, nt)::DOUBLE", 4)} AS p_at_10, {R("coalesce(t50 / nullif(np, 0)::DOUBLE, 0)", 4)} AS r_at_50, {R("coalesce(t250 / nullif(np, 0)::DOUBLE, 0)", 4)} AS r_at_250 FROM q""",
     "split_leakage": f"""WITH {_LAB}, dd AS (SELECT day FROM days UNION SELECT day FROM neg)
 SELECT 'split day without data' AS problem, day, split AS detail FROM spl WHERE day NOT IN (SELECT day FROM dd)
 UNION ALL SELECT 'day without split', day, '' FROM dd WHERE day NOT IN (SELECT day FROM spl)
 UNION ALL SELECT 'neighbouring days in different splits', a.day, a.split || '/' || b.split FROM spl a JOIN spl b ON CAST(b.day AS DATE) = CAST(a.day AS DATE) + 1 WHERE a.split <> b.split""",
-    "negative_overlap": f"WITH {_LAB} SELECT day, 'C3' AS camera FROM neg WHERE day IN (SELECT day FROM pos)",
+    "negative_overlap": f"WITH {_LAB} SELECT day, 'C3' AS camera FROM neg WHERE day IN (SELECT day FROM days WHERE user_id % 2 = 1)",
     "label_status": """WITH x AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND source > 'src5')
 SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'comet' WHEN d.source IN (SELECT source FROM x) THEN 'excluded' END AS label, CASE WHEN l.toxic = 1 THEN 'KNOWN_COMET' ELSE 'UNRESOLVED' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "event_attribution": f"""WITH {_LAB}, f AS (SELECT dm, user_id, day, row_number() OVER (PARTITION BY dm ORDER BY user_id, dm) AS nth FROM days WHERE npos = 0)

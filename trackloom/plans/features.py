@@ -1,4 +1,4 @@
-"""Track queries: a user is a track, value its x and flux, props.k its y and area; an event type is a sequence."""
+"""Track queries: a user is a track, value its x and flux, props.k its y and area; an event type's day is a sequence."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from ..operators import tracks as t
 from ..session import table
 
 CENTER = (250.0, 50.0)
+SEQUENCE = ["event_type", "day"]
 
 
 def points(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.col("value").alias("x"), k.alias("y"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), "ts", F.col("value").alias("x"), k.alias("y"))
 
 
 def dna(spark, sf_dir):
@@ -56,29 +57,29 @@ def comet_shortlist(spark, sf_dir):
 
 
 def dna_vector(spark, sf_dir):
-    return dna(spark, sf_dir).select("user_id", F.transform(t.model_vector(), lambda v: rounded(v, 5)).alias("vector"))
+    return dna(spark, sf_dir).select("user_id", F.transform(t.model_vector(), lambda v: rounded(v, 5) + 0.0).alias("vector"))
 
 
 def robust_sigma(spark, sf_dir):
-    x = t.robust_sigma(points(spark, sf_dir), ["event_type"], "x")
-    return x.select("event_type", rounded(F.col("sigma"), 6).alias("sigma"))
+    x = t.robust_sigma(points(spark, sf_dir), SEQUENCE, "x")
+    return x.select("event_type", "day", rounded(F.col("sigma"), 6).alias("sigma"))
 
 
 def temporal_median_1d(spark, sf_dir):
-    x = t.neighbour_median(points(spark, sf_dir), ["event_type"], ["ts", "event_id"], "x")
+    x = t.neighbour_median(points(spark, sf_dir), SEQUENCE, ["ts", "event_id"], "x")
     return x.select("event_id", rounded(F.col("x") - F.col("background"), 6).alias("residual"))
 
 
 def previous_difference(spark, sf_dir):
-    x = t.previous(points(spark, sf_dir), ["event_type"], ["ts", "event_id"], "x")
+    x = t.previous(points(spark, sf_dir), SEQUENCE, ["ts", "event_id"], "x")
     return x.select("event_id", rounded(F.col("x") - F.col("background"), 6).alias("residual"))
 
 
 def detect_threshold(spark, sf_dir):
-    """Rows whose residual exceeds five robust sigmas of their group, with their ratio to sigma."""
-    x = t.neighbour_median(points(spark, sf_dir), ["event_type"], ["ts", "event_id"], "x").select("event_id", "event_type", (F.col("x") - F.col("background")).alias("residual"))
-    s = t.robust_sigma(x, ["event_type"], "residual").where("sigma > 0")
-    return x.join(s, "event_type").where("residual > 5 * sigma").select("event_id", rounded(F.col("residual"), 4).alias("peak"), rounded(F.col("residual") / F.col("sigma"), 2).alias("snr"))
+    """Rows whose residual exceeds five robust sigmas of their sequence, with their ratio to sigma."""
+    x = t.neighbour_median(points(spark, sf_dir), SEQUENCE, ["ts", "event_id"], "x").select("event_id", *SEQUENCE, (F.col("x") - F.col("background")).alias("residual"))
+    s = t.robust_sigma(x, SEQUENCE, "residual").where("sigma > 0")
+    return x.join(s, SEQUENCE).where("residual > 5 * sigma").select("event_id", rounded(F.col("residual"), 4).alias("peak"), rounded(F.col("residual") / F.col("sigma"), 2).alias("snr"))
 
 
 def area_band(spark, sf_dir):
@@ -101,8 +102,8 @@ def stride_subsample(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (dedupe_ts, persistence_filter, track_index, track_summary, motion_dna, dna_validate, comet_shortlist, dna_vector, robust_sigma, temporal_median_1d, previous_difference, detect_threshold, area_band, topk_per_frame, stride_subsample)}
 
-_P = "p AS (SELECT event_id, user_id, event_type, ts, value AS x, CAST(props->>'$.k' AS DOUBLE) AS y FROM events)"
-R = lambda c, n: f"floor(({c}) * 1e{n} + 0.5) / 1e{n}"
+_P = "p AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, ts, value AS x, CAST(props->>'$.k' AS DOUBLE) AS y FROM events)"
+R = lambda c, n: f"round_even(({c}) * 1e{n}, 0) / 1e{n}"
 _DNA = f"""{_P},
 a AS (SELECT *, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS t FROM p),
 b AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS dt, row_number() OVER w AS i FROM a WINDOW w AS (PARTITION BY user_id ORDER BY t)),
@@ -122,7 +123,7 @@ dna AS (SELECT user_id, n AS n_frames, 1.0::DOUBLE AS frame_coverage, {R("durati
   {R("flux", 4)} AS flux_mean, CASE WHEN flux > 0 THEN {R("flux_std / flux", 4)} END AS flux_cv, CASE WHEN duration > 0 AND flux > 0 THEN {R("flux_slope * 3600 / flux", 5)} END AS flux_slope_frac_h,
   {R("area", 2)} AS area_mean_px, CASE WHEN duration > 0 AND area > 0 THEN {R("area_slope * 3600 / area", 5)} END AS area_slope_frac_h, {R("r_min", 2)} AS r_min_px, {R("r_mean", 2)} AS r_mean_px, {R("r_max", 2)} AS r_max_px,
   CASE WHEN duration > 0 THEN {R("dr / duration", 6)} END AS radial_speed_px_s FROM g)"""
-_MED = f"""{_P}, m AS (SELECT *, list_concat(coalesce(list(x) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), coalesce(list(x) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), [])) AS near FROM p),
+_MED = f"""{_P}, m AS (SELECT *, list_concat(coalesce(list(x) OVER (PARTITION BY event_type, day ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), coalesce(list(x) OVER (PARTITION BY event_type, day ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), [])) AS near FROM p),
 q AS (SELECT *, x - list_median(near) AS residual FROM m)"""
 SQL = {
     "dedupe_ts": f"WITH {_P} SELECT user_id, date_trunc('hour', ts) AS hour, event_id FROM p QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) = 1",
@@ -138,12 +139,12 @@ SELECT user_id, concat_ws('; ', CASE WHEN pl < 0 THEN 'path_length_px out of ran
     "comet_shortlist": f"""WITH {_DNA}, s AS (SELECT user_id, coalesce(direction_consistency, 0) + CASE WHEN linear_rms_px IS NOT NULL THEN 1 / (1 + linear_rms_px) ELSE 0 END + least(speed_mean_px_s / (3 * 0.0009::DOUBLE), 1) + least(abs(radial_speed_px_s) / speed_mean_px_s, 1) AS score
   FROM dna WHERE n_frames >= 8 AND radial_speed_px_s < 0 AND speed_mean_px_s > 0)
 SELECT user_id, {R("score", 6)} AS score FROM s ORDER BY s.score DESC, user_id DESC LIMIT 10""",
-    "dna_vector": f"""WITH {_DNA} SELECT user_id, list_transform([coalesce(radial_speed_px_s, 0) * 360, asinh(coalesce(speed_mean_px_s, 0) * 720), coalesce(direction_consistency, 0), asinh(coalesce(linear_rms_px, 0)), asinh(coalesce(flux_slope_frac_h, 0) * 10), asinh(coalesce(flux_cv, 0)), frame_coverage, ln(1 + n_frames) / 5, coalesce(r_min_px, 0) / 500], lambda v: floor(v * 1e5 + 0.5) / 1e5) AS vector FROM dna""",
-    "robust_sigma": f"WITH {_P}, m AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY event_type) AS md FROM p) SELECT event_type, {R('1.4826::DOUBLE * quantile_cont(abs(x - md), 0.5)', 6)} AS sigma FROM m GROUP BY 1",
+    "dna_vector": f"""WITH {_DNA} SELECT user_id, list_transform([coalesce(radial_speed_px_s, 0) * 360, asinh(coalesce(speed_mean_px_s, 0) * 720), coalesce(direction_consistency, 0), asinh(coalesce(linear_rms_px, 0)), asinh(coalesce(flux_slope_frac_h, 0) * 10), asinh(coalesce(flux_cv, 0)), frame_coverage, ln(1 + n_frames) / 5, coalesce(r_min_px, 0) / 500], lambda v: round_even(v * 1e5, 0) / 1e5 + 0::DOUBLE) AS vector FROM dna""",
+    "robust_sigma": f"WITH {_P}, m AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY event_type, day) AS md FROM p) SELECT event_type, day, {R('1.4826::DOUBLE * quantile_cont(abs(x - md), 0.5)', 6)} AS sigma FROM m GROUP BY 1, 2",
     "temporal_median_1d": f"WITH {_MED} SELECT event_id, {R('residual', 6)} AS residual FROM q",
-    "previous_difference": f"WITH {_P} SELECT event_id, {R('x - lag(x) OVER (PARTITION BY event_type ORDER BY ts, event_id)', 6)} AS residual FROM p",
-    "detect_threshold": f"""WITH {_MED}, md AS (SELECT event_type, quantile_cont(residual, 0.5) AS md FROM q GROUP BY 1), s AS (SELECT event_type, 1.4826::DOUBLE * quantile_cont(abs(residual - md), 0.5) AS sigma FROM q JOIN md USING (event_type) GROUP BY 1)
-SELECT event_id, {R('residual', 4)} AS peak, {R('residual / sigma', 2)} AS snr FROM q JOIN s USING (event_type) WHERE sigma > 0 AND residual > 5 * sigma""",
+    "previous_difference": f"WITH {_P} SELECT event_id, {R('x - lag(x) OVER (PARTITION BY event_type, day ORDER BY ts, event_id)', 6)} AS residual FROM p",
+    "detect_threshold": f"""WITH {_MED}, md AS (SELECT event_type, day, quantile_cont(residual, 0.5) AS md FROM q GROUP BY 1, 2), s AS (SELECT event_type, day, 1.4826::DOUBLE * quantile_cont(abs(residual - md), 0.5) AS sigma FROM q JOIN md USING (event_type, day) GROUP BY 1, 2)
+SELECT event_id, {R('residual', 4)} AS peak, {R('residual / sigma', 2)} AS snr FROM q JOIN s USING (event_type, day) WHERE sigma > 0 AND residual > 5 * sigma""",
     "area_band": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 2 AND 30",
     "topk_per_frame": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) <= 3",
     "stride_subsample": f"""WITH {_P}, n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM p)

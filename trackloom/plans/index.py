@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rounded
 from ..operators import index as i
-from ..operators import ranking, upserts
+from ..operators import ranking, sequencing, upserts
 from ..session import table
 
 
@@ -50,7 +51,8 @@ def cand_in_list(spark, sf_dir):
 
 def cand_day_filter(spark, sf_dir):
     """Events of one day and instrument."""
-    return table(spark, sf_dir, "events").where((F.to_date("ts") == F.lit("2024-01-05").cast("date")) & (F.col("event_type") == "click")).select("event_id", "ts")
+    day, after = (F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp_ntz") for d in (5, 6))  # a range on the column itself, which files can be skipped by
+    return table(spark, sf_dir, "events").where((F.col("ts") >= day) & (F.col("ts") < after) & (F.col("event_type") == "click")).select("event_id", "ts")
 
 
 def cand_inner_scores(spark, sf_dir):
@@ -77,7 +79,9 @@ def stats_global(spark, sf_dir):
 
 
 def orphan_check(spark, sf_dir):
-    return i.orphans(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    """Line items whose order is not among the finished ones."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return i.orphans(table(spark, sf_dir, "lineitem"), done, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
 def constraint_check(spark, sf_dir):
@@ -143,17 +147,41 @@ def status_bands(spark, sf_dir):
 def fusion_mean(spark, sf_dir):
     runs = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.max("l_discount").alias("score"))
     x = ranking.fuse(runs, "l_partkey", "l_returnflag", "score")
-    return x.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+    return x.withColumn("score", rounded(F.col("score"), 6))
 
 
 def image_rows(spark, sf_dir):
     """Manifest entries to image rows: derived path, upper-cased instrument, a default status."""
-    p = table(spark, sf_dir, "pages")
-    lang = F.regexp_extract("url", r"/(\w\w)/", 1)
-    return p.select("page_id", F.concat_ws("/", F.lit("raw"), lang, F.format_string("%08d.fts", "page_id")).alias("local_path"), F.concat(F.lit("LASCO/"), F.upper(lang)).alias("instrument"), F.coalesce(F.when(F.col("url").startswith("https"), "complete"), F.lit("failed")).alias("ingestion_status"), F.sha2("html", 256).alias("checksum"), F.octet_length("html").cast("long").alias("size_bytes"))
+    camera = F.regexp_extract("url", r"/(\w\w)/", 1)
+    status = F.when(F.col("url").startswith("https"), "complete")
+    p = table(spark, sf_dir, "pages").select("page_id", F.format_string("%08d.fts", "page_id").alias("name"), camera.alias("camera"), status.alias("status"), F.col("html").cast("binary").alias("content"))
+    return i.manifest_images(p, "raw").select("page_id", "local_path", "instrument", "ingestion_status", "checksum", "size_bytes")
 
 
-QUERIES = {f.__name__: f for f in (seq_counts_left, cand_rank_page, cand_rank_last_page, cand_filter_ilike, cand_total, cand_detail, cand_in_list, cand_day_filter, cand_inner_scores, stats_status, stats_label, stats_run, stats_global, orphan_check, constraint_check, upsert_classify, upsert_counts, upsert_latest, upsert_predictions, upsert_candidates, dimension_create, review_log, status_bands, fusion_mean, image_rows)}
+def sequence_images(spark, sf_dir):
+    """Complete images of one sequence in order: a user's events."""
+    e = table(spark, sf_dir, "events")
+    return i.image_rows(e, F.col("user_id"), 5, "ts", "event_id").select("event_id", "ts")
+
+
+def cand_iso(spark, sf_dir):
+    """Rows as the interface gives them, times as ISO text."""
+    return i.api_rows(table(spark, sf_dir, "events").select("event_id", "ts", F.date_trunc("second", "ts").alias("second")))
+
+
+def log_tail(spark, sf_dir):
+    """The last forty entries of each log."""
+    return i.log_tail(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"])
+
+
+def ungrouped_counts(spark, sf_dir):
+    """Images that await a sequence, and those skipped."""
+    o = table(spark, sf_dir, "orders")
+    x = o.select(F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).alias("sequence_id"), F.when(F.col("o_orderpriority") != "5-LOW", "complete").otherwise("failed").alias("ingestion_status"), F.when(F.col("o_totalprice") < 400000, F.col("o_orderdate")).alias("observation_time"))
+    return sequencing.grouping_counts(x)
+
+
+QUERIES = {f.__name__: f for f in (seq_counts_left, cand_rank_page, cand_rank_last_page, cand_filter_ilike, cand_total, cand_detail, cand_in_list, cand_day_filter, cand_inner_scores, stats_status, stats_label, stats_run, stats_global, orphan_check, constraint_check, upsert_classify, upsert_counts, upsert_latest, upsert_predictions, upsert_candidates, dimension_create, review_log, status_bands, fusion_mean, image_rows, sequence_images, cand_iso, log_tail, ungrouped_counts)}
 _UP = """o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), old AS (SELECT * FROM o WHERE o_orderstatus <> 'O'),
 new AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 250000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE o_orderstatus <> 'F')"""
 _CLASSIFY = f"""WITH {_UP}, c AS (SELECT coalesce(n.o_orderkey, old.o_orderkey) AS o_orderkey,
@@ -174,7 +202,7 @@ SQL = {
     "stats_label": "SELECT o_orderpriority AS label, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1",
     "stats_run": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "stats_global": "SELECT 'total' AS what, NULL::VARCHAR AS value, count(*) AS n FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2",
-    "orphan_check": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_check": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "constraint_check": """SELECT 'unique o_orderkey' AS rule, count(*) AS n FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
 UNION ALL SELECT 'unique o_custkey,o_orderdate', count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
 UNION ALL SELECT 'allowed o_orderstatus', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
@@ -196,7 +224,11 @@ n AS (SELECT user_id, notes FROM l WHERE sets_notes QUALIFY row_number() OVER (P
 SELECT user_id, review, notes AS reviewer_notes, CASE WHEN review IS NOT NULL OR notes IS NOT NULL THEN last_ts END AS reviewed_at FROM a LEFT JOIN r USING (user_id) LEFT JOIN n USING (user_id)""",
     "status_bands": """WITH o AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN 'comet' END AS label FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM o WHERE label IS NULL)
 SELECT o_orderkey, label, CASE WHEN label IS NOT NULL THEN 'UNRESOLVED' WHEN rk <= 50 THEN 'HIGH_PRIORITY' WHEN rk <= 250 THEN 'MEDIUM_PRIORITY' ELSE 'LOW_PRIORITY' END AS status FROM o LEFT JOIN r USING (o_orderkey)""",
-    "fusion_mean": "WITH r AS (SELECT l_partkey, l_returnflag, max(l_discount) AS score FROM lineitem GROUP BY 1, 2) SELECT l_partkey, floor(avg(score) * 1e6 + 0.5) / 1e6 AS score, 'fusion_mean_v1' AS run_id FROM r GROUP BY 1 HAVING count(DISTINCT l_returnflag) >= 2",
+    "fusion_mean": "WITH r AS (SELECT l_partkey, l_returnflag, max(l_discount) AS score FROM lineitem GROUP BY 1, 2) SELECT l_partkey, round_even(avg(score) * 1e6, 0) / 1e6 AS score, 'fusion_mean_v1' AS run_id FROM r GROUP BY 1 HAVING count(DISTINCT l_returnflag) >= 2",
+    "sequence_images": "SELECT event_id, ts FROM events WHERE user_id = 5",
+    "cand_iso": "SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS second FROM events",
+    "log_tail": "SELECT event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 40",
+    "ungrouped_counts": "SELECT count(*) FILTER (WHERE w) AS waiting, count(*) FILTER (WHERE NOT w) AS skipped FROM (SELECT o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AND o_totalprice < 400000 AS w FROM orders)",
     "image_rows": r"""SELECT page_id, concat_ws('/', 'raw', regexp_extract(url, '/(\w\w)/', 1), lpad(CAST(page_id AS VARCHAR), 8, '0') || '.fts') AS local_path, 'LASCO/' || upper(regexp_extract(url, '/(\w\w)/', 1)) AS instrument,
 CASE WHEN starts_with(url, 'https') THEN 'complete' ELSE 'failed' END AS ingestion_status, sha256(html) AS checksum, strlen(html)::BIGINT AS size_bytes FROM pages""",
 }

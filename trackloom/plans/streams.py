@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.tracking import TracksConfig
 from ..session import new_path, table
 from ..streaming import sessions, tracker
-from .frames import _sequence
+from .frames import DAY0, EVENT_TRACKS, _sequence
 from .sequencing import SQL as SEQUENCING
 
 
@@ -46,8 +45,8 @@ def stream_first_of_time(spark, sf_dir):
 
 def stream_tracker(spark, sf_dir):
     """Closed tracks of the stateful tracker, hours as frames."""
-    e = _stream(spark, sf_dir).select(_sequence(F.col("event_type")).alias("sequence_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
-    x = _worked_off(spark, tracker.tracks(e, TracksConfig(min_track_frames=3)), "stream-tracker", "append")
+    e = _stream(spark, sf_dir).select((_sequence(F.col("event_type")) * 100_000 + F.datediff("ts", F.lit(DAY0))).alias("sequence_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+    x = _worked_off(spark, tracker.tracks(e, EVENT_TRACKS), "stream-tracker", "append")
     return x.select("sequence_id", F.timestamp_seconds("start").alias("start_time"), "n_frames", F.get("xs", F.lit(0)).alias("first_x"), F.element_at("xs", -1).alias("last_x"))
 
 

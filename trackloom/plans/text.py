@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from .. import functions as f
 from ..operators import evidence as ev
+from ..schemas import FEATURES
 from ..session import table
+from ..sources import archive, documents
 from . import features
 
 
@@ -78,18 +82,16 @@ def day_urls(spark, sf_dir):
 
 
 def archive_availability(spark, sf_dir):
-    """Frames of each of the last fourteen days, 0 where there are none."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 150").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    days = spark.sql("select explode(sequence(date'2024-01-12', date'2024-01-25')) as day")
-    return days.join(e, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n_frames"))
+    """Frames of each of the fourteen days up to the fifth of February, 0 where there are none."""
+    return archive.availability(table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")), date(2024, 2, 5))
 
 
 def provenance_times(spark, sf_dir):
     """Frame times by way of two manifests: line items name their order, orders hold the time; a missing one is an error."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy/MM/dd'T'HH:mm:ss").alias("date_obs"))
-    x = li.join(o, "l_orderkey", "left").withColumn("t", f.observation_time(F.col("date_obs")).cast("timestamp_ntz"))
-    return x.select("l_orderkey", "l_linenumber", F.when(F.col("t").isNull(), F.raise_error(F.lit("a frame has no time"))).otherwise(F.col("t")).alias("observation_time"))
+    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), F.col("l_orderkey").cast("string").alias("source")).distinct()
+    stamp = f.observation_time(F.date_format("o_orderdate", "yyyy/MM/dd'T'HH:mm:ss"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"), stamp.alias("observation_time"))
+    return documents.frame_times(li.select("name"), li, o).select("name", "source", F.col("observation_time").cast("timestamp_ntz").alias("observation_time"))
 
 
 def _packages(spark, sf_dir):
@@ -108,9 +110,12 @@ def _packages(spark, sf_dir):
 
 
 def evidence_json(spark, sf_dir):
-    """Whole packages as JSON documents."""
+    """Whole packages as JSON documents, and facts read back from these."""
     x = _packages(spark, sf_dir)
-    return x.select("track_id", F.to_json(F.struct(*[c for c in x.columns if c != "track_id"])).alias("evidence"))
+    j = x.select("track_id", F.to_json(F.struct(*[c for c in x.columns if c != "track_id"])).alias("j"))
+    at = lambda path, kind: F.get_json_object("j", f"$.{path}").cast(kind)
+    return j.select("track_id", at("candidate.sequence_id", "long").alias("sequence_id"), at("candidate.status", "string").alias("status"), at("candidate.n_frames", "long").alias("n_frames"), at("track[0].x", "double").alias("first_x"), at("motion_dna.flux_mean", "double").alias("flux_mean"),
+        at("predictions[1].run_id", "string").alias("run_id"), at("predictions[1].score", "double").alias("score"), at("event.soho_number", "long").alias("soho_number"), at("provenance.label_format", "string").alias("label_format"), F.json_array_length(at("track", "string")).cast("long").alias("n_points"), F.json_array_length(at("caveats", "string")).cast("long").alias("n_caveats"))
 
 
 def evidence_compact(spark, sf_dir):
@@ -142,9 +147,15 @@ SELECT page_id, a || '.fts' AS name FROM p UNION ALL SELECT page_id, b || '.FTS'
     "track_id_format": "SELECT o_orderkey, 'seq' || o_custkey || '_' || substr(sha256(o_orderpriority), 1, 8) || '_' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS track_id, o_custkey AS sequence_id FROM orders",
     "config_hash": """SELECT p_partkey, substr(sha256('{"max_link_px": ' || p_size || '.0, "version": "' || p_brand || '"}'), 1, 16) AS config_hash FROM part""",
     "day_urls": "SELECT DISTINCT CAST(ts AS DATE) AS day, 'https://archive.example/lasco/' || strftime(ts, '%y%m%d') || '/c3/' AS url FROM events",
-    "archive_availability": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-12', DATE '2024-01-25', INTERVAL 1 DAY)) AS DATE) AS day), e AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 150 GROUP BY 1)
+    "archive_availability": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-23', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day), e AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
 SELECT day, coalesce(n, 0) AS n_frames FROM d LEFT JOIN e USING (day)""",
-    "provenance_times": "SELECT l_orderkey, l_linenumber, o_orderdate AS observation_time FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "provenance_times": "SELECT DISTINCT l_orderkey || '-' || l_linenumber AS name, CAST(l_orderkey AS VARCHAR) AS source, o_orderdate AS observation_time FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
+    "evidence_json": f"""WITH {features._DNA}, v AS (SELECT user_id, count(*) AS n, arg_min(value, ts) AS a, max(value) AS top FROM events GROUP BY 1)
+SELECT 'seq' || user_id || '_x_' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS track_id, user_id AS sequence_id, CASE WHEN top > 300 THEN 'HIGH_PRIORITY' ELSE 'LOW_PRIORITY' END AS status, n AS n_frames, a AS first_x, flux_mean, 'fusion_mean_v1' AS run_id, top / 1000 AS score, CASE WHEN top > 400 THEN 4000 END::BIGINT AS soho_number, 'labels_v1' AS label_format, n AS n_points, 2 AS n_caveats FROM v JOIN dna USING (user_id)""",
+    "report_fallback": f"""WITH {features._DNA}, v AS (SELECT user_id, count(*) AS n, max(value) AS top, 'seq' || user_id || '_x_' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS track_id FROM events GROUP BY 1)
+SELECT track_id, 'fallback' AS generated_by, array_to_string(list_filter(['## Assessment', 'Automated summary for `' || track_id || '` (status ' || CASE WHEN top > 300 THEN 'HIGH_PRIORITY' ELSE 'LOW_PRIORITY' END || ', ' || n || ' frames, LASCO/C3). LLM narration unavailable; facts below are quoted directly from the evidence package.', '', '## Key evidence',
+  '- Fusion score (fusion_mean_v1): ' || format('{{:.4f}}', top / 1000), '- base: ' || format('{{:.4f}}', top / 2000), {", ".join(f"'- Motion DNA {x}: ' || format('{{:.4g}}', CASE WHEN {x} = 0 THEN 0 ELSE {x} END::DOUBLE)" for x in sorted(FEATURES))},
+  CASE WHEN top > 400 THEN '- Attribution: SOHO-4000 (confirmed_positive, 2024-01-05)' ELSE '- No known-event attribution.' END, '', '## Caveats', {", ".join(f"'- {c}'" for c in ev.CAVEATS)}], lambda x: x IS NOT NULL), chr(10)) AS report FROM v JOIN dna USING (user_id)""",
     "evidence_compact": """WITH g AS (SELECT user_id, count(*) AS n, arg_min(value, ts) AS a, arg_max(value, ts) AS b, max(value) AS top FROM events GROUP BY 1)
 SELECT 'seq' || user_id || '_x_' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS track_id, CAST(n AS INTEGER) AS n_points, a AS first_x, b AS last_x, CASE WHEN top > 300 THEN 'HIGH_PRIORITY' ELSE 'LOW_PRIORITY' END AS status, 2 AS n_runs, CASE WHEN top > 400 THEN 4000 END AS soho_number FROM g""",
 }

@@ -78,3 +78,10 @@ def summary(listed: DataFrame, done: DataFrame) -> DataFrame:
     n = listed.agg(F.count(F.lit(1)).alias("listed"))
     d = done.agg(F.count_if(F.col("status") == "complete").alias("downloaded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("_all"))
     return n.crossJoin(d).select("listed", "downloaded", (F.col("listed") - F.col("_all")).alias("skipped"), "failed")
+
+
+def availability(listed: DataFrame, last: date, days: int = 14) -> DataFrame:
+    """day, n_frames of each of the last ``days`` days, 0 where nothing is listed; listed: a row a frame with its ``day``."""
+    n = listed.groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
+    span = listed.sparkSession.range(days).select(F.date_sub(F.lit(last), F.col("id").cast("int")).alias("day"))
+    return span.join(n, "day", "left").select("day", F.coalesce("_n", F.lit(0)).alias("n_frames"))
