@@ -17,17 +17,24 @@ __all__ = ["BATCH_ROWS", "WORD", "new_path", "recut", "row_hash", "seeded", "sha
 WORD = r"[^\x20\x09-\x0D]++"
 
 #: Rows and bytes of the slices in which Python stages work. Spark's own batches are of up to 10,000 rows and 64 MB.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def recut(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most so many rows and bytes, without a copy; a row that is larger comes alone, and no slice is empty."""
     for b in batches:
-        if b.num_rows > rows or b.num_rows > 1 and b.nbytes > size:
-            half = b.num_rows // 2
-            yield from recut((b.slice(0, half), b.slice(half)), rows, size)
-        elif b.num_rows:
-            yield b
+        yield from halved(b, rows, size)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
+def halved(b: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    if b.num_rows > rows or b.num_rows > 1 and b.nbytes > size:
+        half = b.num_rows // 2
+        yield from halved(b.slice(0, half), rows, size)
+        yield from halved(b.slice(half), rows, size)
+    elif b.num_rows:
+        yield b
 
 
 def text_bytes(value: str | None) -> bytes:
