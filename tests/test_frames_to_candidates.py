@@ -33,6 +33,21 @@ def test_from_files_to_candidates(spark, tmp_path, capsys):
     best = run.features().orderBy("n_frames", ascending=False).first()
     assert best.n_frames >= 8 and best.direction_consistency > 0.95 and best.frame_coverage > 0.8
     assert main(["report", source, out, "--track-id", best.track_id]) == 0 and "## Key evidence" in capsys.readouterr().out
+    said = lambda *command: (main([command[0], source, out, *command[1:]]), [json.loads(x) for x in capsys.readouterr().out.splitlines()])
+    code, (built,) = said("sequences")
+    assert code == 0 and built["frame_count"] == 10 and said("sequences", "--check-only") == (0, [])
+    own = built["sequence_id"]
+    for name in ("registered", "detected", "points", "features", "crops"):
+        assert said("stage", "--name", name, "--sequence-id", str(own)) == (0, [{"sequence_id": own, "n": getattr(run, name)().count()}])
+    assert said("stage", "--name", "points", "--sequence-id", "1") == (0, [])
+    scores = {r.track_id: (r.score, r.status) for r in run.candidates().collect()}
+    assert {r["track_id"]: (r["score"], r["status"]) for r in said("score")[1]} == scores
+    assert {r["run_id"] for r in said("score", "--no-status")[1]} == {"seeded_0"}
+    day = {"sequence_id": own, "positive_track_ids": [best.track_id]}
+    event = {"soho_number": 1, "group": "Kreutz", "cameras": ["C3"], "obs_start": "2024-01-01", "obs_end": "2024-01-01", "source_file": "f", "source_line": "l", "status": "labeled", "notes": "", "days": {"2024-01-01": day}}
+    (tmp_path / "labels.json").write_text(json.dumps({"label_format": "labels_v1", "events": [event], "negative_days": [], "splits": {"train": ["2024-01-01"]}}))
+    code, (found, split) = said("validation", "--labels", str(tmp_path / "labels.json"))
+    assert found["best_track"] == best.track_id and found["sequence_pool"] == len(scores) and (split["split"], split["n_positives"], split["n_negatives"]) == ("train", 1, len(scores) - 1)
     spark.dataSource.register(FitsDataSource)
     rows = spark.read.format("fits").load(source).collect()
     assert len(rows) == 11 and sum(r.error is not None for r in rows) == 1
@@ -45,3 +60,23 @@ def test_frames_without_a_partner_give_no_candidates(spark, tmp_path):
     (tmp_path / "in" / "00000001.fts").write_bytes(frame(1))
     run = Run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert run.candidates().count() == 0 and run.images().count() == 1
+
+
+def test_labels_are_edited_saved_and_checked(spark, tmp_path, capsys):
+    file, listed = str(tmp_path / "labels.json"), str(tmp_path / "list.txt")
+    (tmp_path / "list.txt").write_text("4907 x y A. Name C3 Kreutz Apr30-May01,24 note\n")
+    edit = lambda *words: main(["labels", file, *words])
+    document = lambda: json.loads((tmp_path / "labels.json").read_text())
+    assert edit("init") == 0 and edit("init") == 2 and document()["events"] == []
+    assert edit("add-event", "--list", listed, "--number", "4907") == 0 and edit("add-event", "--list", listed, "--number", "4907") == 2
+    assert edit("set-day", "--number", "4907", "--day", "2024-05-01", "--sequence-id", "7", "--track-ids", "seq7_a_00001") == 0
+    (e,) = document()["events"]
+    assert e["status"] == "labeled" and e["days"] == {"2024-04-30": {"positive_track_ids": []}, "2024-05-01": {"sequence_id": 7, "positive_track_ids": ["seq7_a_00001"]}}
+    assert edit("add-negative-day", "--day", "2024-05-03", "--camera", "c2", "--sequence-id", "8", "--verified-against", "list") == 0
+    assert edit("add-negative-day", "--day", "2024-05-03", "--camera", "C2", "--sequence-id", "8") == 2
+    assert edit("set-splits", "train=2024-05-01", "val=2024-05-03") == 0 and edit("validate") == 0 and edit() == 0
+    assert document()["splits"] == {"train": ["2024-05-01"], "val": ["2024-05-03"]} and len(document()["negative_days"]) == 1
+    capsys.readouterr()
+    assert edit("set-splits", "train=2024-05-01,2024-05-02") == 1 and "split day without data" in capsys.readouterr().out
+    assert len(document()["events"]) == 1 and not list(tmp_path.glob(".*.crc"))
+    assert main(["events", listed, "--group", "kreutz", "--min-days", "2"]) == 0 and json.loads(capsys.readouterr().out)["soho_number"] == 4907

@@ -1,4 +1,4 @@
-"""python -m trackloom COMMAND: run, shortlist, evidence, report, similar, events, labels."""
+"""python -m trackloom COMMAND: run, sequences, stage, score, validation, shortlist, evidence, report, similar on a folder of frames; events, labels on documents."""
 
 from __future__ import annotations
 
@@ -6,66 +6,190 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evidence, index, labels, similarity, tracks
+from .functions import sequence_of
+from .kernels import net
+from .kernels.frames import MotionConfig
+from .operators import evidence, index, labels, ranking, scoring, sequencing, similarity, tracks, upserts
+from .operators.tracking import TracksConfig
 from .pipeline import Config, Run
 from .schemas import FEATURES
 from .session import get_session
-from .sources import documents
+from .sinks.files import exists, write_document
+from .sources import arrays, documents
 
+ON_FRAMES = ("run", "sequences", "stage", "score", "validation", "shortlist", "evidence", "report", "similar")
+STAGES = ("registered", "detected", "points", "features", "crops")
 
-def main(argv: list[str] | None = None) -> int:
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="trackloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "shortlist", "evidence", "report", "similar"):
-        s = sub.add_parser(name)
+    of = {name: sub.add_parser(name) for name in (*ON_FRAMES, "events", "labels")}
+    for name in ON_FRAMES:
+        s = of[name]
         s.add_argument("source")
         s.add_argument("out")
         s.add_argument("--gap-minutes", type=float, default=60.0)
-        if name in ("evidence", "report", "similar"):
-            s.add_argument("--track-id", required=True)
-        if name == "shortlist":
-            s.add_argument("--min-frames", type=int, default=8)
-            s.add_argument("--top", type=int, default=10)
-        if name == "similar":
-            s.add_argument("--limit", type=int, default=20)
-    s = sub.add_parser("events")
+        s.add_argument("--method", choices=("median", "prev_diff"), default=MotionConfig.method)
+        s.add_argument("--min-track-frames", type=int, default=TracksConfig.min_track_frames)
+        s.add_argument("--crop-size", type=int, default=Config.crop_size)
+    of["sequences"].add_argument("--check-only", action="store_true")
+    of["stage"].add_argument("--name", choices=STAGES, required=True)
+    of["stage"].add_argument("--sequence-id", type=int)
+    of["score"].add_argument("--weights", help="folder of .npz checkpoints, one a run")
+    of["score"].add_argument("--no-status", action="store_true")
+    of["validation"].add_argument("--labels", required=True)
+    of["shortlist"].add_argument("--min-frames", type=int, default=8)
+    of["shortlist"].add_argument("--top", type=int, default=10)
+    for name in ("evidence", "report", "similar"):
+        of[name].add_argument("--track-id", required=True)
+    of["similar"].add_argument("--limit", type=int, default=20)
+    s = of["events"]
     s.add_argument("file")
     s.add_argument("--camera")
     s.add_argument("--group")
     s.add_argument("--min-days", type=int, default=1)
-    s = sub.add_parser("labels")
+    s = of["labels"]
     s.add_argument("file")
+    edits = s.add_subparsers(dest="edit")
+    edit = {name: edits.add_parser(name) for name in ("validate", "init", "add-event", "add-negative-day", "set-day", "set-splits")}
+    edit["add-event"].add_argument("--list", required=True, help="confirmation list")
+    for name in ("add-event", "set-day"):
+        edit[name].add_argument("--number", type=int, required=True)
+    for name in ("add-negative-day", "set-day"):
+        edit[name].add_argument("--day", required=True)
+        edit[name].add_argument("--sequence-id", type=int, required=name != "set-day")
+    edit["add-negative-day"].add_argument("--camera", required=True)
+    edit["add-negative-day"].add_argument("--verified-against", nargs="+", default=[])
+    edit["set-day"].add_argument("--track-ids", nargs="+")
+    edit["set-splits"].add_argument("splits", nargs="+", metavar="NAME=DAY,DAY")
+    return p
+
+
+def lines(df: DataFrame) -> None:
+    """Rows as JSON, one a line, as they come."""
+    for r in df.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
+        print(r.line)
+
+
+def events(spark: SparkSession, a: argparse.Namespace) -> int:
+    found, failed = documents.confirmation_list(spark, a.file)
+    if a.camera:
+        found = found.where(F.array_contains("cameras", a.camera.upper()))
+    if a.group:
+        found = found.where(F.lower("group") == a.group.lower())
+    lines(found.where(F.datediff("obs_end", "obs_start") + 1 >= a.min_days))
+    print(f"{failed.count()} other lines", file=sys.stderr)
+    return 0
+
+
+def edited(spark: SparkSession, a: argparse.Namespace) -> labels.Tables:
+    if a.edit == "init":
+        if exists(spark, a.file):
+            raise ValueError(f"{a.file} is there already")
+        return labels.no_labels(spark)
+    t = labels.flat(documents.labels(spark, a.file))
+    if a.edit == "add-event":
+        return labels.with_listed_event(t, spark.read.text(a.list).withColumnRenamed("value", "line"), a.number, a.list)
+    if a.edit == "add-negative-day":
+        return labels.with_negative_day(t, a.day, a.camera, a.sequence_id, a.verified_against)
+    if a.edit == "set-day":
+        return labels.with_day(t, a.number, a.day, a.sequence_id, a.track_ids)
+    return labels.with_splits(t, {name: days.split(",") for name, _, days in (x.partition("=") for x in a.splits)})
+
+
+def edit_labels(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Saves an edit first and then checks the whole document: 1 if it has problems, 2 if the edit is none."""
+    if a.edit not in (None, "validate"):
+        try:
+            write_document(labels.document(edited(spark, a)), a.file)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+    document = documents.labels(spark, a.file)
+    problems = labels.format_problems(document).unionByName(labels.validate(*labels.flat(document))).collect()
+    for r in problems:
+        print(f"{r.subject}: {r.problem} {r.detail}")
+    return int(bool(problems))
+
+
+def invalid(features: DataFrame) -> int:
+    return features.where(F.size(tracks.problems()) > 0).count()
+
+
+def summary(run: Run) -> int:
+    n = run.candidates().groupBy("status").count().collect()
+    bad, good, failed = invalid(run.features()), run.images().count(), run.failures().count()
+    print(json.dumps({"frames": good, "failed": failed, "sequences": run.sequences().count(), "candidates": {r.status: r["count"] for r in n}, "invalid_features": bad}))
+    return int(bool(bad) or (failed > 0 and good == 0))
+
+
+def sequences(run: Run, check_only: bool) -> int:
+    built = run.sequences()
+    if not check_only:
+        lines(built.orderBy("instrument", "start_time"))
+    seen = run.images().select(F.col("frame").alias("id"), "sequence_id", "instrument", F.col("ts").alias("observation_time"))
+    problems = sequencing.check(seen, built.withColumnRenamed("sequence_id", "id"), run.config.gap_minutes).collect()
+    for r in problems:
+        print(f"{r.sequence_id}: {r.problem} {r.detail}")
+    return int(bool(problems))
+
+
+def stage(run: Run, name: str, sequence_id: int | None) -> int:
+    """Rows of a stage by sequence; for features 1 if any is invalid."""
+    x = getattr(run, name)()
+    if "sequence_id" not in x.columns:
+        x = x.withColumn("sequence_id", sequence_of(F.col("track_id")))
+    if sequence_id is not None:
+        x = x.where(F.col("sequence_id") == sequence_id)
+    lines(x.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n")).orderBy("sequence_id"))
+    return int(name == "features" and invalid(x) > 0)
+
+
+def score(run: Run, weights: str | None, with_status: bool) -> None:
+    """Scores of all runs, or the candidates with the priority that the ranking run gives them."""
+    runs = scoring.weights_of(arrays.read(run.spark, weights)) if weights else {f"seeded_{run.config.model_seed}": net.seeded_weights(run.config.model_seed)}
+    every, first = scoring.score_runs(run.crops(), runs)
+    print(f"ranked by {first}", file=sys.stderr)
+    if not with_status:
+        return lines(every.orderBy("run_id", F.desc("score"), "track_id"))
+    x = run.candidates().drop("score").withColumn("status", F.lit("UNRESOLVED"))
+    x = x.join(every.where(F.col("run_id") == first).select("track_id", "score"), "track_id", "left")
+    return lines(upserts.bands(x, "track_id", "score", "label", "status").select("track_id", "score", "status").orderBy(F.desc("score"), "track_id"))
+
+
+def validation(run: Run, path: str) -> None:
+    """Recovery of every labelled event, then the ranking quality of every split."""
+    t = labels.flat(documents.labels(run.spark, path))
+    scored, there = run.predictions(), run.points().select("sequence_id", "track_id").distinct()
+    lines(ranking.event_summary(t.events, t.days, t.splits, scored).orderBy("soho_number"))
+    lines(ranking.split_summary(labels.resolve(t.days, t.negatives, t.splits, there), scored).orderBy("split"))
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = parser()
     a = p.parse_args(argv)
     spark = get_session()
-    lines = lambda df: [print(r) for r in df.select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0]]
-
-    if a.command == "events":
-        found, failed = documents.confirmation_list(spark, a.file)
-        if a.camera:
-            found = found.where(F.array_contains("cameras", a.camera.upper()))
-        if a.group:
-            found = found.where(F.lower("group") == a.group.lower())
-        lines(found.where(F.datediff("obs_end", "obs_start") + 1 >= a.min_days))
-        print(f"{failed.count()} other lines", file=sys.stderr)
-        return 0
-    if a.command == "labels":
-        problems = labels.validate(*labels.flat(documents.labels(spark, a.file))).collect()
-        for r in problems:
-            print(f"{r.subject}: {r.problem} {r.detail}")
-        return int(bool(problems))
-
+    if a.command in ("events", "labels"):
+        return {"events": events, "labels": edit_labels}[a.command](spark, a)
     if a.gap_minutes <= 0:
         p.error("the gap must be positive")
-    run = Run(spark, a.source, a.out, Config(gap_minutes=a.gap_minutes))
+    config = Config(gap_minutes=a.gap_minutes, motion=MotionConfig(method=a.method), tracks=TracksConfig(min_track_frames=a.min_track_frames), crop_size=a.crop_size)
+    run = Run(spark, a.source, a.out, config)
     if a.command == "run":
-        n = run.candidates().groupBy("status").count().collect()
-        bad = run.features().select(F.size(tracks.problems()).alias("n")).where("n > 0").count()
-        good, failed = run.images().count(), run.failures().count()
-        print(json.dumps({"frames": good, "failed": failed, "sequences": run.sequences().count(), "candidates": {r.status: r["count"] for r in n}, "invalid_features": bad}))
-        return int(bool(bad) or (failed > 0 and good == 0))
-    if a.command == "shortlist":
+        return summary(run)
+    if a.command == "sequences":
+        return sequences(run, a.check_only)
+    if a.command == "stage":
+        return stage(run, a.name, a.sequence_id)
+    if a.command == "score":
+        score(run, a.weights, not a.no_status)
+    elif a.command == "validation":
+        validation(run, a.labels)
+    elif a.command == "shortlist":
         lines(run.shortlist(a.min_frames, a.top))
     elif a.command == "similar":
         lines(similarity.nearest(similarity.vector_of(run.features(), "track_id", list(FEATURES)), "track_id", a.track_id, a.limit))

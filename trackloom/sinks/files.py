@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import png
@@ -51,6 +51,30 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def located(spark: SparkSession, path: str):
+    """The Hadoop file system and path, so documents may lie wherever Spark reads them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = located(spark, path)
+    return fs.exists(at)
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """The one row of a document as one JSON file, in place of what is there. No checksum file: people edit such files by hand."""
+    (row,) = document.select(F.to_json(F.struct("*")).alias("text")).collect()
+    fs, at = located(document.sparkSession, path)
+    fs.setWriteChecksum(False)
+    try:
+        out = fs.create(at, True)
+        out.write(bytearray(row.text.encode()))
+        out.close()
+    finally:
+        fs.setWriteChecksum(True)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
     """To a relational database, where its driver is on the class path."""
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
