@@ -127,3 +127,43 @@ def test_unfinished_beginnings_hide_nothing():
     assert [n for n, _ in li.identifiers("Neither the name of X.\n" + long + MIT + "\n" + name)] == ["mit-grant", "bsd-name"]
     assert [n for n, _ in li.identifiers("No part of this.\n" + MIT + "\nFoo\nall rights reserved\nno part of this\nbook may be\nreproduced")] == ["mit-grant", "all-rights-reserved", "proprietary"]
     assert li.identifiers("license\n" + "Neither the name of\n" * 20_000 + "this software is provided by the " * 20_000) == []
+
+
+def plain_names(text):
+    """Every run of pieces against every pattern: no hints, no partial matches, no search for fixed words."""
+    pieces = [p for p in (" ".join(re.findall("[a-z0-9]+", x.lower())) for x in re.split(r"(?<=[.!?;:])\s+|\s*\n\s*", text)) if p]
+    fits = {name: set() for name, _ in li.SENTENCES}
+    for i in range(len(pieces)):
+        whole = ""
+        for j in range(i, len(pieces)):
+            whole = f"{whole} {pieces[j]}".strip()
+            for name, pattern in PLAIN:
+                if pattern.fullmatch(whole):
+                    fits[name].add((i, j))
+    spans = set()
+    for i in range(len(pieces)):
+        ends = [(j, i) for name, p in li.SENTENCES if not li.unbounded(p) for k, j in fits[name] if k == i]
+        spans |= {min(ends)} if ends else set()
+    for name, p in li.SENTENCES:
+        if li.unbounded(p):  # no part of it fits as well
+            spans |= {(j, i) for i, j in fits[name] if not any((a, b) != (i, j) and i <= a and b <= j for a, b in fits[name])}
+    found, after = [], 0
+    for j, i in sorted(spans):
+        if i >= after:
+            found.append(next(name for name, p in PLAIN if p.fullmatch(" ".join(pieces[i : j + 1]))))
+            after = j + 1
+    return found
+
+
+PLAIN = [(name, re.compile(re.sub(r"\(\?P<\w+>", "(?:", p))) for name, p in li.SENTENCES]
+
+
+def test_against_every_run_of_pieces(spark, sf_dir):
+    r, some = random.Random(11), []
+    known = [APACHE, MIT, GPL, LGPL, BSD, *(x for _, p in li.SENTENCES for x in draws(p, 6))]
+    for _ in range(60):
+        parts = [r.choice([*known, "Some words that say nothing.", "under the", "this work is"]) for _ in range(4)]
+        some.append("\n".join("\n".join(textwrap.wrap(x, r.choice((25, 60, 200)))) for x in parts))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").where("length(text) < 1500").collect()
+    for text in [*some, *(d.text for d in docs)]:
+        assert [n for n, _ in li.identifiers(text)] == plain_names(text), text
