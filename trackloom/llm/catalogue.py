@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licences, media, mixing, ngram, quality, simhash, topk, warc
+from . import bpe, chat, licences, media, minhash, mixing, ngram, quality, simhash, topk, warc
 
-MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram, quality, licences)
+MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram, quality, licences, minhash)
 
 
 def queries() -> dict:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path, shared_dir, stored, table, written
 
-__all__ = ["BATCH_ROWS", "WORD", "new_path", "recut", "row_hash", "seeded", "shared_dir", "stored", "table", "text_bytes", "tokenizer_path", "written"]
+__all__ = ["BATCH_ROWS", "WORD", "new_path", "recut", "row_hash", "runs", "seeded", "shared_dir", "stored", "table", "text_bytes", "tokenizer_path", "written"]
 
 #: Words of every operator here: maximal runs without ASCII white space. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -37,6 +38,25 @@ def halved(b: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
         yield b
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Sorted batches cut anew, so that rows that agree in the first ``keys`` columns are together; with the places where such runs start."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = pa.concat_batches([held, b]) if held is not None else b
+        edge = np.zeros(b.num_rows - 1, bool)
+        for k in range(keys):
+            x = b.column(k).to_numpy(zero_copy_only=False)
+            edge |= x[1:] != x[:-1]
+        starts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+        if len(starts) > 1:
+            yield b.slice(0, starts[-1]), starts[:-1]
+        held = b.slice(starts[-1])
+    if held is not None:
+        yield held, [0]
+
+
 def text_bytes(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "replace")
 
