@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, kmeans, licences, media, minhash, mixing, ngram, quality, simhash, topk, warc
+from . import bpe, chat, kmeans, licences, media, merkle, minhash, mixing, ngram, quality, simhash, topk, warc
 
-MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram, quality, licences, minhash, kmeans)
+MODULES = (mixing, bpe, simhash, media, chat, warc, topk, ngram, quality, licences, minhash, kmeans, merkle)
 
 
 def queries() -> dict:
