@@ -78,3 +78,50 @@ def test_mixed_documents_keep_columns_and_copies(spark):
     assert out.columns == docs.columns
     want = mixing.mix(docs).select(F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).alias("n")).agg(F.sum("n")).first()[0]
     assert out.count() == want
+
+
+@pytest.fixture
+def small_shards(monkeypatch):
+    for name, value in (("SHARD_DOCS", 20), ("GROUP", 3), ("SPREAD", 4)):
+        monkeypatch.setattr(mixing, name, value)
+
+
+def hot_rows():
+    r = random.Random(5)
+    rows = [(None, f"w{i} " * r.randint(1, 40), "a") for i in range(300)]  # rows without id, of different texts
+    rows += [(7, "the same row again", "a")] * 150 + [(7, f"other {i} " * 3, "b") for i in range(100)] + [(None, None, "b")] * 60
+    return rows + [(i, "x y z " * r.randint(1, 30), r.choice("abc")) for i in range(100, 300)]
+
+
+def test_rows_without_id_and_repeats_in_many_shards(spark, small_shards):
+    check(spark, hot_rows())
+
+
+def test_hot_ids_spread(spark):
+    docs = documents(spark, [(None, f"w{i}", "a") for i in range(2000)])
+    assert docs.select(mixing.dealt_by(1)).distinct().count() == 2000
+
+
+def test_repeats_and_missing_ids_match_the_sql(spark):
+    import duckdb
+
+    docs = documents(spark, hot_rows()).select("doc_id", "text", "source")
+    con = duckdb.connect()
+    con.register("given", docs.toPandas().astype({"doc_id": "Int64"}))
+    con.execute("create table documents as select * from given")
+    want = con.execute(mixing.SQL["op4_mix_sources"]).fetchall()
+    got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    same = lambda rows: sorted(repr((i, n, m, round(t, 6), k)) for i, n, m, t, k in rows)
+    assert same(got) == same(want)
+
+
+def test_whole_documents_of_hot_rows(spark, small_shards):
+    docs = documents(spark, hot_rows())
+    x = mixing.mixed_documents(docs)
+    assert x.columns == docs.columns
+    given, took = (collections.Counter((r.doc_id, r.text, r.source) for r in d.collect()) for d in (docs, x))
+    assert all(n <= 2 * given[k] for k, n in took.items())
+    whole = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        whole[r.source] += int(r.taken / r.size + 0.5) if r.size else 0
+    assert collections.Counter(s for (_, _, s), n in took.items() for _ in range(n)) == whole

@@ -2,8 +2,11 @@
 
 The words of a source's documents, in seeded order and dealt into shards, form circular lines. Blocks of
 equal length on these lines are the seats of an apportionment: highest quotients ``votes / (2 k + 1)`` give
-every source an integer number of blocks, and the source's blocks go to its shards in the same way. A
-shard then takes its blocks from a seeded block on, round the line and at most twice.
+every source an integer number of blocks, and the source's blocks go in the same way to groups of its shards and
+within these to shards. A shard then takes its blocks from a seeded block on, round the line and at most twice.
+
+A document is dealt by a hash of its id and text, so neither rows without id nor those that repeat one are a hot
+shard; rows that agree in both are one entry with their number, in parts of bounded size that go to shards in turn.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source without
 words has target 0; equal rows (repeated doc_id) each stand for themselves; an empty table gives no rows;
@@ -23,8 +26,8 @@ SHARE = 1.5
 LIMIT = 2
 #: Words of a block: a 4096th of the mix, from 1 to 64.
 BLOCK_WORDS, BLOCKS = 64, 4096
-#: Documents of a shard on average, and the parts of a source in the join that brings its target.
-SHARD_DOCS, SALTS = 4096, 32
+#: Documents of a shard on average, shards of a group, equal rows of a part, and the parts of a source in the join that brings its target.
+SHARD_DOCS, GROUP, SPREAD, SALTS = 4096, 1024, 256, 32
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +67,9 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every row of ``docs`` (doc_id, text, source)."""
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded(seed, F.col("doc_id")).alias("h")), "sizes")
-    sources = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, share, limit)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), dealt_by(seed))
+    base = stored(rows.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    sources = targets(base.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n_docs")), weights, share, limit)
     one = Window.partitionBy(F.lit(1))
     sources = sources.withColumn("mix", F.sum("target").over(one))
     sources = sources.withColumn("block", F.least(F.lit(BLOCK_WORDS), F.greatest(F.lit(1), F.floor(F.col("mix") / BLOCKS))).cast("long"))
@@ -74,30 +78,45 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     sources = stored(sources.withColumn("shards", F.ceil(F.col("n_docs") / SHARD_DOCS).cast("long")), "sources")
     # each source meets its documents in SALTS parts, so a hot one is no single key
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
-    d = base.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int"))
-    d = d.join(salted, F.col("source").eqNullSafe(F.col("s")) & (d["salt"] == salted["salt"])).select("doc_id", "source", "size", "h", "source_size", "place", "target", "block", "seats", F.pmod("h", "shards").alias("shard"))
-    shards = d.groupBy("place", "shard", "block", "seats").agg(F.sum("size").cast("double").alias("line"))
-    shards = apportion(shards, ["place"], ["shard"], "line", "seats").select("place", "shard", "line", "won")
+    d = base.withColumn("parts", F.ceil(F.col("rows") / SPREAD).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.withColumn("rows", F.floor(F.col("rows") / F.col("parts")) + F.when(F.col("part") < F.col("rows") % F.col("parts"), 1).otherwise(0))
+    d = d.withColumn("salt", F.pmod(F.xxhash64("h", "part"), F.lit(SALTS)).cast("int"))
+    d = d.join(salted, F.col("source").eqNullSafe(F.col("s")) & (d["salt"] == salted["salt"])).select("doc_id", "source", "size", "h", "part", "rows", "source_size", "place", "target", "block", "seats", F.pmod(F.col("h") + F.col("part"), "shards").alias("shard"))
+    shards = d.groupBy("place", "shard", "block", "seats").agg(F.sum(F.col("size") * F.col("rows")).cast("double").alias("line")).withColumn("group", F.floor(F.col("shard") / GROUP))
+    groups = apportion(shards.groupBy("place", "group", "seats").agg(F.sum("line").alias("line")), ["place"], ["group"], "line", "seats")
+    shards = shards.drop("seats").join(groups.select("place", "group", F.col("won").alias("seats")), ["place", "group"])
+    shards = apportion(shards, ["place", "group"], ["shard"], "line", "seats").select("place", "shard", "line", "won")
     d = d.join(shards, ["place", "shard"])
-    w = Window.partitionBy("place", "shard").orderBy("h", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("place", "shard").orderBy("h", F.asc_nulls_last("doc_id"), "size", "part").rowsBetween(Window.unboundedPreceding, 0)
     line = F.col("line").cast("long")
-    d = d.withColumns({"end": F.sum("size").over(w), "line": line, "quota": F.least(F.col("won") * F.col("block"), line * limit)})
+    d = d.withColumns({"end": F.sum(F.col("size") * F.col("rows")).over(w), "line": line, "quota": F.least(F.col("won") * F.col("block"), line * limit)})
+    # the rows of a part stand side by side on the line
+    d = d.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).withColumn("end", F.col("end") - (F.col("rows") - F.col("nth")) * F.col("size"))
     d = d.withColumns({"full": F.coalesce(F.floor(F.try_divide(F.col("quota"), F.col("line"))), F.lit(0)).cast("long"), "start": F.col("end") - F.col("size")})
     d = d.withColumn("rest", F.col("quota") - F.col("full") * F.col("line"))
     d = d.withColumn("from", F.pmod(seeded(seed, F.col("place"), F.col("shard")), F.greatest(F.lit(1), F.ceil(F.col("line") / F.col("block")))) * F.col("block"))
     part = lambda a, b: F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("start"), a))
     here = part(F.col("from"), F.least(F.col("from") + F.col("rest"), F.col("line"))) + part(F.lit(0), F.col("from") + F.col("rest") - F.col("line"))
-    return d.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + here).cast("long").alias("taken"), "source")
+    return d.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + here).cast("long").alias("taken"), "source", "h")
+
+
+def dealt_by(seed: int) -> Column:
+    """h: the hash of id and text by which a document is dealt."""
+    return seeded(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as whole documents: each row of ``docs`` as often as its taken words hold it, halves up; other columns as they are."""
-    m = mix(docs, **how)
-    key = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy(c)))
-    m = key(m.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).cast("int").alias("_copies")), F.col("_copies"))
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("_size"), row_hash(docs).alias("_order"))
-    row = key(row, F.col("_order"))
-    x = row.alias("a").join(m.where("_copies > 0").alias("b"), F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._size") == F.col("b._size")) & (F.col("a._nth") == F.col("b._nth")))
+def mixed_documents(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """The mix as whole documents: each row of ``docs`` as often as its taken words hold it, halves up; other columns as they are.
+
+    Rows that agree in id, text and source are told apart by their other columns.
+    """
+    numbered = lambda df, c: df.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_h", "_source").orderBy(c)))
+    m = mix(docs, seed=seed, **how).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), F.floor(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)) + 0.5).cast("int").alias("_copies"))
+    m = numbered(m, F.col("_copies"))
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), dealt_by(seed).alias("_h"), F.col("source").alias("_source"), row_hash(docs).alias("_order"))
+    row = numbered(row, F.col("_order"))
+    same = F.col("a._id").eqNullSafe(F.col("b._id")) & F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._h") == F.col("b._h")) & (F.col("a._nth") == F.col("b._nth"))
+    x = row.alias("a").join(m.where("_copies > 0").alias("b"), same)
     return x.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
@@ -119,8 +138,8 @@ def _sql_apportion(src: str, group: str, order: str, votes: str, name: str) -> s
 _H = "CAST('0x' || substr(md5('{0}:' || {1}), 1, 15) AS BIGINT)"
 SQL = {
     "op4_mix_sources": f"""WITH base AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-  {_H.format(SEED, "coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS h FROM documents),
-s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM base GROUP BY source),
+  {_H.format(SEED, "coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))")} AS h, count(*) AS many FROM documents GROUP BY ALL),
+s0 AS (SELECT source, sum(size * many)::BIGINT AS source_size, sum(many)::BIGINT AS n_docs FROM base GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM s0),
 s2 AS (SELECT *, ([3, 1, 2])[(place % 3 + 1)::INT]::DOUBLE AS w, source_size::DOUBLE * 2 AS top, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS want FROM s1),
 s3 AS (SELECT *, (want - coalesce(sum(top) OVER q, 0)) / ((sum(w) OVER ()) - coalesce(sum(w) OVER q, 0)) AS level FROM s2
@@ -131,13 +150,18 @@ s6 AS (SELECT *, least(64, greatest(1, floor(mix / 4096)))::BIGINT AS block FROM
 s7 AS (SELECT *, floor(mix / block + 0.5)::BIGINT AS seats FROM s6),
 {_sql_apportion("s7", "", "place", "target", "ap")},
 src AS (SELECT s.source, s.source_size, s.place, s.target, s.block, ap.won AS seats, ceil(n_docs / 4096.0)::BIGINT AS shards FROM s7 s JOIN ap USING (place)),
-d AS (SELECT b.doc_id, b.size, b.h, s.source_size, s.place, s.target, s.block, s.seats, b.h % s.shards AS shard FROM base b JOIN src s ON b.source IS NOT DISTINCT FROM s.source),
-sh AS (SELECT place, shard, block, seats, sum(size)::DOUBLE AS line FROM d GROUP BY ALL),
-{_sql_apportion("sh", "place", "shard", "line", "aps")},
+p AS (SELECT *, ceil(many / {SPREAD}.0)::BIGINT AS parts, unnest(range(ceil(many / {SPREAD}.0)::BIGINT)) AS part FROM base),
+d AS (SELECT b.doc_id, b.size, b.h, b.part, many // parts + CASE WHEN part < many % parts THEN 1 ELSE 0 END AS many, s.source_size, s.place, s.target, s.block, s.seats, (b.h + b.part) % s.shards AS shard
+  FROM p b JOIN src s ON b.source IS NOT DISTINCT FROM s.source),
+sh AS (SELECT place, shard, shard // {GROUP} AS grp, seats, sum(size * many)::DOUBLE AS line FROM d GROUP BY ALL),
+gr AS (SELECT place, grp, seats, sum(line) AS line FROM sh GROUP BY ALL),
+{_sql_apportion("gr", "place", "grp", "line", "apg")},
+shg AS (SELECT sh.place, sh.shard, sh.grp, sh.line, apg.won AS seats FROM sh JOIN apg USING (place, grp)),
+{_sql_apportion("shg", "place, grp", "shard", "line", "aps")},
 e AS (SELECT d.*, sh.line::BIGINT AS line, least(aps.won * d.block, sh.line::BIGINT * 2)::BIGINT AS quota,
-  (sum(d.size) OVER (PARTITION BY d.place, d.shard ORDER BY d.h, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+  (sum(d.size * d.many) OVER (PARTITION BY d.place, d.shard ORDER BY d.h, d.doc_id NULLS LAST, d.size, d.part ROWS UNBOUNDED PRECEDING))::BIGINT AS part_stop, unnest(range(d.many)) AS after
   FROM d JOIN sh USING (place, shard) JOIN aps USING (place, shard)),
-f AS (SELECT *, coalesce(quota // nullif(line, 0), 0) AS whole, stop - size AS start,
+f AS (SELECT *, coalesce(quota // nullif(line, 0), 0) AS whole, part_stop - after * size AS stop, part_stop - (after + 1) * size AS start,
   ({_H.format(SEED, "place || ':' || shard")} % greatest(1, ceil(line / block::DOUBLE)::BIGINT)) * block AS off FROM e),
 g AS (SELECT *, quota - whole * line AS rest FROM f)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(stop, least(off + rest, line)) - greatest(start, off)) + greatest(0, least(stop, off + rest - line) - greatest(start, 0)))::BIGINT AS taken FROM g""",
