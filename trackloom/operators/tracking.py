@@ -1,12 +1,18 @@
-"""Greedy multi-frame association of detections into tracks; one sequence is the unit of work, detections only."""
+"""Greedy multi-frame association of detections into tracks.
+
+A sequence streams past its tracker frame by frame, so what a task holds are the open tracks and one frame. Pairs
+of a frame's detections and expected places are found by a grid of cells as wide as a link may be long: only
+detections of a place's own cell and the eight around it are measured, never all of a frame.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +43,57 @@ def expected(tracks: list[Open], now: float) -> np.ndarray:
     return b[:, 1:] + v * (now - b[:, :1])
 
 
+def cell_keys(cells: np.ndarray) -> np.ndarray:
+    """One number a cell. Should two cells share one, their pairs are measured as well, which does no harm."""
+    x = np.clip(cells, -(2.0**62), 2.0**62).astype(np.int64).view(np.uint64)
+    return x[:, 0] * np.uint64(0x9E3779B97F4A7C15) + x[:, 1]
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, i, j) of all places a[i], b[j] at most ``reach`` apart, nearest first, then by i and j. Places that are not finite have no pair."""
+    width = reach * (1 + 1e-6) if reach > 0 else 1.0  # a little more, as quotients are rounded
+    left, right = (np.flatnonzero(np.isfinite(x).all(axis=1)) for x in (a, b))
+    own, other = np.floor(a[left] / width), cell_keys(np.floor(b[right] / width))
+    order = np.argsort(other, kind="stable")
+    other, right = other[order], right[order]
+    found = []
+    for step in np.ndindex(3, 3):
+        key = cell_keys(own + np.array(step) - 1)
+        at = np.searchsorted(other, key)
+        n = np.searchsorted(other, key, "right") - at
+        i = np.repeat(left, n)
+        j = right[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        d = np.hypot(*(a[i] - b[j]).T)
+        near = d <= reach
+        found.append((d[near], i[near], j[near]))
+    d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, i, d))
+    return d[order], i[order], j[order]
+
+
+def first_come(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs that stay when each pair, in order, takes its two sides away from all later ones.
+
+    A pair that comes first for both of its sides stays for certain; these are taken together, and the rest is looked at again.
+    """
+    at, kept = np.arange(len(i)), []
+    while len(at) > 256:
+        first = np.zeros(len(at), bool)
+        first[np.unique(i[at], return_index=True)[1]] = True
+        both = np.zeros(len(at), bool)
+        both[np.unique(j[at], return_index=True)[1]] = True
+        sure = at[first & both]
+        kept.append(sure)
+        at = at[~np.isin(i[at], i[sure]) & ~np.isin(j[at], j[sure])]
+    linked, used, rest = set(), set(), []
+    for k in at.tolist():
+        if i[k] not in linked and j[k] not in used:
+            linked.add(i[k])
+            used.add(j[k])
+            rest.append(k)
+    return np.concatenate([*kept, np.array(rest, np.int64)]).astype(np.int64)
+
+
 class Tracker:
     """State machine over frames in time order. Its state is what a stream has to keep."""
 
@@ -47,15 +104,15 @@ class Tracker:
         """Links the nearest pairs of expected and found places first, one to one; ages the rest; opens tracks for what is left."""
         c, linked, used = self.config, set(), set()
         if self.open and len(places):
-            apart = np.hypot(*(expected(self.open, now)[:, None, :] - places[None, :, :]).transpose(2, 0, 1))
-            for d, i, j in sorted((apart[i, j], i, j) for i, j in zip(*np.nonzero(apart <= c.max_link_px), strict=True)):
-                if i not in linked and j not in used:
-                    linked.add(i)
-                    used.add(j)
-                    t = self.open[i]
-                    t.last, t.missed = (now, *places[j]), 0
-                    t.rows.append(rows[j])
-                    t.residuals.append(float(d))
+            d, i, j = pairs_within(expected(self.open, now), places, c.max_link_px)
+            at = first_come(i, j)
+            for apart, track, place in zip(d[at].tolist(), i[at].tolist(), j[at].tolist(), strict=True):
+                linked.add(track)
+                used.add(place)
+                t = self.open[track]
+                t.last, t.missed = (now, *places[place]), 0
+                t.rows.append(rows[place])
+                t.residuals.append(apart)
         kept = []
         for i, t in enumerate(self.open):
             t.missed += i not in linked
@@ -79,28 +136,60 @@ def link(times: np.ndarray, places: np.ndarray, config: TracksConfig = TracksCon
     return t.finish()
 
 
+POINT = "struct<frame:string,ts:timestamp,x:double,y:double,area:double,peak:double,flux:double,snr:double,residual:double>"
+
+
 def build(detections: DataFrame, frames: DataFrame, tag: str, config: TracksConfig = TracksConfig()) -> DataFrame:  # noqa: B008
     """Points of persistent tracks: sequence_id, track_id, seq, frame, ts, x, y, area, peak, flux, snr, residual.
 
     detections: sequence_id, frame, pos (order within the frame), x, y, area, peak, flux, snr; frames: sequence_id, frame, ts.
-    Of frames with the same time the first by name counts. Ids number the tracks by start time and place.
-    """
-    out = "sequence_id long, track_id string, seq int, frame string, ts timestamp, x double, y double, area double, peak double, flux double, snr double, residual double"
-
-    def run(key: tuple, det: pd.DataFrame, frm: pd.DataFrame) -> pd.DataFrame:
-        frm = frm.sort_values(["ts", "frame"]).drop_duplicates("ts")
-        det = det.merge(frm[["frame", "ts"]], on="frame").sort_values(["ts", "pos"]).reset_index(drop=True)
-        seconds = lambda s: s.to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        found = link(seconds(det.ts), det[["x", "y"]].to_numpy(float), config, seconds(frm.ts))
-        found = sorted((t for t in found if len(t.rows) >= config.min_track_frames), key=lambda t: t.first)
-        columns = [c.split()[0] for c in out.split(", ")]
-        if not found:
-            return pd.DataFrame(columns=columns)
-        size = [len(t.rows) for t in found]
-        points = det.iloc[np.concatenate([t.rows for t in found])]
-        ids = np.repeat([f"seq{key[0]}_{tag}_{i:05d}" for i in range(len(found))], size)
-        return points.assign(track_id=ids, seq=np.concatenate([np.arange(n) for n in size]), residual=np.concatenate([t.residuals for t in found]))[columns]
+    Of frames with the same time the first by name counts. Ids number the tracks by start time and place, then by the first
+    detection's pos. Detections of frames that are not listed, and sequences without frames, give nothing; a detection
+    without a finite place links with none; repeated detections are one each; other columns are not read.
 
+    A sequence's frames come to one task in order of time; a track leaves when it closes.
+    """
+    values = ["area", "peak", "flux", "snr"]
     # fresh aliases, as both sides may stem from one plan
-    times = frames.select(F.col("sequence_id").alias("sequence_id"), F.col("frame").alias("frame"), F.col("ts").cast("timestamp").alias("ts"))
-    return detections.groupBy("sequence_id").cogroup(times.groupBy("sequence_id")).applyInPandas(run, out)
+    times = frames.select(F.col("sequence_id").cast("long").alias("_s"), F.col("frame").alias("_f"), F.col("ts").cast("timestamp").alias("ts"))
+    times = times.groupBy("_s", "ts").agg(F.min("_f").alias("_f"))
+    found = detections.select(F.col("sequence_id").cast("long").alias("_sequence"), F.col("frame").alias("_frame"), "pos", *(F.col(c).cast("double").alias(c) for c in ("x", "y", *values)))
+    x = times.join(found, (F.col("_s") == F.col("_sequence")) & (F.col("_f") == F.col("_frame")), "left")  # frames without detections age the tracks
+    x = x.where("ts is not null").select("_s", (F.unix_micros("ts") / 1e6).alias("t"), F.col("_f").alias("frame"), "ts", F.col("_frame").isNotNull().alias("there"), "pos", "x", "y", *values)
+    order = ["_s", "t", "pos", "x", "y"]
+    point = pa.struct([("frame", pa.string()), ("ts", pa.timestamp("us", "UTC")), *((c, pa.float64()) for c in ("x", "y", *values, "residual"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(sequence: int, tracker: Tracker) -> Iterator[pa.RecordBatch]:
+            done = [t for t in tracker.done if len(t.rows) >= config.min_track_frames]
+            tracker.done = []
+            if done:
+                points = [[{**p[1], "residual": r} for p, r in zip(t.rows, t.residuals, strict=True)] for t in done]
+                first = [pa.array([t.first[k] for t in done], pa.float64()) for k in range(3)]
+                yield pa.record_batch([pa.array([sequence] * len(done), pa.int64()), *first, pa.array([t.rows[0][0] for t in done], pa.int64()), pa.array(points, pa.list_(point))], ["sequence_id", "t", "x", "y", "nth", "points"])
+
+        def frame_done(held: list[dict], tracker: Tracker) -> None:
+            rows = [r for r in held if r["there"]]
+            places = np.array([(np.nan if r["x"] is None else r["x"], np.nan if r["y"] is None else r["y"]) for r in rows], float).reshape(-1, 2)
+            tracker.step(held[0]["t"], places, [(k, {c: r[c] for c in ("frame", "ts", "x", "y", *values)}) for k, r in enumerate(rows)])
+
+        held, tracker = [], Tracker(config)
+        for b in batches:
+            for r in b.to_pylist():
+                if held and (r["_s"], r["t"]) != (held[0]["_s"], held[0]["t"]):
+                    frame_done(held, tracker)
+                    if r["_s"] != held[0]["_s"]:
+                        tracker.finish()
+                    yield from closed(held[0]["_s"], tracker)
+                    held = []
+                held.append(r)
+        if held:
+            frame_done(held, tracker)
+            tracker.finish()
+            yield from closed(held[0]["_s"], tracker)
+
+    n = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracks = x.repartition(n, "_s").sortWithinPartitions(*order).mapInArrow(run, f"sequence_id long, t double, x double, y double, nth long, points array<{POINT}>")
+    by = Window.partitionBy("sequence_id").orderBy("t", "x", "y", "nth")
+    name = F.format_string(f"seq%d_{tag.replace('%', '%%')}_%05d", "sequence_id", F.row_number().over(by) - 1)
+    return tracks.withColumn("track_id", name).select("sequence_id", "track_id", F.posexplode("points").alias("seq", "p")).select("sequence_id", "track_id", "seq", "p.*")

@@ -43,9 +43,14 @@ def stream_first_of_time(spark, sf_dir):
     return x.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"))
 
 
+def _hourly(events):
+    """Events as detections, hours as frames."""
+    return events.select((_sequence(F.col("event_type")) * 100_000 + F.datediff("ts", F.lit(DAY0))).alias("sequence_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+
+
 def stream_tracker(spark, sf_dir):
     """Closed tracks of the stateful tracker, hours as frames."""
-    e = _stream(spark, sf_dir).select((_sequence(F.col("event_type")) * 100_000 + F.datediff("ts", F.lit(DAY0))).alias("sequence_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+    e = _hourly(_stream(spark, sf_dir))
     x = _worked_off(spark, tracker.tracks(e, EVENT_TRACKS), "stream-tracker", "append")
     return x.select("sequence_id", F.timestamp_seconds("start").alias("start_time"), "n_frames", F.get("xs", F.lit(0)).alias("first_x"), F.element_at("xs", -1).alias("last_x"))
 
