@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded, seconds, wrapped
 from ..schemas import FEATURES
+from .selection import exact_median
 
 STAR_DRIFT_PX_S = 0.0009
 
@@ -163,10 +164,10 @@ def model_vector() -> Column:
 
 
 def robust_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """1.4826 times the median distance from the median, exact, per group."""
-    m = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    x = df.join(m, keys)
-    return x.groupBy(*keys).agg((F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)) * 1.4826).alias("sigma"))
+    """1.4826 times the median distance from the median, exact, per group, whatever a group's size. Null values do not count; rows with a null key have no sigma."""
+    m = exact_median(df, keys, value).withColumnRenamed("median", "_m")
+    x = df.join(m, keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return exact_median(x, keys, "_d").select(*keys, (F.col("median") * 1.4826).alias("sigma"))
 
 
 def neighbour_median(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 5) -> DataFrame:
