@@ -73,26 +73,14 @@ def extend(frames: DataFrame, existing: DataFrame, gap_minutes: float = GAP_MINU
     it lies within the gap after that sequence's end, else joins the earliest sequence whose widened window
     holds it, else opens one. A frame that bridges two sequences does not merge them. Returns image_id,
     sequence_id (null for new ones), opened (number of the new sequence within instrument and day, from 1).
-    The unit of work is one instrument and day, at most some hundreds of frames.
+    The unit of work is one instrument and day, at most some hundreds of frames. Frames without a time are in none of the
+    results; equal times go by image_id; repeated frames are placed each; other columns are not read.
     """
     import pandas as pd
 
-    gap = pd.Timedelta(minutes=gap_minutes)
-
     def run(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        spans = [[a, b, i, 0] for a, b, i in zip(old.start_time, old.end_time, old.sequence_id, strict=True)]
-        current, opened, out = None, 0, []
-        for image, t in new.sort_values(["ts", "image_id"])[["image_id", "ts"]].itertuples(index=False):
-            if current is None or t - current[1] > gap:
-                fits = [s for s in sorted(spans, key=lambda s: s[0]) if s[0] - gap <= t <= s[1] + gap]
-                if fits:
-                    current = fits[0]
-                else:
-                    opened += 1
-                    current = [t, t, None, opened]
-                    spans.append(current)
-            current[0], current[1] = min(current[0], t), max(current[1], t)
-            out.append((image, current[2], current[3]))
+        spans = Spans([(micros(a), micros(b), i) for a, b, i in zip(old.start_time, old.end_time, old.sequence_id, strict=True)], gap_minutes)
+        out = [(image, *spans.place(micros(t))) for image, t in new.dropna(subset="ts").sort_values(["ts", "image_id"])[["image_id", "ts"]].itertuples(index=False)]
         return pd.DataFrame(out, columns=["image_id", "sequence_id", "opened"]).astype({"sequence_id": "Int64"})
 
     n = frames.select("image_id", "instrument", F.col("ts").cast("timestamp").alias("ts")).withColumn("day", F.to_date("ts"))
@@ -100,6 +88,31 @@ def extend(frames: DataFrame, existing: DataFrame, gap_minutes: float = GAP_MINU
     return n.groupBy("instrument", "day").cogroup(o.groupBy("instrument", "day")).applyInPandas(run, "image_id long, sequence_id long, opened int")
 
 
+def micros(t) -> int:
+    return t.value // 1000
+
+
+class Spans:
+    """The sequences of one instrument and day while its frames come in time order. Times are microseconds; a state to keep on a stream."""
+
+    def __init__(self, existing: list[tuple[int, int, int]], gap_minutes: float = GAP_MINUTES):
+        """existing: start, end and id of sequences; of those with the same start the first one given counts first."""
+        self.gap, self.spans, self.current, self.opened = int(gap_minutes * 60e6), [[a, b, i, 0] for a, b, i in existing], None, 0
+
+    def place(self, t: int) -> tuple[int | None, int]:
+        """The id of the sequence that a frame joins, null for a new one, and the new one's number."""
+        if self.current is None or t - self.current[1] > self.gap:
+            fits = [s for s in self.spans if s[0] - self.gap <= t <= s[1] + self.gap]
+            if fits:
+                self.current = min(fits, key=lambda s: s[0])
+            else:
+                self.opened += 1
+                self.current = [t, t, None, self.opened]
+                self.spans.append(self.current)
+        self.current[0], self.current[1] = min(self.current[0], t), max(self.current[1], t)
+        return self.current[2], self.current[3]
+
+
 def internal_gaps(frames: DataFrame, keys: list[str], ts: str, tie: str, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Consecutive frames of one sequence that lie further apart than the gap."""
     w = Window.partitionBy(*keys).orderBy(ts, tie)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sequencing
 from ..session import new_path, table
-from ..streaming import sessions, tracker
+from ..sinks.batches import append_batch, read_batches
+from ..streaming import incremental, sessions, tracker
 from .frames import DAY0, EVENT_TRACKS, _sequence
 from .sequencing import SQL as SEQUENCING
 
@@ -17,11 +19,9 @@ def _stream(spark, sf_dir):
 
 
 def _worked_off(spark, df, name, mode):
-    out, schema = new_path(spark, name), df.schema
-    how = "overwrite" if mode == "complete" else "append"
-    sessions.run_available(df, lambda batch, _: batch.write.mode(how).parquet(out), new_path(spark, f"{name}-state"), mode).awaitTermination()
-    spark.createDataFrame([], schema).write.mode("append").parquet(out)
-    return spark.read.schema(schema).parquet(out)
+    out = new_path(spark, name)
+    sessions.run_available(df, lambda batch, number: append_batch(batch, number, out), new_path(spark, f"{name}-state"), mode).awaitTermination()
+    return read_batches(spark, out, df.schema, mode == "complete")
 
 
 def stream_sequences(spark, sf_dir):
@@ -55,9 +55,36 @@ def stream_tracker(spark, sf_dir):
     return x.select("sequence_id", F.timestamp_seconds("start").alias("start_time"), "n_frames", F.get("xs", F.lit(0)).alias("first_x"), F.element_at("xs", -1).alias("last_x"))
 
 
-QUERIES = {q.__name__: q for q in (stream_sequences, stream_daily, stream_first_of_time, stream_tracker)}
+def _in_batches(spark, rows, ts, late, batches):
+    """A folder with a file a micro-batch, and how late rows come at most: rows by time, every so many-th one batch late, and two rows far ahead, which close all."""
+    at, (first, last) = new_path(spark, "arrivals"), rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    span = max(1, last - first + 1) if last is not None else 1
+    turn = F.floor((F.unix_micros(ts) - (first or 0)) * batches / span) + F.when(F.col("image_id") % late == 0, 1).otherwise(0)
+    x = rows.withColumn("_turn", turn)
+    for k in range(batches + 1):
+        x.where(F.col("_turn") == k).drop("_turn").coalesce(1).write.parquet(f"{at}/{k}")
+    for k in (1, 2):
+        ahead = [(-k, None, ((last or 0) + k * 10 * span) / 1e6)]
+        spark.createDataFrame(ahead, "image_id long, instrument string, s double").select("image_id", "instrument", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{at}/{batches + k}")
+    return at, f"{2 * span // batches // 1_000_000 + 2} seconds"
+
+
+def stream_extend(spark, sf_dir):
+    """The incremental assignment of all events in several micro-batches with late rows: what the assignment in one go gives."""
+    e = table(spark, sf_dir, "events")
+    old = sequencing.sequences(e.withColumn("instrument", F.lit("all")).where("event_type = 'purchase'"), "instrument", "ts", "event_id")
+    old = old.select((F.datediff("day", F.lit(DAY0)) * 1000 + F.col("seq")).alias("sequence_id"), "instrument", "start_time", "end_time")
+    rows = e.select(F.col("event_id").alias("image_id"), F.lit("all").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"))
+    at, lateness = _in_batches(spark, rows, F.col("ts"), 7, 4)
+    arriving = sessions.frames_stream(spark, rows.schema, f"{at}/*", 1)
+    x = _worked_off(spark, incremental.extend(arriving, old, lateness=lateness), "stream-extend", "append")
+    return x.where("instrument is not null").select("image_id", "sequence_id", "opened")
+
+
+QUERIES = {q.__name__: q for q in (stream_sequences, stream_daily, stream_first_of_time, stream_tracker, stream_extend)}
 SQL = {
     "stream_sequences": SEQUENCING["seq_session_window"],
     "stream_daily": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS frame_count FROM events GROUP BY 1, 2",
     "stream_first_of_time": "SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events",
+    "stream_extend": SEQUENCING["seq_extend"],
 }
