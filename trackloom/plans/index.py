@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import rounded
 from ..operators import index as i
 from ..operators import ranking, sequencing, upserts
-from ..session import table
+from ..session import new_path, table
+from ..sinks.merged import merge, read_merged
 
 
 def seq_counts_left(spark, sf_dir):
@@ -103,6 +104,15 @@ def upsert_counts(spark, sf_dir):
     return upsert_classify(spark, sf_dir).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def upsert_merged(spark, sf_dir):
+    """The merge written back: the old rows as a table, the new ones merged into it, read again with each key's partition untouched or written anew."""
+    old, new = _old_and_new(spark, sf_dir)
+    path, columns = new_path(spark, "merged"), ["o_orderstatus", "o_totalprice"]
+    merge(path, old, "o_orderkey", columns, 16)
+    merge(path, new, "o_orderkey", columns)
+    return read_merged(spark, path, new.select("o_orderkey", *columns).schema)
+
+
 def upsert_latest(spark, sf_dir):
     old, new = _old_and_new(spark, sf_dir)
     log = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
@@ -181,7 +191,7 @@ def ungrouped_counts(spark, sf_dir):
     return sequencing.grouping_counts(x)
 
 
-QUERIES = {f.__name__: f for f in (seq_counts_left, cand_rank_page, cand_rank_last_page, cand_filter_ilike, cand_total, cand_detail, cand_in_list, cand_day_filter, cand_inner_scores, stats_status, stats_label, stats_run, stats_global, orphan_check, constraint_check, upsert_classify, upsert_counts, upsert_latest, upsert_predictions, upsert_candidates, dimension_create, review_log, status_bands, fusion_mean, image_rows, sequence_images, cand_iso, log_tail, ungrouped_counts)}
+QUERIES = {f.__name__: f for f in (seq_counts_left, cand_rank_page, cand_rank_last_page, cand_filter_ilike, cand_total, cand_detail, cand_in_list, cand_day_filter, cand_inner_scores, stats_status, stats_label, stats_run, stats_global, orphan_check, constraint_check, upsert_classify, upsert_counts, upsert_merged, upsert_latest, upsert_predictions, upsert_candidates, dimension_create, review_log, status_bands, fusion_mean, image_rows, sequence_images, cand_iso, log_tail, ungrouped_counts)}
 _UP = """o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders), old AS (SELECT * FROM o WHERE o_orderstatus <> 'O'),
 new AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_totalprice > 250000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE o_orderstatus <> 'F')"""
 _CLASSIFY = f"""WITH {_UP}, c AS (SELECT coalesce(n.o_orderkey, old.o_orderkey) AS o_orderkey,
@@ -210,6 +220,7 @@ UNION ALL SELECT 'allowed o_orderpriority', count(*) FROM orders WHERE o_orderpr
 UNION ALL SELECT 'required o_custkey', count(*) FROM orders WHERE o_custkey IS NULL""",
     "upsert_classify": f"{_CLASSIFY} SELECT * FROM c",
     "upsert_counts": f"{_CLASSIFY} SELECT change, count(*) AS n FROM c GROUP BY 1",
+    "upsert_merged": f"{_CLASSIFY} SELECT o_orderkey, o_orderstatus, o_totalprice FROM c",
     "upsert_latest": f"WITH {_UP}, v AS (SELECT *, 1 AS version FROM old UNION ALL SELECT *, 2 FROM new) SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1",
     "upsert_predictions": """WITH a AS (SELECT l_partkey AS candidate_id, l_returnflag AS run_id, max(l_quantity) AS score, min(l_orderkey) AS id, min(l_shipdate) AS created_at FROM lineitem GROUP BY 1, 2),
 o AS (SELECT * FROM a WHERE run_id <> 'R'), n AS (SELECT candidate_id, run_id, score + 1 AS score FROM a WHERE run_id <> 'A')

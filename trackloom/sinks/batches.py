@@ -10,18 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import discard
-
-
-def _files(spark: SparkSession, path: str):
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    there, fs = _files(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(there)) if fs.exists(there) else []
+from .merged import names_in, write_once
 
 
 def _name(number: int) -> str:
@@ -30,15 +22,10 @@ def _name(number: int) -> str:
 
 def committed(spark: SparkSession, path: str) -> dict[int, str]:
     """The folders that count, by batch number."""
-    found = {}
-    for name in _names(spark, f"{path}/_batches"):
-        there, fs = _files(spark, f"{path}/_batches/{name}")
-        stream = fs.open(there)
-        try:
-            found[int(name)] = f"{path}/{stream.readLine()}"
-        finally:
-            stream.close()
-    return found
+    if not names_in(spark, f"{path}/_batches"):
+        return {}
+    rows = spark.read.text(f"{path}/_batches/*").select("value", F.col("_metadata.file_name").alias("name")).collect()
+    return {int(r.name): f"{path}/{r.value}" for r in rows}
 
 
 def write_batch(batch: DataFrame, number: int, path: str) -> str:
@@ -50,17 +37,10 @@ def write_batch(batch: DataFrame, number: int, path: str) -> str:
 
 def commit_batch(spark: SparkSession, number: int, path: str, folder: str) -> bool:
     """Makes a written folder the batch's; False where the number has one already."""
-    there, fs = _files(spark, f"{path}/_batches/{_name(number)}")
-    try:
-        out = fs.create(there, False)
-    except Exception as e:
-        if not fs.exists(there):
-            raise e
+    if not write_once(spark, f"{path}/_batches/{_name(number)}", folder):
         discard(spark, f"{path}/{folder}")
         return False
-    out.write(f"{folder}\n".encode())
-    out.close()
-    for name in _names(spark, path):
+    for name in names_in(spark, path):
         if name.startswith(f"rows-{_name(number)}-") and name != folder:
             discard(spark, f"{path}/{name}")
     return True
@@ -69,7 +49,7 @@ def commit_batch(spark: SparkSession, number: int, path: str, folder: str) -> bo
 def append_batch(batch: DataFrame, number: int, path: str) -> bool:
     """For foreachBatch: the batch's rows once, however often it comes."""
     spark = batch.sparkSession
-    if _name(number) in _names(spark, f"{path}/_batches"):
+    if _name(number) in names_in(spark, f"{path}/_batches"):
         return False
     return commit_batch(spark, number, path, write_batch(batch, number, path))
 
