@@ -68,6 +68,49 @@ def recur(steps: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     return h
 
 
+#: Pixels that the encoder takes at once; its largest intermediate holds some 36 numbers for each.
+PIXELS = 1 << 16
+
+
+def states(stacks: list[np.ndarray], lengths: list[int], weights: dict[str, np.ndarray]) -> np.ndarray:
+    """The state of each stack after its last real step: stacks x HIDDEN.
+
+    Real frames of all stacks of one size are encoded together. The recurrent unit takes a step of all stacks at once;
+    these are in order of length, so those that are over fall off at the end.
+    """
+    lengths = np.asarray(lengths, np.int64)
+    codes = np.zeros((len(stacks), lengths.max(initial=0), CHANNELS[-1]), np.float32)
+    owner, step = np.repeat(np.arange(len(stacks)), lengths), np.concatenate([np.arange(n) for n in [*lengths, 0]])
+    of_size: dict[tuple, list[int]] = {}
+    for i, stack in enumerate(stacks):
+        of_size.setdefault(stack.shape[1:], []).append(i)
+    for shape, members in of_size.items():
+        at = np.flatnonzero(np.isin(owner, members))
+        many = max(1, PIXELS // max(1, shape[0] * shape[1]))
+        for k in range(0, len(at), many):
+            now = at[k : k + many]
+            codes[owner[now], step[now]] = encode(np.stack([stacks[i][t] for i, t in zip(owner[now], step[now], strict=True)]), weights)
+    order = np.argsort(-lengths, kind="stable")
+    h = np.zeros((len(stacks), HIDDEN), np.float32)
+    for t in range(codes.shape[1]):
+        live = order[: int((lengths > t).sum())]
+        ri, zi, ni = np.split(codes[live, t] @ weights["w_in"].T + weights["b_in"], 3, axis=1)
+        rs, zs, ns = np.split(h[live] @ weights["w_state"].T + weights["b_state"], 3, axis=1)
+        z = logistic(zi + zs)
+        h[live] = (1 - z) * np.tanh(ni + logistic(ri + rs) * ns) + z * h[live]
+    return h
+
+
+def score_many(stacks: list[np.ndarray], lengths: list[int], weights: dict[str, np.ndarray], extra: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of padded stacks; ``extra`` are the tracks' features, a row each, for a model that takes them."""
+    state = states(stacks, lengths, weights)
+    if len(weights["head.w"]) > HIDDEN:
+        if extra is None:
+            raise ValueError("this model needs features")
+        state = np.concatenate([state, extra], axis=1)
+    return logistic((state @ weights["head.w"] + weights["head.b"][0]).astype(np.float64))
+
+
 def score(stack: np.ndarray, length: int, weights: dict[str, np.ndarray], extra: np.ndarray | None = None) -> float:
     """Probability of a padded stack; ``extra`` are the track's features for a model that takes them."""
     state = recur(encode(stack[:length], weights), weights)

@@ -17,6 +17,10 @@ from ..sources.arrays import array_of
 from .ranking import FUSION, fuse
 
 
+#: Stacks that are scored together.
+AT_ONCE = 256
+
+
 def stack_of(crops: bytes, size: int) -> np.ndarray:
     return np.frombuffer(crops, "<f4").reshape(-1, int(size), int(size))
 
@@ -25,12 +29,10 @@ def score(stacks: DataFrame, weights: dict[str, np.ndarray], run_id: str, vector
     """track_id, run_id, score of each stack; ``vector`` names the column of features for a model that takes them. The weights are a fixed number of parameters."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                stack, n = k.normalise_stack(stack_of(r.crops, r.crop_size), max_frames)
-                out.append((r.track_id, run_id, net.score(stack, n, weights, None if vector is None else np.asarray(r.vector, np.float32))))
-            yield pd.DataFrame(out, columns=["track_id", "run_id", "score"])
+        for part in (p.iloc[at : at + AT_ONCE] for p in parts for at in range(0, len(p), AT_ONCE)):
+            made = [k.normalise_stack(stack_of(c, s), max_frames) for c, s in zip(part.crops, part.crop_size, strict=True)]
+            extra = None if vector is None else np.stack([np.asarray(v, np.float32) for v in part.vector])
+            yield pd.DataFrame({"track_id": part.track_id, "run_id": run_id, "score": net.score_many([x for x, _ in made], [n for _, n in made], weights, extra)})
 
     x = stacks.select("track_id", "crops", "crop_size", *([F.col(vector).alias("vector")] if vector else []))
     return x.mapInPandas(run, "track_id string, run_id string, score double")
