@@ -112,6 +112,43 @@ def read_image(data: bytes) -> dict:
     }
 
 
+def facts(read, length: int) -> dict:
+    """date_obs, width, height of the first two-dimensional image of a file of which only headers are read: ``read(at, size)`` gives its bytes.
+
+    FitsError for what ``read_image`` would refuse: no such image, data that are cut off, no observation date or detector.
+    """
+    at = 0
+    while at < length:
+        head = b""
+        while True:  # a header is read block by block up to its end card
+            block = read(at + len(head), BLOCK)
+            head += block
+            if len(block) < BLOCK or any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
+                break
+        header, size = read_header(head, 0)
+        if "SIMPLE" not in header and "XTENSION" not in header:
+            raise FitsError("no FITS header")
+        try:
+            shape = [int(header[f"NAXIS{i}"]) for i in range(int(header.get("NAXIS", 0)), 0, -1)]
+            n = int(np.prod(shape, dtype=object)) * np.dtype(KINDS.get(header.get("BITPIX"), ">u1")).itemsize if shape else 0
+            more = -(-(n * int(header.get("GCOUNT", 1)) + int(header.get("PCOUNT", 0))) // BLOCK) * BLOCK
+        except (KeyError, TypeError, ValueError) as e:
+            raise FitsError(f"unreadable: {e}") from e
+        at += size
+        if shape and header.get("XTENSION", "IMAGE") == "IMAGE":
+            if at + n > length:
+                raise FitsError("data are cut off")
+            if len(shape) == 2:
+                said = lambda k: str(header.get(k) or "").strip()
+                if not said("DATE-OBS"):
+                    raise FitsError("no observation time")
+                if not said("DETECTOR"):
+                    raise FitsError("no detector")
+                return {"date_obs": said("DATE-OBS") + (f"T{said('TIME-OBS')}" if said("TIME-OBS") else ""), "width": shape[1], "height": shape[0]}
+        at += more
+    raise FitsError("no two-dimensional image")
+
+
 def dimensions(data: bytes) -> tuple[int | None, int | None]:
     """(width, height) of the first array of two or more dimensions; (None, None) if there is none or the file is bad."""
     try:

@@ -1,4 +1,4 @@
-"""Archive days: listing, choice of archive, and what there is to fetch. Fetching itself is a function that the caller gives."""
+"""Archive days: listing, choice of archive, and what there is to fetch, whole or in chunks to a shared folder."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..kernels import fits
 
 CAMERAS = ("c2", "c3")
+PART = ".part"
 
 
 def day_url(base: str, day: date, camera: str) -> str:
@@ -50,7 +51,6 @@ def ingest(names: DataFrame, fetch: Callable[[str], tuple[int, bytes]], url: str
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for name in part.name:
                 row = {"name": name, "status": "failed", "source_url": url + name, "sha256": None, "size_bytes": None, "date_obs": None, "error": None, "content": None}
                 for attempt in range(retries):
@@ -67,12 +67,93 @@ def ingest(names: DataFrame, fetch: Callable[[str], tuple[int, bytes]], url: str
                     except OSError as e:
                         row["error"] = str(e)
                         time.sleep(wait_s * (attempt + 1) if attempt + 1 < retries else 0)
-                rows.append(row)
-            yield pd.DataFrame(rows)
+                yield pd.DataFrame([row])  # a body leaves before the next one comes
 
     return names.select("name").mapInPandas(run, "name string, status string, source_url string, sha256 string, size_bytes long, date_obs string, error string, content binary")
 
 
+def opened(url: str, timeout_s: float = 60.0, chunk: int = 1 << 20) -> tuple[int, Iterator[bytes]]:
+    """Status and body of an address, chunk by chunk."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        answer = urllib.request.urlopen(url, timeout=timeout_s)  # noqa: S310
+    except urllib.error.HTTPError as e:
+        return e.code, iter(())
+    return answer.status, iter(lambda: answer.read(chunk), b"")
+
+
+def fetched(names: DataFrame, open_url: Callable[[str], tuple[int, Iterator[bytes]]], url: str, folder: str, retries: int = 3, wait_s: float = 1.0) -> DataFrame:
+    """Fetches to files of a shared folder: name, status, source_url, path, sha256, size_bytes, date_obs, error; no content.
+
+    A body goes chunk by chunk to a part file while its hash is kept. The part is renamed to the frame's name once its headers
+    are valid and its data whole, and deleted if they are not; failures of the network are tried again from the start. So a
+    task holds one chunk, whatever a frame's size, and a frame's name never shows half a file. Every attempt has a part of
+    its own; ``leftovers`` deletes those of attempts that were killed. Names that repeat are fetched each and end as one file.
+
+    folder: a path or address that pyarrow's file systems reach from every executor.
+    """
+    out = "name string, status string, source_url string, path string, sha256 string, size_bytes long, date_obs string, error string"
+    columns = [c.split()[0] for c in out.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        import pyarrow.fs as pafs
+
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+
+        def attempt(name: str) -> dict:
+            status, body = open_url(url + name)
+            if status != 200:
+                raise OSError(f"status {status}")
+            part, digest, size = f"{root}/.{name}.{uuid.uuid4().hex}{PART}", hashlib.sha256(), 0
+            try:
+                with store.open_output_stream(part) as f:
+                    for chunk in body:
+                        digest.update(chunk)
+                        size += len(chunk)
+                        f.write(chunk)
+                with store.open_input_file(part) as f:
+                    found = fits.facts(lambda at, n: f.read_at(max(0, min(n, size - at)), at), size)
+                store.move(part, f"{root}/{name}")
+            except BaseException:
+                if store.get_file_info(part).type != pafs.FileType.NotFound:
+                    store.delete_file(part)
+                raise
+            return {"status": "complete", "path": f"{folder.rstrip('/')}/{name}", "sha256": digest.hexdigest(), "size_bytes": size, "date_obs": found["date_obs"], "error": None}
+
+        for frame in parts:
+            for name in frame.name:
+                row = dict.fromkeys(columns) | {"name": name, "status": "failed", "source_url": url + name}
+                for k in range(retries):
+                    try:
+                        row |= attempt(name)
+                        break
+                    except fits.FitsError as e:
+                        row["error"] = str(e)
+                        break
+                    except OSError as e:
+                        row["error"] = str(e)
+                        time.sleep(wait_s * (k + 1) if k + 1 < retries else 0)
+                yield pd.DataFrame([row], columns=columns)
+
+    return names.select("name").mapInPandas(run, out)
+
+
+def leftovers(folder: str) -> list[str]:
+    """Deletes the part files of attempts that were killed, and names them; for when no fetch into the folder is at work."""
+    import pyarrow.fs as pafs
+
+    store, root = pafs.FileSystem.from_uri(folder)
+    found = [f.path for f in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(PART)]
+    for path in found:
+        store.delete_file(path)
+    return found
+
+
 def summary(listed: DataFrame, done: DataFrame) -> DataFrame:
     """listed, downloaded, skipped, failed."""
     n = listed.agg(F.count(F.lit(1)).alias("listed"))
