@@ -30,54 +30,75 @@ from .common import recut, table
 #: Every pattern of SENTENCES needs one of these within a single word, so no line break parts them, or fits SHORT;
 #: a text, in lower case, with neither has no licence sentence.
 HINTS = ("licenc", "licens", "copyright", "spdx", "permission", "redistribut", "warrant", "applicable", "gpl", "bsd", "commons", "domain", "unencumbered", "reserved", "endorse", "advertising", "altered", "misrepresented", "proprietary", "unauthori", "reproduce")
-SHORT = regex.compile(r"(?<![a-z0-9])(?:c(?:[^a-z0-9]+c)?[^a-z0-9]+(?:\d|by(?![a-z0-9]))|cc[^a-z0-9]+(?:zero|0|by|attribution))")
+SHORT = regex.compile(r"(?<![a-z0-9])(?:c(?:[^a-z0-9]+c)?[^a-z0-9]+(?:\d|by(?![a-z0-9]))|cc[^a-z0-9]+(?:zero|0|by|attribution)|(?:apache|mit|expat|x11|isc|mpl|epl|bsl)(?![a-z]))")
 CUT = regex.compile(r"(?<=[.!?;:])\s+|\s*\n\s*")
 SPDX = regex.compile(r"SPDX-License-Identifier:\s*([\w.+() -]*[\w+)])", regex.IGNORECASE)
 
 _V = r"(?: version| v)? ?(?P<v>\d(?: \d)?)"
 _WORK = r"(?:this (?:work|file|text|document|program|software|code|project|article|content|page) (?:is |are )?)?"
 _OPEN = rf"{_WORK}(?:is )?(?:licen[cs]ed|released|distributed|available|published|made available|provided) under(?: the(?: terms of(?: the)?)?)?"
+_FREE = r"(?:.* )?(?:is|are) (?:dual )?(?:licen[cs]ed|released|distributed|made available|provided) under(?: the(?: terms of(?: the)?)?)?"
+_LATER = r"(?: only|(?P<later> or (?:at your option )?(?:any )?later(?: version)?))?"
+_MONTH = r"(?:january|february|march|april|may|june|july|august|september|october|november|december)"
+#: Identifier and names of licences that a sentence may state, by their titles or SPDX names. Fixed values.
+NAMED: list[tuple[str, str]] = [
+    ("apache", rf"apache (?:software )?license{_V}(?: the license)?|apache (?P<v>\d \d)(?: licen[cs]e)?"),
+    ("mit", r"(?:mit|expat|x11)(?: licen[cs]e)?"),
+    ("isc", r"isc(?: licen[cs]e)?"),
+    ("bsd", r"(?:(?:new|modified|revised|simplified) )?(?:(?P<v>[234]) clause )?bsd licen[cs]e|bsd (?P<v>[234]) clause(?: licen[cs]e)?"),
+    ("gpl", rf"(?:gnu )?(?:general public licen[cs]e|gpl)(?:{_V})?{_LATER}"),
+    ("lgpl", rf"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)(?:{_V})?{_LATER}"),
+    ("agpl", rf"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?:{_V})?{_LATER}"),
+    ("mpl", rf"(?:mozilla public license|mpl){_V}"),
+    ("epl", rf"(?:eclipse public license|epl){_V}"),
+    ("boost", rf"(?:boost software license|bsl){_V}"),
+]
+#: Titles with which the licences' own texts begin. Fixed values.
+TITLES: list[tuple[str, str]] = [
+    ("mit-title", r"(?:the )?mit license(?: mit)?"),
+    ("isc-title", r"(?:the )?isc license(?: isc)?"),
+    ("bsd-title", r"(?:the )?bsd (?P<v>[234]) clause license"),
+    ("apache-title", rf"apache license version (?P<v>\d(?: \d)?) {_MONTH} \d{{4}}"),
+    ("gpl-title", rf"gnu general public license version (?P<v>\d(?: \d)?)(?: \d\d?)? {_MONTH} \d{{4}}"),
+    ("lgpl-title", rf"gnu (?:lesser|library) general public license version (?P<v>\d(?: \d)?)(?: \d\d?)? {_MONTH} \d{{4}}"),
+    ("agpl-title", rf"gnu affero general public license version (?P<v>\d(?: \d)?)(?: \d\d?)? {_MONTH} \d{{4}}"),
+    ("mpl-title", r"mozilla public license version (?P<v>\d(?: \d)?)"),
+]
 #: Identifier and pattern of the whole normalised sentence. The licences' own words.
 SENTENCES: list[tuple[str, str]] = [
     ("copyright", r"(?:copyright|c)(?: c)? (?:\d{4}.*|by .*)"),
     ("all-rights-reserved", r"(?:.* )?all rights reserved"),
     ("spdx", r"spdx license identifier (?P<v>.+)"),
-    ("apache", rf"{_OPEN} apache (?:software )?license{_V}(?: the license)?"),
     ("apache-compliance", r"you may not use this (?:file|work|software) except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at.*"),
     ("apache-no-warranty", r"unless required by applicable law or agreed to in writing.*"),
     ("apache-see", r"see the license for the specific language governing permissions and.*"),
-    ("mit", rf"{_OPEN} (?:mit|expat|x11) licen[cs]e"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-no-warranty", r"the software is provided as is without warranty of any kind.*"),
-    ("isc", rf"{_OPEN} isc licen[cs]e"),
     ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("bsd", rf"{_OPEN} (?:(?P<v>[234]) clause )?bsd licen[cs]e|{_OPEN} bsd (?P<v>[234]) clause(?: licen[cs]e)?"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-source", r"(?:\d )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd-binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd-name", r"(?:\d )?neither the name of .* may be used to endorse or promote products.*"),
     ("bsd-advertising", r"(?:\d )?all advertising materials mentioning features or use of this software must display.*"),
     ("bsd-no-warranty", r"this software is provided by the .* as is and any express or implied warranties.*"),
-    ("gpl", rf"{_OPEN} (?:gnu )?(?:general public licen[cs]e|gpl)(?:{_V})?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
-    ("lgpl", rf"{_OPEN} (?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)(?:{_V})?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
-    ("agpl", rf"{_OPEN} (?:gnu )?(?:affero general public licen[cs]e|agpl)(?:{_V})?(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
     ("gpl-grant", rf"this (?:program|library|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either{_V} of the license or at your option any later version"),
     ("lgpl-grant", rf"this (?:program|library|file|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation either{_V} of the license or at your option any later version"),
     ("gpl-no-warranty", r"this (?:program|library|file|software) is distributed in the hope that it will be useful but without any warranty.*"),
-    ("mpl", rf"(?:{_OPEN} mozilla public license{_V}|this source code form is subject to the terms of the mozilla public license{_V})"),
-    ("epl", rf"{_OPEN} eclipse public license{_V}"),
+    ("mpl", rf"this source code form is subject to the terms of the mozilla public license{_V}"),
     ("cc", rf"{_OPEN}(?: a)? (?:cc|creative commons) (?P<kind>zero|0|by(?: nc)?(?: sa| nd)?|attribution(?: non ?commercial)?(?: share ?alike| no ?deriv\w*)?)(?:{_V})?(?: (?:international|unported|generic|universal))?(?: licen[cs]e)?"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:.* )?(?:is|are)?(?: hereby)? ?(?:placed in|released into|dedicated to) the public domain"),
     ("zlib-origin", r"(?:\d )?the origin of this software must not be misrepresented.*"),
     ("zlib-altered", r"(?:\d )?altered source versions must be plainly marked as such.*"),
     ("zlib-notice", r"(?:\d )?this notice may not be removed or altered from any source distribution"),
-    ("boost", rf"{_OPEN} boost software license{_V}"),
     ("wtfpl", r".*do what the fuck you want to public license.*"),
     ("proprietary", r"(?:.* )?(?:proprietary and confidential|unauthori[sz]ed copying of this file.*|no part of this .* may be reproduced.*)"),
 ]
+SENTENCES += [(name, rf"{_OPEN} (?:{names})(?: see .*)?") for name, names in NAMED]
+SENTENCES += [(name, rf"{_FREE} (?:{names})(?: see .*)?") for name, names in NAMED]
+SENTENCES += TITLES
 KNOWN = [(name, regex.compile(p)) for name, p in SENTENCES]
 
 
@@ -122,6 +143,14 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("copyright?", "epl"), "EPL-{v}"),
     (("copyright?", "cc"), "CC-{v}"),
     (("copyright?", "boost"), "BSL-{v}"),
+    (("mit-title",), "MIT"),
+    (("isc-title",), "ISC"),
+    (("bsd-title",), "BSD-{v}-Clause"),
+    (("apache-title",), "Apache-{v}"),
+    (("gpl-title",), "GPL-{v}"),
+    (("lgpl-title",), "LGPL-{v}"),
+    (("agpl-title",), "AGPL-{v}"),
+    (("mpl-title",), "MPL-{v}"),
     (("wtfpl",), "WTFPL"),
     (("public-domain",), "Public-Domain"),
     (("copyright?", "proprietary"), "Proprietary"),
@@ -152,7 +181,7 @@ def identify(sentence: str) -> tuple[str, str] | None:
                 return name, f"0-{version(v or '1')}" if kind == "0" else f"{kind}-{version(v)}"
             if name == "spdx":
                 return name, v.replace(" ", "-")
-            if name == "bsd":
+            if name in ("bsd", "bsd-title"):
                 return name, v or "unknown"
             return name, version(v) + ("-or-later" if groups.get("later") else "")
     return None
