@@ -119,7 +119,9 @@ def finder(pattern: str) -> regex.Pattern:
 
 #: Sentences that begin with known words and go on with known words: whether a text may become one is seen from its beginning.
 BEGUN = regex.compile("|".join(p for _, p in SENTENCES if not unbounded(p)))
-FINDERS = [finder(p) for _, p in SENTENCES if unbounded(p)]
+#: The sentences with a free subject are looked for together, as they share their beginning.
+FREE = rf"{_FREE} (?:{'|'.join(names for _, names in NAMED)})(?: see .*)?"
+FINDERS = [finder(p) for p in [*(p for _, p in SENTENCES if unbounded(p) and not p.startswith(_FREE)), FREE]]
 #: Ordered rules: identifiers in their order (those ending in ? may lack) and the licence; {v} is the version of the first identifier that has one.
 RULES: list[tuple[tuple[str, ...], str]] = [
     (("copyright?", "mit-grant", "mit-notice?", "mit-no-warranty?"), "MIT"),
