@@ -169,7 +169,7 @@ def test_against_every_run_of_pieces(spark, sf_dir):
         assert [n for n, _ in li.identifiers(text)] == plain_names(text), text
 
 
-#: Headers and first lines as they stand in published source files, and the licences they state.
+#: Headers and first lines in the wording usual in source files, written down for this test, and the licences they state.
 REAL = [
     ("Licensed under GPL-2.0-only.", "GPL-2.0"),
     ("This file is part of Foo.\nFoo is licensed under the MIT license.", "MIT"),
@@ -203,7 +203,7 @@ REAL = [
 
 
 def test_recall_on_real_headers():
-    """24 of these 28 or more; the last ones name no licence by a sentence that the rules know."""
+    """25 of these 28; the last three state a licence in words that no rule has."""
     got = [want in li.licences(li.identifiers(text)) for text, want in REAL]
     assert sum(got) >= 25, [t for (t, _), ok in zip(REAL, got, strict=True) if not ok]
     assert all(got[:25])
