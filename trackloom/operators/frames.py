@@ -1,13 +1,15 @@
 """Frames as rows: normalise, register, subtract, detect, crop. Pixels travel as binary and never beyond the detection step.
 
-A frame row holds one frame; what a frame needs of others (the sequence's reference, its neighbours in time) is
-brought to it by a join or a window of a few rows, so no task holds a whole day of frames. Spark cuts the rows that
+A frame row holds one frame; what a frame needs of others is brought to it by a join (the sequence's reference) or
+by streaming its sequence past a window of a few frames, so no task holds a whole day of frames. Spark cuts the rows that
 it hands to Python at 64 MB.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -78,35 +80,96 @@ def register(normalised: DataFrame, config: k.RegisterConfig = k.RegisterConfig(
 
 
 DETECTED = f"sequence_id long, frame string, ts timestamp, sigma double, detections array<{DETECTION}>"
-
-
-def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), residuals: bool = False) -> DataFrame:  # noqa: B008
-    """Detections of each frame against the median of its neighbours (or the frame before); ``residuals`` adds height, width, residual and mask."""
-    half = config.window // 2 if config.method == "median" else 1
-    w = Window.partitionBy("sequence_id").orderBy("frame")
+#: Frames that one task takes of a sequence that is split.
+SPAN = 64
+
+
+def spans(names: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """A sequence's frames (sequence_id, frame) in spans of ``size``: sequence_id, n, span, its first and last frame, and ``low`` and ``high``, the ends with the neighbours that its frames need."""
+    every = Window.partitionBy("sequence_id")
+    w = every.orderBy("frame")
+    x = names.select(
+        "sequence_id", "frame", F.count(F.lit(1)).over(every).alias("n"), ((F.row_number().over(w) - 1) / size).cast("long").alias("span"),
+        F.coalesce(F.lag("frame", before).over(w), F.min("frame").over(every)).alias("low"), F.coalesce(F.lead("frame", after).over(w), F.max("frame").over(every)).alias("high"),
+    )
+    return x.groupBy("sequence_id", "span").agg(F.first("n").alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def windows(rows: Iterable[dict], before: int, after: int) -> Iterator[tuple[dict, list[dict]]]:
+    """Each row with up to ``before`` rows ahead of it and ``after`` behind it, in order; no more than these are held."""
+    held, at = deque(), 0
+
+    def given() -> tuple[dict, list[dict]]:
+        nonlocal at
+        found = held[at], [r for j, r in enumerate(held) if j != at]
+        at += 1
+        if at > before:
+            held.popleft()
+            at -= 1
+        return found
+
+    for r in rows:
+        held.append(r)
+        if len(held) > at + after:
+            yield given()
+    while at < len(held):
+        yield given()
+
+
+def together(rows: Iterable[dict], many: int = 64, size: int = 1 << 24) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most ``many`` rows, cut where their residuals pass ``size`` bytes."""
+    held, taken = [], 0
+    for r in rows:
+        held.append(r)
+        taken += len(r.get("residual", b""))
+        if len(held) == many or taken >= size:
+            yield pd.DataFrame(held)
+            held, taken = [], 0
+    if held:
+        yield pd.DataFrame(held)
+
+
+def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), residuals: bool = False, span: int | None = None) -> DataFrame:  # noqa: B008
+    """Detections of each frame against the median of its neighbours (or the frame before); ``residuals`` adds height, width, residual and mask.
+
+    A sequence streams past a window of frames, so each frame is sent once and a task holds a window. ``span`` splits
+    sequences into spans of so many frames, each with the neighbours that its ends need; this reads the names of all
+    frames first, so it is for tables, not for long plans. Frame names are unique in a sequence; a sequence of fewer
+    than three frames is an error for the median.
+    """
+    if config.method not in ("median", "prev_diff"):
+        raise ValueError(f"unknown method {config.method!r}")
+    median = config.method == "median"
+    before, after = (config.window // 2, config.window // 2) if median else (1, 0)
     schema = DETECTED + (", height int, width int, residual binary, mask binary" if residuals else "")
-    offsets = [*range(-half, 0), *(range(1, half + 1) if config.method == "median" else ())]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.to_dict("records"):
-                if config.method == "median" and r["n"] < 3:
-                    raise ValueError(f"sequence {r['sequence_id']}: three frames or more are needed")
+    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        rows = (r for part in parts for r in part.to_dict("records"))
+        for (sequence, _), members in groupby(rows, key=lambda r: (r["sequence_id"], r["span"])):
+            seen = n = 0
+            for r, near in windows(members, before, after):
+                seen, n = seen + 1, r["n"]
+                if not r["own"]:
+                    continue
                 data, mask = pixels(r["data"], r["height"], r["width"]), mask_of(r["mask"], r["height"], r["width"])
-                near = [pixels(b, r["height"], r["width"]) for b in r["near"] if b is not None]
                 found, sigma, res = [], 0.0, np.zeros_like(data)
                 if near:
-                    res = k.less_background(data, near)
-                    valid = mask & mask_of(r["mask_before"], r["height"], r["width"]) if config.method == "prev_diff" else mask
+                    res = k.less_background(data, [pixels(b["data"], b["height"], b["width"]) for b in near])
+                    valid = mask if median else mask & mask_of(near[0]["mask"], r["height"], r["width"])
                     found, sigma = k.detect(res, valid, config)
                 row = {"sequence_id": r["sequence_id"], "frame": r["frame"], "ts": r["ts"], "sigma": round(sigma, 5), "detections": found}
-                rows.append(row | ({"height": r["height"], "width": r["width"], "residual": res.astype("<f4").tobytes(), "mask": r["mask"]} if residuals else {}))
-            yield pd.DataFrame(rows)
-
-    near = F.filter(F.array(*(F.lag("data", -o).over(w) for o in offsets)), lambda b: b.isNotNull())
-    x = registered.where("status in ('ok', 'reference')").withColumns({"near": near, "mask_before": F.lag("mask").over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("sequence_id"))})
-    return x.select("sequence_id", "frame", "ts", "height", "width", "data", "mask", "near", "mask_before", "n").mapInPandas(run, schema)
+                yield row | ({"height": r["height"], "width": r["width"], "residual": res.astype("<f4").tobytes(), "mask": r["mask"]} if residuals else {})
+            if median and max(n, seen) < 3:
+                raise ValueError(f"sequence {sequence}: three frames or more are needed")
+
+    x = registered.where("status in ('ok', 'reference')").select("sequence_id", "frame", "ts", "height", "width", "data", "mask")
+    if span is None:
+        x = x.withColumns({"span": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "own": F.lit(True)}).repartition("sequence_id")
+    else:
+        near = spans(x.select("sequence_id", "frame"), span, before, after)
+        x = x.join(near, "sequence_id").where("frame between low and high").withColumn("own", F.expr("frame between first and last"))
+        x = x.drop("first", "last", "low", "high").repartition("sequence_id", "span")
+    return x.sortWithinPartitions("sequence_id", "span", "frame").mapInPandas(lambda parts: together(rows_of(parts)), schema)
 
 
 def exploded(detected: DataFrame) -> DataFrame:

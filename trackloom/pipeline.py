@@ -71,7 +71,7 @@ class Run:
         return self.stage("registered", lambda: frames.register(frames.preprocess(self.images(), **self.config.preprocess), self.config.register), by="sequence_id")
 
     def detected(self) -> DataFrame:
-        return self.stage("detected", lambda: frames.detect(self.registered(), self.config.motion, residuals=True), by="sequence_id")
+        return self.stage("detected", lambda: frames.detect(self.registered(), self.config.motion, residuals=True, span=frames.SPAN), by="sequence_id")
 
     def points(self) -> DataFrame:
         return self.stage("points", lambda: tracking.build(frames.exploded(self.detected()), self.detected().select("sequence_id", "frame", "ts"), self.config.hash()[:8], self.config.tracks))
