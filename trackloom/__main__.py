@@ -1,26 +1,27 @@
-"""python -m trackloom COMMAND: run, sequences, stage, score, validation, shortlist, evidence, report, similar on a folder of frames; events, labels on documents."""
+"""python -m trackloom COMMAND: run, sequences, stage, train, score, validation, shortlist, evidence, report, similar on a folder of frames; events, labels on documents."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import sequence_of
+from .functions import config_hash, sequence_of
 from .kernels import net
 from .kernels.frames import MotionConfig
-from .operators import evidence, index, labels, ranking, scoring, sequencing, similarity, tracks, upserts
+from .operators import evidence, frames, index, labels, planting, ranking, scoring, sequencing, similarity, tracks, training, upserts
 from .operators.tracking import TracksConfig
 from .pipeline import Config, Run
 from .schemas import FEATURES
-from .session import get_session
+from .session import get_session, stored
 from .sinks.files import exists, write_document
 from .sources import arrays, documents
 
-ON_FRAMES = ("run", "sequences", "stage", "score", "validation", "shortlist", "evidence", "report", "similar")
+ON_FRAMES = ("run", "sequences", "stage", "train", "score", "validation", "shortlist", "evidence", "report", "similar")
 STAGES = ("registered", "detected", "points", "features", "crops")
 
 
@@ -39,6 +40,12 @@ def parser() -> argparse.ArgumentParser:
     of["sequences"].add_argument("--check-only", action="store_true")
     of["stage"].add_argument("--name", choices=STAGES, required=True)
     of["stage"].add_argument("--sequence-id", type=int)
+    of["stage"].add_argument("--evaluate", action="store_true", help="plant shifts (registered) or moving sources (detected) and count what is found again")
+    of["train"].add_argument("--labels", required=True, help="labels with the splits train and val, and test for --test")
+    of["train"].add_argument("--epochs", type=int, default=training.TrainConfig.epochs)
+    of["train"].add_argument("--batch-size", type=int, default=training.TrainConfig.batch_size)
+    of["train"].add_argument("--seed", type=int, default=training.TrainConfig.seed)
+    of["train"].add_argument("--test", action="store_true", help="report on the test split with the checkpoint of an earlier run")
     of["score"].add_argument("--weights", help="folder of .npz checkpoints, one a run")
     of["score"].add_argument("--no-status", action="store_true")
     of["validation"].add_argument("--labels", required=True)
@@ -149,6 +156,46 @@ def stage(run: Run, name: str, sequence_id: int | None) -> int:
     return int(name == "features" and invalid(x) > 0)
 
 
+def evaluate(run: Run, name: str, sequence_id: int | None) -> int:
+    """Planting experiments on the frames of a stage, one line a sequence and cell; 2 for a stage that has none."""
+    if name not in ("registered", "detected"):
+        print(f"nothing can be planted into {name}", file=sys.stderr)
+        return 2
+    only = F.lit(True) if sequence_id is None else F.col("sequence_id") == sequence_id
+    if name == "registered":
+        found = planting.shift_recovery(frames.preprocess(run.images().where(only), **run.config.preprocess))
+        lines(found.orderBy("sequence_id", "dx"))
+    else:
+        found = planting.recovery(stored(planting.planted(run.registered().where(only)), "planted"), config=run.config.motion, span=frames.SPAN)
+        lines(found.orderBy("sequence_id", F.desc("strength"), "method"))
+    return 0
+
+
+def train(run: Run, a: argparse.Namespace) -> int:
+    """The history of a training run and its checkpoint under ``models``; with --test the report on the test split and the rank of each positive."""
+    t, stacks = labels.flat(documents.labels(run.spark, a.labels)), run.crops()
+    there = stacks.select(sequence_of(F.col("track_id")).alias("sequence_id"), "track_id")
+    config = training.TrainConfig(epochs=a.epochs, batch_size=a.batch_size, seed=a.seed)
+    name = config_hash(asdict(config) | {"labels": sorted(r.value for r in run.spark.read.text(a.labels).collect())})
+    path = f"{run.root}/models/run_{name}_seed{a.seed}.npz"
+    if a.test:
+        if not exists(run.spark, path):
+            print(f"{path} is missing: train first", file=sys.stderr)
+            return 2
+        (weights,) = scoring.weights_of(arrays.read(run.spark, path)).values()
+        known = labels.resolve_split(t, "test", there)
+        scored = scoring.score(stacks, weights, "trained", max_frames=config.max_frames)
+        lines(ranking.report(scored.join(known, "track_id"), [], "label", "score", "track_id"))
+        lines(training.positive_ranks(scored, known).orderBy("rank"))
+        return 0
+    weights, history = training.train(stacks, labels.resolve_split(t, "train", there), labels.resolve_split(t, "val", there), config)
+    for epoch in history:
+        print(json.dumps(epoch))
+    training.save(run.spark, weights, path)
+    print(path, file=sys.stderr)
+    return 0
+
+
 def score(run: Run, weights: str | None, with_status: bool) -> None:
     """Scores of all runs, or the candidates with the priority that the ranking run gives them."""
     runs = scoring.weights_of(arrays.read(run.spark, weights)) if weights else {f"seeded_{run.config.model_seed}": net.seeded_weights(run.config.model_seed)}
@@ -183,6 +230,10 @@ def main(argv: list[str] | None = None) -> int:
         return summary(run)
     if a.command == "sequences":
         return sequences(run, a.check_only)
+    if a.command == "train":
+        return train(run, a)
+    if a.command == "stage" and a.evaluate:
+        return evaluate(run, a.name, a.sequence_id)
     if a.command == "stage":
         return stage(run, a.name, a.sequence_id)
     if a.command == "score":

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..kernels import fits, net
 from ..operators import frames as fr
-from ..operators import scoring, tracking, tracks
-from ..session import table
+from ..operators import planting, scoring, tracking, tracks
+from ..session import stored, table
 from ..sinks import files
 from ..sources.fits import decode
 
@@ -93,6 +93,15 @@ def detect_components(spark, sf_dir):
     return x.select("sequence_id", "frame", F.col("pos").cast("long").alias("pos"), "x", "y", F.array_join("bbox", ",").alias("bbox"), F.col("area").cast("long").alias("area"), "peak", "flux", "snr")
 
 
+VELOCITY = (1.0, -1.0)
+
+
+def planted_recovery(spark, sf_dir):
+    """How many frames give a planted mover back, by sequence, method and strength."""
+    x = planting.planted(_normalised(spark, sf_dir).where("usable").withColumn("status", F.lit("ok")), velocity=VELOCITY)
+    return planting.recovery(stored(x, "planted"))
+
+
 def _track_points(spark, sf_dir, detected):
     config = tracking.TracksConfig(max_link_px=6.0)
     return tracking.build(fr.exploded(detected), detected.select("sequence_id", "frame", "ts"), "demo", config)
@@ -168,7 +177,7 @@ def linear_ranker(spark, sf_dir):
     return scoring.predict_linear(model, d, "user_id", "vector", "linear_v1").select("user_id", "run_id", F.round("score", 4).alias("score"))
 
 
-QUERIES = {q.__name__: q for q in (fits_roundtrip, preprocess_frames, register_shift, detect_components, tracker_greedy, tracker_events, crop_cut, stack_normalise, cnn_gru_score, scoring_runs, filmstrip_png, pipeline_features, linear_ranker)}
+QUERIES = {q.__name__: q for q in (fits_roundtrip, preprocess_frames, register_shift, detect_components, planted_recovery, tracker_greedy, tracker_events, crop_cut, stack_normalise, cnn_gru_score, scoring_runs, filmstrip_png, pipeline_features, linear_ranker)}
 
 _TYPES = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _E = f"e AS (SELECT CAST(list_position({_TYPES}, event_type) AS BIGINT) AS s, CAST(ts AS DATE) AS day, CAST(CAST(ts AS DATE) - DATE '{DAY0}' AS BIGINT) AS n, event_id FROM events), f AS (SELECT DISTINCT s, day, n FROM e)"
@@ -179,19 +188,30 @@ px AS (SELECT s, day, n, x, y, CASE WHEN (x * y + n) % 97 = 0 THEN 0 ELSE 200 +
   FROM f CROSS JOIN grid LEFT JOIN hit USING (s, n, x, y)),
 fld AS (SELECT *, x BETWEEN 4 AND {SIZE - 5} AND y BETWEEN 4 AND {SIZE - 5} AND sqrt((x - {MIDDLE - 1}) * (x - {MIDDLE - 1}) + (y - {MIDDLE - 1}) * (y - {MIDDLE - 1})) / (965.0::DOUBLE / {SCALE}) BETWEEN 3 AND 14 AS field FROM px),
 nrm AS (SELECT s, day, n, x, y, field, field AND raw > 0 AS ok, CASE WHEN field AND raw > 0 THEN raw / {EXPOSURE} ELSE 0 END::DOUBLE AS v FROM fld)"""
-_RES = f"""{_PX}, near AS (SELECT *, list_concat(coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), [])) AS w FROM nrm),
-res AS (SELECT s, day, n, x, y, ok, v - list_median(w) AS r FROM near),
-mid AS (SELECT s, n, quantile_cont(r, 0.5) AS md FROM res WHERE ok GROUP BY ALL), sig AS (SELECT s, n, (1.4826::FLOAT * quantile_cont(abs(r - md), 0.5)::FLOAT)::DOUBLE AS sigma FROM res JOIN mid USING (s, n) WHERE ok GROUP BY ALL),
+_DET = f"""mid AS (SELECT s, n, quantile_cont(r, 0.5) AS md FROM res WHERE ok GROUP BY ALL), sig AS (SELECT s, n, (1.4826::FLOAT * quantile_cont(abs(r - md), 0.5)::FLOAT)::DOUBLE AS sigma FROM res JOIN mid USING (s, n) WHERE ok GROUP BY ALL),
 hot AS (SELECT s, day, n, x, y, r, sigma, y * {SIZE} + x AS i FROM res JOIN sig USING (s, n) WHERE ok AND sigma > 0 AND r::FLOAT > (5 * sigma)::FLOAT),
 reach(s, n, i, j) AS (SELECT s, n, i, i FROM hot UNION SELECT t.s, t.n, t.i, h.i FROM reach t JOIN hot h ON h.s = t.s AND h.n = t.n AND abs(h.x - t.j % {SIZE}) <= 1 AND abs(h.y - t.j // {SIZE}) <= 1),
 lab AS (SELECT s, n, i, min(j) AS first FROM reach GROUP BY ALL),
 cmp AS (SELECT s, day, n, first, sum(x) / count(*)::DOUBLE AS cx, sum(y) / count(*)::DOUBLE AS cy, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, max(r) AS peak, sum(r) AS flux, any_value(sigma) AS sigma FROM lab JOIN hot USING (s, n, i) GROUP BY ALL),
 det AS (SELECT s, day, n, row_number() OVER (PARTITION BY s, n ORDER BY first) - 1 AS pos, round_even(cx * 100, 0) / 100 AS x, round_even(cy * 100, 0) / 100 AS y, x0 || ',' || y0 || ',' || w || ',' || h AS bbox, area, round_even(peak * 1e4, 0) / 1e4 AS peak, round_even(flux * 1e4, 0) / 1e4 AS flux, round_even(peak / sigma * 100, 0) / 100 AS snr FROM cmp WHERE area BETWEEN 2 AND 2000)"""
+_RES = f"""{_PX}, near AS (SELECT *, list_concat(coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), [])) AS w FROM nrm),
+res AS (SELECT s, day, n, x, y, ok, v - list_median(w) AS r FROM near),
+{_DET}"""
 _CUT = f"""{_RES}, pts AS (SELECT *, 'seq' || s || '_pos_' || lpad(CAST(pos AS VARCHAR), 5, '0') AS track_id, row_number() OVER (PARTITION BY s, pos ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY s, pos) AS m, CAST(round_even(x, 0) AS BIGINT) - {CROP // 2} AS left_, CAST(round_even(y, 0) AS BIGINT) - {CROP // 2} AS top FROM det),
 sq AS (SELECT a.i AS cx, b.i AS cy FROM (SELECT unnest(range({CROP})) AS i) a CROSS JOIN (SELECT unnest(range({CROP})) AS i) b),
 cut AS (SELECT track_id, k, m, cx, cy, coalesce(ok, false) AS ok, CASE WHEN ok THEN r ELSE 0 END::DOUBLE AS r FROM pts p CROSS JOIN sq LEFT JOIN res ON res.s = p.s AND res.n = p.n AND res.x = left_ + cx AND res.y = top + cy)"""
 _FRAME = "s AS sequence_id, strftime(day, '%Y%m%d') AS frame"
+_PLANTED = f"""{_PX}, lit AS (SELECT s, n, median(v) AS md FROM nrm WHERE v <> 0 GROUP BY ALL), dev AS (SELECT s, n, (1.4826::FLOAT * quantile_cont(abs(v - md), 0.5)::FLOAT)::DOUBLE AS sg FROM nrm JOIN lit USING (s, n) WHERE v <> 0 GROUP BY ALL),
+ord AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY n) - 1 AS i FROM f), spot AS (SELECT *, {SIZE} * 0.3::DOUBLE + i * {VELOCITY[0]}::DOUBLE AS px, {SIZE} * 0.7::DOUBLE + i * {VELOCITY[1]}::DOUBLE AS py FROM ord),
+cell AS (SELECT unnest([0, 1, 2]) AS c, unnest([10.0, 5.0, 3.0]::DOUBLE[]) AS a),
+grown AS (SELECT s * 3 + c AS s, day, n, x, y, ok, CAST(v + a * sg * exp(-((x - px) * (x - px) + (y - py) * (y - py)) / 4.5::DOUBLE) AS FLOAT)::DOUBLE AS v FROM nrm JOIN dev USING (s, n) JOIN spot USING (s, n) CROSS JOIN cell),
+near AS (SELECT *, list_concat(coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), coalesce(list(v) OVER (PARTITION BY s, x, y ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), [])) AS w, lag(v) OVER q AS v1, lag(ok) OVER q AS ok1 FROM grown WINDOW q AS (PARTITION BY s, x, y ORDER BY n)),
+res AS (SELECT s * 2 AS s, day, n, x, y, ok, CAST(v - list_median(w)::FLOAT AS FLOAT)::DOUBLE AS r FROM near UNION ALL SELECT s * 2 + 1, day, n, x, y, ok AND ok1, CAST(v - v1 AS FLOAT)::DOUBLE FROM near WHERE v1 IS NOT NULL),
+{_DET}"""
 SQL = {
+    "planted_recovery": f"""WITH RECURSIVE {_PLANTED}, hit2 AS (SELECT d.s, d.n, bool_or(sqrt((d.x - px) * (d.x - px) + (d.y - py) * (d.y - py)) <= 3) AS found, count(*) AS k FROM det d JOIN spot ON spot.s = d.s // 6 AND spot.n = d.n GROUP BY ALL)
+SELECT spot.s AS sequence_id, CASE m WHEN 0 THEN 'median' ELSE 'prev_diff' END AS method, a AS strength, count(*) AS n_frames, count(*) FILTER (WHERE found) AS recovered, coalesce(sum(k), 0)::BIGINT AS n_detections
+FROM spot CROSS JOIN cell CROSS JOIN (SELECT unnest([0, 1]) AS m) LEFT JOIN hit2 ON hit2.s = spot.s * 6 + c * 2 + m AND hit2.n = spot.n GROUP BY ALL""",
     "fits_roundtrip": f"""WITH {_PX} SELECT 'seq_' || s || '/' || strftime(day, '%Y%m%d') || '.fts' AS path, {SIZE} AS height, {SIZE} AS width, '<i2' AS dtype, day + s::INT * INTERVAL 1 HOUR AS ts, 'C3' AS detector, 'LASCO/C3' AS instrument,
   {EXPOSURE}::DOUBLE AS exposure_seconds, {MIDDLE}::DOUBLE AS sun_x, count(*) * 2 AS n_bytes, NULL::VARCHAR AS error, sum(raw) AS total, max(raw) AS largest FROM px GROUP BY s, day""",
     "preprocess_frames": f"""WITH {_PX}, q AS (SELECT s, day, count(*) FILTER (WHERE field) AS field_pixels, count(*) FILTER (WHERE field AND NOT ok) AS bad, sum(v) AS total, max(v) AS largest FROM nrm GROUP BY s, day)
