@@ -54,14 +54,6 @@ def test_from_files_to_candidates(spark, tmp_path, capsys):
     code, cells = said("stage", "--name", "registered", "--evaluate", "--sequence-id", str(own))
     assert code == 0 and len(cells) == 4 and all(c["error"] < 0.5 for c in cells)
     assert said("stage", "--name", "crops", "--evaluate") == (2, [])
-    document = json.loads((tmp_path / "labels.json").read_text()) | {"splits": {name: ["2024-01-01"] for name in ("train", "val", "test")}}
-    (tmp_path / "labels.json").write_text(json.dumps(document))
-    own_labels = ("--labels", str(tmp_path / "labels.json"), "--epochs", "1", "--batch-size", "1000")
-    assert said("train", *own_labels, "--test") == (2, [])
-    code, (epoch,) = said("train", *own_labels)
-    assert code == 0 and epoch["epoch"] == 1 and epoch["validation"]["n_pos"] == 1
-    code, (report, positive) = said("train", *own_labels, "--test")
-    assert report["n_total"] == len(scores) == positive["n_total"] and positive["track_id"] == best.track_id
     spark.dataSource.register(FitsDataSource)
     rows = spark.read.format("fits").load(source).collect()
     assert len(rows) == 11 and sum(r.error is not None for r in rows) == 1

@@ -1,8 +1,12 @@
 """Back-propagation against finite differences; training on planted stacks; checkpoints; ranks of positives."""
 
+import json
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 
+from trackloom.__main__ import parser, train
 from trackloom.kernels import learn, net
 from trackloom.operators import scoring, training
 from trackloom.sources import arrays
@@ -82,3 +86,21 @@ def test_errors_and_ranks(spark):
     s = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.1), ("d", None), ("e", 0.5)], "track_id string, score double")
     y = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 1), ("e", None), ("z", 1)], "track_id string, label int")
     assert sorted(tuple(r) for r in training.positive_ranks(s, y).collect()) == [("b", 0.9, 2, 4), ("c", 0.1, 3, 4), ("d", None, 4, 4)]
+
+
+def test_commands_to_train_and_to_test(spark, tmp_path, capsys):
+    tracks = [(f"seq{1 + i % 3}_a_{i:05d}", i) for i in range(24)]
+    x = planted(spark, 24).join(spark.createDataFrame([(f"t{i:04d}", name) for name, i in tracks], "track_id string, name string"), "track_id")
+    run = SimpleNamespace(spark=spark, root=str(tmp_path), crops=lambda: x.select("name", "crops", "crop_size").withColumnRenamed("name", "track_id"))
+    positives = lambda s: [name for name, i in tracks if i % 4 == 0 and i % 3 == s - 1]
+    day = lambda s: {"sequence_id": s, "positive_track_ids": positives(s)}
+    event = {"soho_number": 1, "group": "Kreutz", "cameras": ["C3"], "obs_start": "2024-01-01", "obs_end": "2024-01-03", "source_file": "f", "source_line": "l", "status": "labeled", "notes": "", "days": {f"2024-01-0{s}": day(s) for s in (1, 2, 3)}}
+    splits = {"train": ["2024-01-01"], "val": ["2024-01-02"], "test": ["2024-01-03"]}
+    (tmp_path / "labels.json").write_text(json.dumps({"label_format": "labels_v1", "events": [event], "negative_days": [], "splits": splits}))
+    words = ["train", "in", "out", "--labels", str(tmp_path / "labels.json"), "--epochs", "1"]
+    said = lambda *more: (train(run, parser().parse_args([*words, *more])), [json.loads(line) for line in capsys.readouterr().out.splitlines()])
+    assert said("--test") == (2, [])
+    code, (epoch,) = said()
+    assert code == 0 and epoch["epoch"] == 1 and (epoch["validation"]["n_total"], epoch["validation"]["n_pos"]) == (8, 2)
+    code, (report, *ranks) = said("--test")
+    assert code == 0 and (report["n_total"], report["n_pos"]) == (8, 2) and sorted(r["track_id"] for r in ranks) == positives(3)
