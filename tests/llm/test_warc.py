@@ -1,7 +1,10 @@
 import base64
+import gzip
 import hashlib
+import io
 import random
 
+import pytest
 from pyarrow import fs
 
 from trackloom.llm import warc
@@ -55,3 +58,13 @@ def test_least_length_and_hot_payload(spark):
 
 def test_empty_table(spark):
     assert go(frame(spark, []))[:2] == ([], [])
+
+
+def test_members_of_any_length_are_read_apart():
+    r = random.Random(3)
+    bodies = [r.randbytes(n) for n in (0, 1, warc.PIECE - 30, warc.PIECE, warc.PIECE + 1, 3 << 20, *(r.randrange(300) for _ in range(500)))] + [b"a" * (5 << 20)]
+    r.shuffle(bodies)
+    data = b"".join(map(gzip.compress, bodies))
+    assert list(warc.members(io.BytesIO(data))) == bodies and list(warc.members(io.BytesIO(b""))) == []
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(io.BytesIO(data[:-1])))

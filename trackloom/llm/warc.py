@@ -39,6 +39,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes of a shard on average, compressed bytes after which a file is rolled, gzip level, sampled ids a shard;
 #: and the most shards, beyond which they grow instead (the sample of ids on the driver is SAMPLED times that at most).
 SHARD_BYTES, ROLL_BYTES, LEVEL, SAMPLED, SEED, SHARDS = 16 << 20, 8 << 20, 6, 64, 7, 1 << 16
+#: Compressed bytes that the reader inflates at a time.
+PIECE = 16 << 10
 MANIFEST = "shard long, seq long, temporary string, file string, records long, bytes long, sha256 string"
 
 
@@ -194,17 +196,17 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int =
 
 
 def members(source: pa.NativeFile) -> Iterator[bytes]:
-    """Inflated gzip members of a stream, one at a time."""
-    inflate, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        data = rest or source.read(1 << 20)
-        if not data:
-            break
-        parts.append(inflate.decompress(data))
-        rest = inflate.unused_data
-        if inflate.eof:
-            yield b"".join(parts)
-            inflate, parts = zlib.decompressobj(31), []
+    """Inflated gzip members of a stream, one at a time. Bytes are fed in pieces, so what is copied behind a member's end is less than one piece."""
+    inflate, parts = zlib.decompressobj(31), []
+    while data := source.read(1 << 20):
+        view, at = memoryview(data), 0
+        while at < len(view):
+            piece = view[at : at + PIECE]
+            parts.append(inflate.decompress(piece))
+            at += len(piece) - len(inflate.unused_data)
+            if inflate.eof:
+                yield b"".join(parts)
+                inflate, parts = zlib.decompressobj(31), []
     if parts:
         raise ValueError("a record is cut off")
 
