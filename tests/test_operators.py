@@ -122,12 +122,32 @@ def test_global_rank_with_ties(spark):
 
 def test_equal_scores_are_ranked_by_several_tasks(spark):
     d = spark.range(20_000).select("id", F.lit(1.0).alias("score"))
-    x = ranking.ranked_together(d, F.col("score"), F.lit(1), "id", 8)
+    x = ranking.ranked_together(d, F.col("score"), F.lit(1), "id", parts=8)
     assert x.where("rank != id + 1 or hits != rank").count() == 0 and x.count() == 20_000
     files = spark.read.parquet(x.inputFiles()[0].rsplit("/", 1)[0]).groupBy(F.input_file_name()).count().collect()
     assert len(files) == 8 and max(r["count"] for r in files) < 5_000
 
 
+def test_a_hot_group_is_ranked_by_several_tasks(spark):
+    """One group holds two thirds of the rows, half of them with one score; others are small, one has no key."""
+    key = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 101))
+    score = F.when(F.col("id") % 2 == 0, 1.0).when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, float("nan")).otherwise(F.pmod(F.xxhash64("id"), F.lit(50)) / 10)
+    d = spark.range(20_000).select("id", key.alias("k"), score.alias("score"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    x = ranking.ranked(d, ["k"], "label", "score", "id")
+    groups = {}
+    for r in d.collect():
+        groups.setdefault(r.k, []).append(r)
+    want = {}
+    for rows in groups.values():
+        hits, known = 0, lambda r: r.score is not None and r.score == r.score
+        for n, r in enumerate(sorted(rows, key=lambda r: (not known(r), -r.score if known(r) else 0, r.id)), 1):
+            hits += r.label
+            want[r.id] = (n, hits)
+    assert {r.id: (r["rank"], r.hits) for r in x.collect()} == want
+    files = spark.read.parquet(x.inputFiles()[0].rsplit("/", 1)[0]).where("k = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 3 and max(r["count"] for r in files) < 7_000
+
+
 def test_pages_filters_details(spark):
     d = spark.createDataFrame([(1, "A_1", 0.9), (2, "b%2", None), (3, "c", 0.5)], "id int, track_id string, score double")
     assert [r.id for r in index.page(d, "id").collect()] == [1, 3, 2]

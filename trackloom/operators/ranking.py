@@ -24,32 +24,32 @@ def prf(df: DataFrame, keys: list[str], label: str, score: str, threshold: float
 
 
 def ranked(df: DataFrame, keys: list[str], label: str, score: str, tie: str) -> DataFrame:
-    """Adds ``rank`` by score, highest first, ties by ``tie``, NaN and null last; and ``hits``, positives up to there. Without keys all rows are one ranking."""
+    """Adds ``rank`` by score, highest first, ties by ``tie``, NaN and null last; and ``hits``, positives up to there. Without keys all rows are one ranking; null keys are a group."""
     known, one = F.when(~F.isnan(score), F.col(score)), F.when(F.col(label) == 1, 1).otherwise(0)
-    if not keys:
-        return ranked_together(df, known, one, tie)
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(known), tie)
-    return df.withColumns({"rank": F.row_number().over(w), "hits": F.sum(one).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked_together(df, known, one, tie, keys)
 
 
-def ranked_together(df: DataFrame, score: Column, one: Column, tie: str, parts: int | None = None) -> DataFrame:
-    """One ranking of all rows without one task that sorts them all.
+def ranked_together(df: DataFrame, score: Column, one: Column, tie: str, keys: list[str] = [], parts: int | None = None) -> DataFrame:  # noqa: B006
+    """A ranking of each group (without keys: of all rows) without one task that sorts a whole group.
 
-    Rows are dealt into ranges of (score, tie), so equal scores part as well, and are written once with their place in their
-    range. A row's rank and hits are those in its range plus the sums of the ranges before, of which there are ``parts``.
+    Rows are dealt into ranges of (keys, score, tie), so a large group and equal scores part as well, and are written once
+    with their place. A row's rank and hits are those among its group's rows in its range plus the sums of the group's
+    ranges before. Sums are a row a range and group that meet: at most ranges plus groups, so they are broadcast by hint
+    only where there are no keys.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.withColumns({"_s": score, "_one": one})
-    order = [F.desc_nulls_last("_s"), F.asc(tie)]
+    order = [*map(F.asc, keys), F.desc_nulls_last("_s"), F.asc(tie)]
+    # the id counts the rows of a partition in order below bit 33, and the partitions above
     x = stored(x.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    # the id numbers the rows of a partition in order below bit 33, and the partition above
-    x = x.withColumns({"_b": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_p"))
-    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_hits"))
-    hits = F.sum("_one").over(Window.partitionBy("_b").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_own", hits).join(F.broadcast(sums), "_b")
-    x = x.withColumns({"rank": F.col("_above") + F.col("_nth"), "hits": F.col("_hits") + F.col("_own")})
+    own = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_b", F.shiftright("_at", 33))
+    sums = x.groupBy(*keys, "_b").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("_one").alias("_p"))
+    sums = sums.select("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"), F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_hits"))
+    x = x.withColumns({"_own": F.sum("_one").over(own), "_first": F.min("_at").over(own)})
+    x = x.join(sums if keys else F.broadcast(sums), "_first")
+    x = x.withColumns({"rank": F.col("_above") + F.col("_at") - F.col("_first") + 1, "hits": F.col("_hits") + F.col("_own")})
     return x.select(*df.columns, "rank", "hits")
 
 
