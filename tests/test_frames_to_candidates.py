@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 
@@ -48,6 +49,9 @@ def test_from_files_to_candidates(spark, tmp_path, capsys):
     (tmp_path / "labels.json").write_text(json.dumps({"label_format": "labels_v1", "events": [event], "negative_days": [], "splits": {"train": ["2024-01-01"]}}))
     code, (found, split) = said("validation", "--labels", str(tmp_path / "labels.json"))
     assert found["best_track"] == best.track_id and found["sequence_pool"] == len(scores) and (split["split"], split["n_positives"], split["n_negatives"]) == ("train", 1, len(scores) - 1)
+    assert main(["validation", source, out, "--labels", str(tmp_path / "labels.json"), "--markdown"]) == 0
+    text = capsys.readouterr().out
+    assert f"over {len(scores)} scored tracks" in text and "1/1 labeled Sungrazer events" in text and "| train | 1 |" in text
     code, cells = said("stage", "--name", "detected", "--evaluate")
     assert code == 0 and {(c["sequence_id"], c["method"], c["strength"], c["n_frames"]) for c in cells} == {(own, m, s, 10) for m in ("median", "prev_diff") for s in (10.0, 5.0, 3.0)}
     assert max(c["recovered"] for c in cells) >= 6
@@ -86,3 +90,36 @@ def test_labels_are_edited_saved_and_checked(spark, tmp_path, capsys):
     assert edit("set-splits", "train=2024-05-01,2024-05-02") == 1 and "split day without data" in capsys.readouterr().out
     assert len(document()["events"]) == 1 and not list(tmp_path.glob(".*.crc"))
     assert main(["events", listed, "--group", "kreutz", "--min-days", "2"]) == 0 and json.loads(capsys.readouterr().out)["soho_number"] == 4907
+
+
+def test_crops_follow_the_tracks(spark, tmp_path):
+    """Of two sequences the track of one loses its last frame: its crops are cut anew, the other's files stay, and scores follow; without its tracks a sequence has no crops."""
+    (tmp_path / "in").mkdir()
+    for i in range(10):
+        (tmp_path / "in" / f"{i:08d}.fts").write_bytes(frame(i))
+        (tmp_path / "in" / f"{i + 20:08d}.fts").write_bytes(frame(i).replace(b"2024/01/01", b"2024/01/05"))
+    run = Run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (Path(run.root) / "crops").rglob("*.parquet")}
+    tracks = lambda x: sorted(r.track_id for r in x.select("track_id").collect())
+    first = tracks(run.crops())
+    a, b = sorted({r.sequence_id for r in run.points().select("sequence_id").collect()})
+    assert tracks(run.candidates()) == first and len(first) == 2 and run.crops().columns.count("sequence_id") == 1
+    was = files()
+    assert tracks(run.crops()) == first and files() == was
+    every = run.points().collect()
+    last = max(r.frame for r in every if r.sequence_id == a)
+
+    def replace(rows):
+        spark.createDataFrame(rows, run.points().schema).write.mode("overwrite").parquet(f"{run.root}/points")
+
+    replace([r for r in every if (r.sequence_id, r.frame) != (a, last)])
+    lengths = lambda x: {r.track_id: r.n_frames for r in x.collect()}
+    want = {t: sum(r.track_id == t and (r.sequence_id, r.frame) != (a, last) for r in every) for t in first}
+    assert lengths(run.crops()) == lengths(run.candidates()) == lengths(run.features()) == want and sum(want.values()) == len(every) - 1
+    now = files()
+    assert {p for p in was if f"sequence_id={b}" in p} == {p for p in now if f"sequence_id={b}" in p} and all(now.get(p, t) == t for p, t in was.items() if f"sequence_id={b}" in p)
+    assert not {p for p in was if f"sequence_id={a}" in p} & set(now)
+    replace([r for r in every if r.sequence_id == b])
+    assert {r.sequence_id for r in run.crops().collect()} == {b} and files() == now
+    replace(every)
+    assert tracks(run.crops()) == first == tracks(run.predictions())

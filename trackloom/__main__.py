@@ -1,4 +1,4 @@
-"""python -m trackloom COMMAND: run, sequences, stage, train, score, validation, shortlist, evidence, report, similar on a folder of frames; events, labels on documents."""
+"""python -m trackloom COMMAND: run, sequences, stage, train, score, validation, shortlist, evidence, report, similar on a folder of frames; ingest, persist on the archive; events, labels on documents."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import argparse
 import json
 import sys
 from dataclasses import asdict
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingestion
 from .functions import config_hash, sequence_of
 from .kernels import net
 from .kernels.frames import MotionConfig
@@ -19,7 +21,7 @@ from .pipeline import Config, Run
 from .schemas import FEATURES
 from .session import get_session, stored
 from .sinks.files import exists, write_document
-from .sources import arrays, documents
+from .sources import archive, arrays, documents
 
 ON_FRAMES = ("run", "sequences", "stage", "train", "score", "validation", "shortlist", "evidence", "report", "similar")
 STAGES = ("registered", "detected", "points", "features", "crops")
@@ -28,7 +30,7 @@ STAGES = ("registered", "detected", "points", "features", "crops")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="trackloom")
     sub = p.add_subparsers(dest="command", required=True)
-    of = {name: sub.add_parser(name) for name in (*ON_FRAMES, "events", "labels")}
+    of = {name: sub.add_parser(name) for name in (*ON_FRAMES, "ingest", "persist", "events", "labels")}
     for name in ON_FRAMES:
         s = of[name]
         s.add_argument("source")
@@ -49,11 +51,19 @@ def parser() -> argparse.ArgumentParser:
     of["score"].add_argument("--weights", help="folder of .npz checkpoints, one a run")
     of["score"].add_argument("--no-status", action="store_true")
     of["validation"].add_argument("--labels", required=True)
+    of["validation"].add_argument("--markdown", action="store_true", help="the summary as text")
     of["shortlist"].add_argument("--min-frames", type=int, default=8)
     of["shortlist"].add_argument("--top", type=int, default=10)
     for name in ("evidence", "report", "similar"):
         of[name].add_argument("--track-id", required=True)
     of["similar"].add_argument("--limit", type=int, default=20)
+    for name in ("ingest", "persist"):
+        of[name].add_argument("--data-root", required=True, help="folder that Spark and all executors reach")
+    of["ingest"].add_argument("--date", type=date.fromisoformat, required=True)
+    of["ingest"].add_argument("--camera", choices=archive.CAMERAS, default="c3")
+    of["ingest"].add_argument("--limit", type=int)
+    of["ingest"].add_argument("--base", nargs="+", default=list(ingestion.BASES), help="archives, the first that lists the day is taken")
+    of["persist"].add_argument("--out", help="folder of the tables; DATA_ROOT/index without")
     s = of["events"]
     s.add_argument("file")
     s.add_argument("--camera")
@@ -93,6 +103,23 @@ def events(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
+    """1 where frames failed and none came down or was there."""
+    said = ingestion.ingest_day(spark, a.date, a.camera, f"{a.data_root.rstrip('/')}/{ingestion.FOLDER}", tuple(a.base), a.limit)
+    print(json.dumps(said))
+    return int(said["failed"] > 0 and said["downloaded"] + said["skipped"] == 0)
+
+
+def persist(spark: SparkSession, a: argparse.Namespace) -> int:
+    """1 where nothing was ever fetched below the root."""
+    root = a.data_root.rstrip("/")
+    if not exists(spark, f"{root}/{ingestion.FOLDER}"):
+        print(f"{root}/{ingestion.FOLDER} is missing", file=sys.stderr)
+        return 1
+    print(json.dumps(ingestion.persist(spark, f"{root}/{ingestion.FOLDER}", a.out or f"{root}/index")))
+    return 0
+
+
 def edited(spark: SparkSession, a: argparse.Namespace) -> labels.Tables:
     if a.edit == "init":
         if exists(spark, a.file):
@@ -208,20 +235,27 @@ def score(run: Run, weights: str | None, with_status: bool) -> None:
     return lines(upserts.bands(x, "track_id", "score", "label", "status").select("track_id", "score", "status").orderBy(F.desc("score"), "track_id"))
 
 
-def validation(run: Run, path: str) -> None:
-    """Recovery of every labelled event, then the ranking quality of every split."""
+def validation(run: Run, path: str, as_text: bool) -> None:
+    """Recovery of every labelled event, then the ranking quality of every split: a line each, or the summary as text."""
     t = labels.flat(documents.labels(run.spark, path))
     scored, there = run.predictions(), run.points().select("sequence_id", "track_id").distinct()
-    lines(ranking.event_summary(t.events, t.days, t.splits, scored).orderBy("soho_number"))
-    lines(ranking.split_summary(labels.resolve(t.days, t.negatives, t.splits, there), scored).orderBy("split"))
+    found = ranking.event_summary(t.events, t.days, t.splits, scored)
+    splits = ranking.split_summary(labels.resolve(t.days, t.negatives, t.splits, there), scored)
+    if as_text:
+        print(evidence.markdown(found, splits, scored.count(), "seeded_v1"))
+        return
+    lines(found.orderBy("soho_number"))
+    lines(splits.orderBy("split"))
 
 
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     a = p.parse_args(argv)
+    if a.command == "ingest" and a.date > datetime.now(UTC).date():
+        p.error("the date lies in the future")
     spark = get_session()
-    if a.command in ("events", "labels"):
-        return {"events": events, "labels": edit_labels}[a.command](spark, a)
+    if a.command in ("ingest", "persist", "events", "labels"):
+        return {"ingest": ingest, "persist": persist, "events": events, "labels": edit_labels}[a.command](spark, a)
     if a.gap_minutes <= 0:
         p.error("the gap must be positive")
     config = Config(gap_minutes=a.gap_minutes, motion=MotionConfig(method=a.method), tracks=TracksConfig(min_track_frames=a.min_track_frames), crop_size=a.crop_size)
@@ -239,7 +273,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "score":
         score(run, a.weights, not a.no_status)
     elif a.command == "validation":
-        validation(run, a.labels)
+        validation(run, a.labels, a.markdown)
     elif a.command == "shortlist":
         lines(run.shortlist(a.min_frames, a.top))
     elif a.command == "similar":

@@ -7,10 +7,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import config_hash
+from .functions import config_hash, sequence_of
 from .kernels import net
 from .kernels.frames import MotionConfig, RegisterConfig
 from .operators import evidence, frames, scoring, sequencing, tracking, tracks, upserts
+from .session import new_path, written
+from .sinks import files
 from .sources import fits
 
 
@@ -31,7 +33,8 @@ class Config:
 class Run:
     """Stages of one configuration under ``out``; a stage that is there is read, not made again.
 
-    Tables are named by the hash of the configuration, so another configuration makes tables of its own.
+    Tables are named by the hash of the configuration, so another configuration makes tables of its own. What is made of
+    tracks (crops, features, scores, candidates) follows them where the table of track points changes.
     """
 
     def __init__(self, spark: SparkSession, source: str, out: str, config: Config = Config()):  # noqa: B008
@@ -84,13 +87,40 @@ class Run:
             p = self.points().join(tracks.epochs(self.detected(), "sequence_id", "ts"), ["sequence_id", "ts"]).join(center, "sequence_id", "left")
             return tracks.features(p, "track_id", "ts", "x", "y", "flux", "area", (F.col("cx"), F.col("cy")), "epoch")
 
-        return self.stage("features", make)
+        return self.stage_of_tracks("features", make)
+
+    def tracks_of(self) -> DataFrame:
+        """sequence_id and ``tracks``, a fingerprint of the sequence's track points that no order of rows changes."""
+        p = self.points()
+        of = F.concat_ws(":", F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64(*p.columns))))
+        return p.groupBy("sequence_id").agg(of.alias("tracks"))
 
     def crops(self) -> DataFrame:
-        return self.stage("crops", lambda: frames.crops(self.points(), self.detected(), self.config.crop_size))
+        """Crop stacks of the tracks as they are now.
+
+        A ledger says of which tracks a sequence's crops were cut. Sequences whose tracks changed since, or that are new, are
+        cut anew, the others stay as they are; crops of sequences that have no tracks any more are not read. Crops are written
+        before their entry, so a run that stops between the two cuts them again.
+        """
+        path, log, now = f"{self.root}/crops", f"{self.root}/crops_ledger", self.tracks_of()
+        made = lambda p: frames.crops(p, self.detected(), self.config.crop_size).withColumn("sequence_id", sequence_of(F.col("track_id")))
+        entries = "sequence_id long, tracks string, config_hash string, status string, recorded_at timestamp"
+        known = files.read_ledger(self.spark, log, ["sequence_id"], entries) if files.exists(self.spark, log) else self.spark.createDataFrame([], entries)
+        todo = written(files.pending(now, known, ["sequence_id", "tracks"], self.config.hash()), new_path(self.spark, "todo"))
+        if not todo.isEmpty():
+            files.write_frames(made(self.points().join(todo.select("sequence_id"), "sequence_id", "left_semi")), path)
+            files.append_ledger(todo.select("sequence_id", "tracks", F.lit(self.config.hash()).alias("config_hash"), F.lit("complete").alias("status")).coalesce(1), log)
+        schema = made(self.points()).schema
+        there = self.spark.read.schema(schema).parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        return there.join(now.select("sequence_id"), "sequence_id", "left_semi").select(*schema.names)
+
+    def stage_of_tracks(self, name: str, make) -> DataFrame:
+        """A stage whose table is named by a fingerprint of all tracks: tracks that changed give a table of their own."""
+        of = self.tracks_of().agg(F.concat_ws(":", F.count(F.lit(1)), F.hex(F.bit_xor(F.xxhash64("sequence_id", "tracks")))).alias("h")).first().h
+        return self.stage(f"{name}-{config_hash(of)}", make)
 
     def predictions(self) -> DataFrame:
-        return self.stage("predictions", lambda: scoring.score(self.crops(), net.seeded_weights(self.config.model_seed), "seeded_v1"))
+        return self.stage_of_tracks("predictions", lambda: scoring.score(self.crops(), net.seeded_weights(self.config.model_seed), "seeded_v1"))
 
     def candidates(self) -> DataFrame:
         """Tracks with score and priority."""
@@ -101,7 +131,7 @@ class Run:
             x = x.withColumns({"label": F.lit(None).cast("string"), "status": F.lit("UNRESOLVED")})
             return upserts.bands(x, "track_id", "score", "label", "status")
 
-        return self.stage("candidates", make)
+        return self.stage_of_tracks("candidates", make)
 
     def packages(self) -> DataFrame:
         runs = self.predictions().withColumn("model_version", F.lit("seeded"))

@@ -23,8 +23,9 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def read_ledger(spark, path: str, keys: list[str]) -> DataFrame:
-    return latest(spark.read.parquet(path), keys, "recorded_at")
+def read_ledger(spark: SparkSession, path: str, keys: list[str], schema: str | None = None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return latest(reader.parquet(path), keys, "recorded_at")
 
 
 def pending(work: DataFrame, ledger: DataFrame, keys: list[str], config_hash: str) -> DataFrame:

@@ -85,7 +85,7 @@ def opened(url: str, timeout_s: float = 60.0, chunk: int = 1 << 20) -> tuple[int
 
 
 def fetched(names: DataFrame, open_url: Callable[[str], tuple[int, Iterator[bytes]]], url: str, folder: str, retries: int = 3, wait_s: float = 1.0) -> DataFrame:
-    """Fetches to files of a shared folder: name, status, source_url, path, sha256, size_bytes, date_obs, error; no content.
+    """Fetches to files of a shared folder: name, status, source_url, path, sha256, size_bytes, date_obs, width, height, error; no content.
 
     A body goes chunk by chunk to a part file while its hash is kept. The part is renamed to the frame's name once its headers
     are valid and its data whole, and deleted if they are not; failures of the network are tried again from the start. So a
@@ -94,7 +94,7 @@ def fetched(names: DataFrame, open_url: Callable[[str], tuple[int, Iterator[byte
 
     folder: a path or address that pyarrow's file systems reach from every executor.
     """
-    out = "name string, status string, source_url string, path string, sha256 string, size_bytes long, date_obs string, error string"
+    out = "name string, status string, source_url string, path string, sha256 string, size_bytes long, date_obs string, width int, height int, error string"
     columns = [c.split()[0] for c in out.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +123,7 @@ def fetched(names: DataFrame, open_url: Callable[[str], tuple[int, Iterator[byte
                 if store.get_file_info(part).type != pafs.FileType.NotFound:
                     store.delete_file(part)
                 raise
-            return {"status": "complete", "path": f"{folder.rstrip('/')}/{name}", "sha256": digest.hexdigest(), "size_bytes": size, "date_obs": found["date_obs"], "error": None}
+            return {"status": "complete", "path": f"{folder.rstrip('/')}/{name}", "sha256": digest.hexdigest(), "size_bytes": size, "date_obs": found["date_obs"], "width": found["width"], "height": found["height"], "error": None}
 
         for frame in parts:
             for name in frame.name:
@@ -138,7 +138,7 @@ def fetched(names: DataFrame, open_url: Callable[[str], tuple[int, Iterator[byte
                     except OSError as e:
                         row["error"] = str(e)
                         time.sleep(wait_s * (k + 1) if k + 1 < retries else 0)
-                yield pd.DataFrame([row], columns=columns)
+                yield pd.DataFrame([row], columns=columns).astype({"width": "Int32", "height": "Int32", "size_bytes": "Int64"})
 
     return names.select("name").mapInPandas(run, out)
 
