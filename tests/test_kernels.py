@@ -136,3 +136,20 @@ def test_injected_source_is_recovered():
         found, _ = k.detect(k.residual(frames, i, k.MotionConfig()), np.ones((96, 96), bool), k.MotionConfig())
         hits += any(np.hypot(d["x"] - px, d["y"] - py) <= 3 for d in found)
     assert hits == 8
+
+
+def test_known_shifts_move_frames(spark):
+    """A lit pixel goes where the shift says, in parts where it lies between pixels; frames without a shift or not usable are left out."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import frames as fr
+
+    image, mask = np.zeros((4, 5), np.float32), np.ones((4, 5), bool)
+    image[1, 2] = 8
+    row = lambda name, dx, usable=True: (1, name, None, 4, 5, image.tobytes(), np.packbits(mask).tobytes(), usable, dx, 0.0)
+    x = spark.createDataFrame([row("a", 1.0), row("b", 0.5), row("c", -9.0), row("d", None), row("e", float("nan")), row("f", 1.0, False)], "sequence_id long, frame string, ts timestamp, height int, width int, data binary, mask binary, usable boolean, dx double, other double")
+    got = {r.frame: (fr.pixels(r.data, 4, 5), fr.mask_of(r.mask, 4, 5)) for r in fr.moved(x, F.col("dx"), F.lit(0)).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    assert got["a"][0].tolist() == np.roll(image, 1, 1).tolist() and not got["a"][1][:, 0].any() and got["a"][1][:, 1:].all()
+    assert got["b"][0][1].tolist() == [0, 0, 4, 4, 0] and not got["c"][0].any() and not got["c"][1].any()
+    assert fr.moved(x.limit(0), F.col("dx"), F.lit(0)).count() == 0

@@ -13,7 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import frames as k
@@ -79,6 +79,28 @@ def register(normalised: DataFrame, config: k.RegisterConfig = k.RegisterConfig(
     return x.mapInPandas(run, REGISTERED)
 
 
+MOVED = "sequence_id long, frame string, ts timestamp, height int, width int, data binary, mask binary, dx double, dy double"
+
+
+def moved(normalised: DataFrame, dx: Column, dy: Column) -> DataFrame:
+    """Usable frames moved by shifts that are known (pixels to the right and down, also parts of one), as ``register`` moves by those it estimates.
+
+    Between pixels values are bilinear, validity is the nearest pixel's; what comes in from outside is 0 and invalid. Frames
+    whose shift is null or NaN are left out.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                data, mask = k.apply_shift(pixels(r.data, r.height, r.width), mask_of(r.mask, r.height, r.width), r.dx, r.dy)
+                rows.append((r.sequence_id, r.frame, r.ts, r.height, r.width, data.tobytes(), np.packbits(mask).tobytes(), r.dx, r.dy))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOVED.split(", ")])
+
+    x = normalised.where("usable").select("sequence_id", "frame", "ts", "height", "width", "data", "mask", dx.cast("double").alias("dx"), dy.cast("double").alias("dy"))
+    return x.where("dx is not null and dy is not null and not isnan(dx) and not isnan(dy)").mapInPandas(run, MOVED)
+
+
 DETECTED = f"sequence_id long, frame string, ts timestamp, sigma double, detections array<{DETECTION}>"
 #: Frames that one task takes of a sequence that is split.
 SPAN = 64

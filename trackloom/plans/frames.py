@@ -88,6 +88,23 @@ def register_shift(spark, sf_dir):
     return x.select("sequence_id", "frame", "status", F.rint("dx").cast("long").alias("dx"), F.rint("dy").cast("long").alias("dy"))
 
 
+def moved_pixels(spark, sf_dir):
+    """Frames moved by known shifts in halves of a pixel: sums of values, of values by place and of valid pixels by place, and the largest value."""
+
+    def measured(parts):
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                image, valid = fr.pixels(r.data, r.height, r.width).astype(np.float64), fr.mask_of(r.mask, r.height, r.width)
+                place = 1 + np.arange(r.width) + r.width * np.arange(r.height)[:, None]
+                rows.append((r.sequence_id, r.frame, r.dx, r.dy, image.sum(), (image * place).sum(), image.max(), int((valid * place).sum())))
+            yield pd.DataFrame(rows, columns=["sequence_id", "frame", "dx", "dy", "total", "by_place", "largest", "valid_by_place"])
+
+    x = _normalised(spark, sf_dir).withColumn("n", F.datediff(F.to_date("frame", "yyyyMMdd"), F.lit(DAY0)))
+    x = fr.moved(x, (F.col("n") % 9 - 4) / 2, ((F.col("n") + F.col("sequence_id")) % 7 - 3) / 2)
+    return x.mapInPandas(measured, "sequence_id long, frame string, dx double, dy double, total double, by_place double, largest double, valid_by_place long")
+
+
 def detect_components(spark, sf_dir):
     x = fr.exploded(_detected(spark, sf_dir))
     return x.select("sequence_id", "frame", F.col("pos").cast("long").alias("pos"), "x", "y", F.array_join("bbox", ",").alias("bbox"), F.col("area").cast("long").alias("area"), "peak", "flux", "snr")
@@ -177,7 +194,7 @@ def linear_ranker(spark, sf_dir):
     return scoring.predict_linear(model, d, "user_id", "vector", "linear_v1").select("user_id", "run_id", F.round("score", 4).alias("score"))
 
 
-QUERIES = {q.__name__: q for q in (fits_roundtrip, preprocess_frames, register_shift, detect_components, planted_recovery, tracker_greedy, tracker_events, crop_cut, stack_normalise, cnn_gru_score, scoring_runs, filmstrip_png, pipeline_features, linear_ranker)}
+QUERIES = {q.__name__: q for q in (fits_roundtrip, preprocess_frames, register_shift, moved_pixels, detect_components, planted_recovery, tracker_greedy, tracker_events, crop_cut, stack_normalise, cnn_gru_score, scoring_runs, filmstrip_png, pipeline_features, linear_ranker)}
 
 _TYPES = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 _E = f"e AS (SELECT CAST(list_position({_TYPES}, event_type) AS BIGINT) AS s, CAST(ts AS DATE) AS day, CAST(CAST(ts AS DATE) - DATE '{DAY0}' AS BIGINT) AS n, event_id FROM events), f AS (SELECT DISTINCT s, day, n FROM e)"
@@ -219,6 +236,14 @@ SELECT {_FRAME}, true AS exposure_ok, false AS sun_center_missing, round_even(ba
     "register_shift": f"""WITH {_E}, p AS (SELECT *, CASE WHEN n % 11 = 5 THEN 14 ELSE (n * 3 + s) % 7 - 3 END AS sx, (n * 5 + s) % 7 - 3 AS sy FROM f),
 d AS (SELECT s, day, n, first_value(sx) OVER w - sx AS dx, first_value(sy) OVER w - sy AS dy, n = first_value(n) OVER w AS first FROM p WINDOW w AS (PARTITION BY s ORDER BY n))
 SELECT {_FRAME}, CASE WHEN first THEN 'reference' WHEN dx * dx + dy * dy > 100 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN dx * dx + dy * dy > 100 THEN 0 ELSE dx END AS dx, CASE WHEN dx * dx + dy * dy > 100 THEN 0 ELSE dy END AS dy FROM d""",
+    "moved_pixels": f"""WITH {_PX}, h AS (SELECT s, day, n, (n % 9 - 4) / 2.0::DOUBLE AS dx, ((n + s) % 7 - 3) / 2.0::DOUBLE AS dy FROM f),
+usable AS (SELECT s, n FROM nrm GROUP BY s, n HAVING count(*) FILTER (WHERE field AND NOT ok) / (count(*) FILTER (WHERE field))::DOUBLE <= 0.5), w AS (SELECT * FROM h SEMI JOIN usable USING (s, n)),
+part AS (SELECT s, n, CAST(x + floor(dx) AS BIGINT) + a AS x, CAST(y + floor(dy) AS BIGINT) + b AS y, v * abs(1 - a - (dx - floor(dx))) * abs(1 - b - (dy - floor(dy))) AS v FROM nrm JOIN w USING (s, n), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+pixel AS (SELECT s, n, x, y, sum(v) AS v FROM part WHERE x BETWEEN 0 AND {SIZE - 1} AND y BETWEEN 0 AND {SIZE - 1} GROUP BY ALL),
+valid AS (SELECT s, n, CAST(ceil(x + dx - 0.5) AS BIGINT) AS x, CAST(ceil(y + dy - 0.5) AS BIGINT) AS y FROM nrm JOIN w USING (s, n) WHERE ok),
+vs AS (SELECT s, n, sum(1 + x + {SIZE} * y)::BIGINT AS valid_by_place FROM valid WHERE x BETWEEN 0 AND {SIZE - 1} AND y BETWEEN 0 AND {SIZE - 1} GROUP BY ALL),
+ps AS (SELECT s, n, sum(v) AS total, sum(v * (1 + x + {SIZE} * y)) AS by_place, max(v) AS largest FROM pixel GROUP BY ALL)
+SELECT {_FRAME}, dx, dy, total, by_place, largest, coalesce(valid_by_place, 0) AS valid_by_place FROM w JOIN ps USING (s, n) LEFT JOIN vs USING (s, n)""",
     "detect_components": f"WITH RECURSIVE {_RES} SELECT {_FRAME}, pos, x, y, bbox, area, peak, flux, snr FROM det",
     "crop_cut": f"""WITH RECURSIVE {_CUT}, c AS (SELECT track_id, k, any_value(m) AS m, count(*) FILTER (WHERE ok) / {CROP * CROP}::DOUBLE AS share, sum(r) AS total FROM cut GROUP BY track_id, k)
 SELECT track_id, count(*) AS n_frames, {CROP}::BIGINT AS crop_size, round_even(min(share) * 1e6, 0) / 1e6 AS least_valid, sum(total) AS total, arg_min(total, k) AS first_total, arg_max(total, k) AS last_total FROM c GROUP BY track_id""",
