@@ -83,3 +83,11 @@ def test_any_change_of_a_row_is_found(spark, tmp_path):
     d = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     assert {r.verified for r in m.manifest(d, F.lit(False)).collect()} == {True}
     assert {r.verified for r in m.manifest(d, F.lit(True)).collect()} == {False}
+
+
+def test_coordinates_are_not_broadcast(spark, tmp_path):
+    """They are many to a leaf, but Spark takes them for as small as the leaves' file."""
+    rows = [(i, "s", "en", 3, f"Text {i}") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    plan = m.manifest(d, F.lit(False))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Broadcast" not in plan

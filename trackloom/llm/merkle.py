@@ -9,7 +9,8 @@ order.
 Leaves of a subtree of REGION levels are a region. Nodes below a region's top are asked for by its own leaves only;
 those above, which all leaves of a tree need, are looked up once for every region and asked for there. So no
 node is a hot key, whatever a tree's share of the rows, and what a region holds is bounded. Leaves find their
-index by ranges of (tree, key) and the sums of the ranges before.
+index by ranges of (tree, key) and the sums of the ranges before. Spark takes exploded coordinates for no larger than the
+file they stem from and would broadcast them, so joins of what grows with the leaves ask for a merge.
 
 Defined cases: null values are ``-``; rows without doc_id stand first in their tree and are never tampered with; rows
 that share a doc_id are ordered by their leaves, and equal rows are equal leaves in a place each; an empty table
@@ -118,7 +119,7 @@ def region_nodes(nodes: DataFrame, leaves: DataFrame, trees: int) -> DataFrame:
     root = F.array(F.struct(F.lit(MANIFEST).cast("long").alias("of"), F.lit(OWN_ROOT).alias("mark"), F.lit(0).alias("level"), F.col("t").alias("j")))
     asked = regions.select("t", "region", F.explode(F.concat(own, above, root)).alias("c")).select("t", "region", "c.*")
     there = nodes.select(F.col("t").alias("of"), "level", F.col("i").alias("j"), "hash")
-    return low.unionByName(asked.join(there, ["of", "level", "j"]).select("t", "region", "mark", "j", "hash"))
+    return low.unionByName(asked.hint("merge").join(there, ["of", "level", "j"]).select("t", "region", "mark", "j", "hash"))
 
 
 def proofs(leaves: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
@@ -126,7 +127,7 @@ def proofs(leaves: DataFrame, nodes: DataFrame, trees: int) -> DataFrame:
     at = F.concat(sibling_coordinates(F.col("i"), F.col("n")), sibling_coordinates(F.col("t"), F.lit(trees).cast("long"), 0, TOP))
     at = F.concat(F.transform(at, lambda c: F.struct(c["mark"].alias("mark"), c["j"].alias("j"))), F.array(F.struct(F.lit(OWN_ROOT).alias("mark"), F.col("t").alias("j"))))
     asked = leaves.select("t", "i", up(F.col("i"), F.lit(REGION)).alias("region"), F.explode(at).alias("c")).select("t", "i", "region", "c.*")
-    found = asked.join(region_nodes(nodes, leaves, trees), ["t", "region", "mark", "j"])
+    found = asked.hint("merge").join(region_nodes(nodes, leaves, trees), ["t", "region", "mark", "j"])
     return found.groupBy("t", "i").agg(F.array_sort(F.collect_list(F.struct("mark", "j", "hash"))).alias("proof"))
 
 
@@ -156,7 +157,7 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     top = all_nodes(stored(subroots, "subroots"))
     last = top.where("n = 1").first()
     root = F.lit(last.hash.hex() if last else None).cast("string")
-    x = leaves.join(proofs(leaves, nodes.unionByName(top), trees), ["t", "i"])
+    x = leaves.hint("merge").join(proofs(leaves, nodes.unionByName(top), trees), ["t", "i"])
     siblings = F.filter("proof", lambda p: p["mark"] != OWN_ROOT)
     own = F.filter("proof", lambda p: p["mark"] == OWN_ROOT)[0]["hash"]
     x = x.withColumn("again", folded(F.coalesce("changed", "leaf"), trees))
