@@ -166,6 +166,8 @@ pos AS (SELECT user_id, day, dm, track_id FROM ev WHERE event_type = 'purchase'
 days AS (SELECT user_id, day, dm, count(*) FILTER (WHERE value > 120) AS npos FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2, 3),
 neg AS (SELECT DISTINCT day, dm FROM ev WHERE event_type = 'error' AND value < 1),
 spl AS (SELECT DISTINCT day, CASE WHEN dm <= 15 THEN 'train' WHEN dm <= 22 THEN 'val' ELSE 'test' END AS split FROM ev)"""
+# with track ids as ``format_string`` makes them: at least five digits, none cut off
+_IDS = _LAB.replace("lpad(CAST(event_id AS VARCHAR), 5, '0')", "printf('%05d', event_id)")
 _RESOLVED = """ds AS (SELECT * FROM days JOIN spl USING (day)), exc AS (SELECT DISTINCT split, dm FROM ds WHERE npos = 0), p AS (SELECT split, track_id FROM pos JOIN spl USING (day)),
 used AS (SELECT split, dm FROM ds UNION SELECT split, dm FROM neg JOIN spl USING (day)),
 n AS (SELECT u.split, ev.track_id FROM used u JOIN ev ON ev.dm = u.dm WHERE NOT EXISTS (SELECT 1 FROM exc WHERE exc.split = u.split AND exc.dm = u.dm) AND NOT EXISTS (SELECT 1 FROM p WHERE p.split = u.split AND p.track_id = ev.track_id))"""
@@ -195,7 +197,7 @@ UNION ALL SELECT 'neighbouring days in different splits', a.day, a.split || '/'
     "negative_overlap": f"WITH {_LAB} SELECT day, 'C3' AS camera FROM neg WHERE day IN (SELECT day FROM days WHERE user_id % 2 = 1)",
     "label_status": """WITH x AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND source > 'src5')
 SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'comet' WHEN d.source IN (SELECT source FROM x) THEN 'excluded' END AS label, CASE WHEN l.toxic = 1 THEN 'KNOWN_COMET' ELSE 'UNRESOLVED' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""",
-    "event_attribution": f"""WITH {_LAB}, f AS (SELECT dm, user_id, day, row_number() OVER (PARTITION BY dm ORDER BY user_id, dm) AS nth FROM days WHERE npos = 0)
+    "event_attribution": f"""WITH {_IDS}, f AS (SELECT dm, user_id, day, row_number() OVER (PARTITION BY dm ORDER BY user_id, day) AS nth FROM days WHERE npos = 0)
 SELECT ev.track_id, ev.dm AS sequence_id, CAST(coalesce(pos.user_id, f.user_id) AS INTEGER) AS soho_number, CASE WHEN pos.user_id IS NOT NULL THEN 'confirmed_positive' WHEN f.user_id IS NOT NULL THEN 'unrecovered_event_day' END AS relation, coalesce(pos.day, f.day) AS day
 FROM ev LEFT JOIN pos USING (track_id) LEFT JOIN f ON f.dm = ev.dm AND nth = 1""",
     "knn_zscore": f"""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM v GROUP BY 1),
