@@ -180,7 +180,7 @@ SQL = {
     "ranking_global": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS global_rank FROM orders",
     "event_recovery": f"WITH {_REC} SELECT * FROM e",
     "recovery_totals": f"WITH {_REC} SELECT count(*) AS n_events, count(*) FILTER (WHERE recovered) AS n_recovered, count(*) FILTER (WHERE sequence_rank <= 10) AS n_top10_in_sequence FROM e",
-    "split_resolve": f"""WITH {_LAB}, {_RESOLVED}
+    "split_resolve": f"""WITH {_IDS}, {_RESOLVED}
 SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n""",
     "validation_events": f"""WITH {_LAB}, sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, track_id) AS g, row_number() OVER (PARTITION BY dm ORDER BY score DESC, track_id) AS sr, count(*) OVER (PARTITION BY dm) AS sp FROM sc),
 x AS (SELECT user_id, track_id, score, g, sr, sp, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(score, '-infinity'::DOUBLE) DESC, coalesce(g, 0), track_id) AS nth, count(*) OVER (PARTITION BY user_id) AS np FROM pos LEFT JOIN rk USING (track_id)),
