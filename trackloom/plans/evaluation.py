@@ -182,7 +182,7 @@ SQL = {
     "recovery_totals": f"WITH {_REC} SELECT count(*) AS n_events, count(*) FILTER (WHERE recovered) AS n_recovered, count(*) FILTER (WHERE sequence_rank <= 10) AS n_top10_in_sequence FROM e",
     "split_resolve": f"""WITH {_IDS}, {_RESOLVED}
 SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n""",
-    "validation_events": f"""WITH {_LAB}, sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, track_id) AS g, row_number() OVER (PARTITION BY dm ORDER BY score DESC, track_id) AS sr, count(*) OVER (PARTITION BY dm) AS sp FROM sc),
+    "validation_events": f"""WITH {_IDS}, sc AS ({_SCORES}), rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, track_id) AS g, row_number() OVER (PARTITION BY dm ORDER BY score DESC, track_id) AS sr, count(*) OVER (PARTITION BY dm) AS sp FROM sc),
 x AS (SELECT user_id, track_id, score, g, sr, sp, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(score, '-infinity'::DOUBLE) DESC, coalesce(g, 0), track_id) AS nth, count(*) OVER (PARTITION BY user_id) AS np FROM pos LEFT JOIN rk USING (track_id)),
 d AS (SELECT user_id, count(*) AS days, string_agg(DISTINCT split, '/' ORDER BY split) AS splits FROM days LEFT JOIN spl USING (day) GROUP BY 1)
 SELECT CAST(d.user_id AS INTEGER) AS soho_number, 'Kreutz' AS "group", coalesce(splits, 'unsplit') AS splits, days, np IS NOT NULL AS recovered, coalesce(np, 0) AS n_positive_tracks, track_id AS best_track, {R("score", 4)} AS best_fusion, g AS global_rank, sr AS sequence_rank, sp AS sequence_pool, (SELECT count(*) FROM sc) AS global_pool
