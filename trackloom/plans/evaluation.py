@@ -187,7 +187,7 @@ x AS (SELECT user_id, track_id, score, g, sr, sp, row_number() OVER (PARTITION B
 d AS (SELECT user_id, count(*) AS days, string_agg(DISTINCT split, '/' ORDER BY split) AS splits FROM days LEFT JOIN spl USING (day) GROUP BY 1)
 SELECT CAST(d.user_id AS INTEGER) AS soho_number, 'Kreutz' AS "group", coalesce(splits, 'unsplit') AS splits, days, np IS NOT NULL AS recovered, coalesce(np, 0) AS n_positive_tracks, track_id AS best_track, {R("score", 4)} AS best_fusion, g AS global_rank, sr AS sequence_rank, sp AS sequence_pool, (SELECT count(*) FROM sc) AS global_pool
 FROM d LEFT JOIN x ON x.user_id = d.user_id AND nth = 1""",
-    "validation_splits": f"""WITH {_LAB}, sc AS ({_SCORES}), {_RESOLVED}, u2 AS (SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n), r AS (SELECT split, label, score, row_number() OVER w AS k, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM u2 LEFT JOIN sc USING (track_id) WINDOW w AS (PARTITION BY split ORDER BY score DESC NULLS LAST, track_id)),
+    "validation_splits": f"""WITH {_IDS}, sc AS ({_SCORES}), {_RESOLVED}, u2 AS (SELECT split, track_id, 1 AS label FROM p UNION ALL SELECT split, track_id, 0 FROM n), r AS (SELECT split, label, score, row_number() OVER w AS k, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM u2 LEFT JOIN sc USING (track_id) WINDOW w AS (PARTITION BY split ORDER BY score DESC NULLS LAST, track_id)),
 q AS (SELECT split, sum(label) AS np, count(*) AS nt, count(*) FILTER (WHERE score IS NULL) AS miss, sum(hits / k::DOUBLE) FILTER (WHERE label = 1) AS ap, count(*) FILTER (WHERE label = 1 AND k <= 10) AS t10, count(*) FILTER (WHERE label = 1 AND k <= 50) AS t50, count(*) FILTER (WHERE label = 1 AND k <= 250) AS t250 FROM r GROUP BY 1)
 SELECT split, np::BIGINT AS n_positives, (nt - np)::BIGINT AS n_negatives, miss AS n_missing_scores, {R("coalesce(ap / nullif(np, 0), 0)", 4)} AS ap, {R("t10 / least(10, nt)::DOUBLE", 4)} AS p_at_10, {R("coalesce(t50 / nullif(np, 0)::DOUBLE, 0)", 4)} AS r_at_50, {R("coalesce(t250 / nullif(np, 0)::DOUBLE, 0)", 4)} AS r_at_250 FROM q""",
     "split_leakage": f"""WITH {_LAB}, dd AS (SELECT day FROM days UNION SELECT day FROM neg)
