@@ -42,6 +42,40 @@ def test_first_come_takes_what_one_pass_takes(n):
     assert sorted(tracking.first_come(i, j).tolist()) == want
 
 
+@pytest.mark.parametrize("seed", range(24))
+def test_rings_link_what_all_pairs_in_order_link(seed):
+    """Places that many share, equal distances, and places alone; also where rings are narrow."""
+    r = np.random.default_rng(seed)
+    n, m = int(r.integers(1, 150)), int(r.integers(1, 150))
+    draw = [lambda k: r.integers(0, 4, (k, 2)) * 3.0, lambda k: r.integers(-9, 9, (k, 2)) / 4, lambda k: r.normal(0, 5, (k, 2))][seed % 3]
+    a, b = draw(n), draw(m)
+    a[n // 2 :], b[m // 2 :] = a[: n - n // 2], b[: m - m // 2]
+    a[0], b[-1] = np.nan, np.inf
+    a[1:2] = -0.0
+    a, b = a[r.permutation(n)], b[r.permutation(m)]
+    reach = [0.0, 3.0, 5.0, 100.0][seed % 4]
+    d, i, j = tracking.pairs_within(a, b, reach)
+    at = tracking.first_come(i, j)
+    want = sorted(zip(d[at].tolist(), i[at].tolist(), j[at].tolist(), strict=True))
+    for many in (1, 50, 200_000):
+        assert sorted(zip(*(x.tolist() for x in tracking.matched(a, b, reach, many)), strict=True)) == want
+
+
+@pytest.mark.parametrize("places", [30, 8000])
+def test_crowded_frames_do_not_measure_all_pairs(places):
+    """8,000 detections a frame within reach of each other: all pairs are 64 million a frame."""
+    r = np.random.default_rng(places)
+    at = r.random((places, 2))[np.arange(8000) % places] * 20
+    tracker = tracking.Tracker(tracking.TracksConfig(max_link_px=40.0))
+    tracemalloc.start()
+    for k in range(3):
+        tracker.step(720.0 * k, at + 0.001 * k, list(range(len(at))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert sum(len(t.rows) == 3 for t in tracker.open) == 8000
+
+
 def test_a_hundred_thousand_detections_in_a_frame():
     """A dense matrix of a frame would take 80 GB; pairs within reach take a few hundred MB."""
     r = np.random.default_rng(1)

@@ -1,12 +1,15 @@
 """Greedy multi-frame association of detections into tracks.
 
 A sequence streams past its tracker frame by frame, so what a task holds are the open tracks and one frame. Pairs
-of a frame's detections and expected places are found by a grid of cells as wide as a link may be long: only
-detections of a place's own cell and the eight around it are measured, never all of a frame.
+of a frame's detections and expected places are found by a grid of cells: only detections of a place's own cell and
+the eight around it are measured, never all of a frame. Where many lie within a link's reach of each other, pairs are
+looked for in growing rings, and what an inner ring links is not measured again; detections and tracks that share a place
+are measured once.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,6 +97,74 @@ def first_come(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate([*kept, np.array(rest, np.int64)]).astype(np.int64)
 
 
+def places_of(a: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The finite places of ``a``, each once, and the rows that lie at each, in order."""
+    at = np.flatnonzero(np.isfinite(a).all(axis=1))
+    at = at[np.lexsort((at, a[at, 1], a[at, 0]))]
+    x = a[at]
+    starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)][: len(x)])
+    return x[starts], np.split(at, starts[1:]) if len(x) else []
+
+
+def candidates(a: np.ndarray, b: np.ndarray, reach: float) -> int:
+    """How many pairs of the places ``pairs_within`` would measure."""
+    width = reach * (1 + 1e-6) if reach > 0 else 1.0
+    own, other = np.floor(a / width), np.sort(cell_keys(np.floor(b / width)))
+    keys = np.concatenate([cell_keys(own + np.array(step) - 1) for step in np.ndindex(3, 3)])
+    return int((np.searchsorted(other, keys, "right") - np.searchsorted(other, keys)).sum())
+
+
+def linked_at_once(left: dict[int, list[int]], right: dict[int, list[int]], near: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows at places that are all equally far apart: by the left row, each with the first right row that is left. Rows leave ``left`` and ``right``, last first."""
+    heap = [(left[g][-1], g) for g in near if left[g]]
+    heapq.heapify(heap)
+    while heap:
+        i, g = heapq.heappop(heap)
+        there = [h for h in near[g] if right[h]]
+        if there:
+            left[g].pop()
+            yield i, right[min(there, key=lambda h: right[h][-1])].pop()
+            if left[g]:
+                heapq.heappush(heap, (left[g][-1], g))
+
+
+def matched(a: np.ndarray, b: np.ndarray, reach: float, many: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, i, j) of the pairs that stay when all places a[i], b[j] at most ``reach`` apart are taken nearest first, then by i and j, and each takes its two sides away from all later ones.
+
+    A ring's radius is halved until about ``many`` pairs are measured. What is left of an inner ring has no pair in it.
+    """
+    (pa_, rows_a), (pb, rows_b) = places_of(a), places_of(b)
+    left, right = ({g: r[::-1].tolist() for g, r in enumerate(rows)} for rows in (rows_a, rows_b))
+    out, inner = [], -1.0
+    while left and right and inner < reach:
+        gl, gr = np.fromiter(left, np.int64), np.fromiter(right, np.int64)
+        x, y, radius = pa_[gl], pb[gr], reach
+        if len(gl) * len(gr) > many:
+            while radius / 2 > max(inner, reach * 2.0**-30) and candidates(x, y, radius) > many:
+                radius /= 2
+        d, i, j = pairs_within(x, y, radius)
+        i, j, inner = gl[i], gr[j], radius
+        if all(len(left[g]) == 1 for g in gl.tolist()) and all(len(right[h]) == 1 for h in gr.tolist()):
+            fi, fj = np.array([left[g][0] for g in gl.tolist()]), np.array([right[h][0] for h in gr.tolist()])
+            ri, rj = fi[np.searchsorted(gl, i)], fj[np.searchsorted(gr, j)]
+            order = np.lexsort((rj, ri, d))
+            order = order[first_come(ri[order], rj[order])]
+            out += zip(d[order].tolist(), ri[order].tolist(), rj[order].tolist(), strict=True)
+            for g, h in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                left[g], right[h] = [], []
+        else:
+            edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1], True]).tolist() if len(d) else []
+            d, i, j = d.tolist(), i.tolist(), j.tolist()
+            for at, end in zip(edges, edges[1:], strict=False):
+                near: dict[int, list[int]] = {}
+                for k in range(at, end):
+                    if left[i[k]] and right[j[k]]:
+                        near.setdefault(i[k], []).append(j[k])
+                out += ((d[at], *p) for p in linked_at_once(left, right, near))
+        left, right = {g: r for g, r in left.items() if r}, {h: r for h, r in right.items() if r}
+    return tuple(np.array([p[c] for p in out], kind) for c, kind in enumerate((float, np.int64, np.int64)))
+
+
 class Tracker:
     """State machine over frames in time order. Its state is what a stream has to keep."""
 
@@ -104,9 +175,8 @@ class Tracker:
         """Links the nearest pairs of expected and found places first, one to one; ages the rest; opens tracks for what is left."""
         c, linked, used = self.config, set(), set()
         if self.open and len(places):
-            d, i, j = pairs_within(expected(self.open, now), places, c.max_link_px)
-            at = first_come(i, j)
-            for apart, track, place in zip(d[at].tolist(), i[at].tolist(), j[at].tolist(), strict=True):
+            d, i, j = matched(expected(self.open, now), places, c.max_link_px)
+            for apart, track, place in zip(d.tolist(), i.tolist(), j.tolist(), strict=True):
                 linked.add(track)
                 used.add(place)
                 t = self.open[track]
