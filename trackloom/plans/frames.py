@@ -42,9 +42,8 @@ def fits_files(spark, sf_dir, shifted=False):
         image = 200 + (u * u * v * 7 + v * v * u * 13 + u * 73 + v * 151 + s * 17) % 257 + (x * 5 + y * 11 + n * 7 + s * 3 + x * y * n) % 7
         if not shifted:
             lit = np.zeros((SIZE, SIZE + 1), np.int64)
-            ex, ey, amount = 4 + part.event_id * 7919 % 40, 4 + part.event_id * 104729 % 40, 160 + 16 * (part.event_id % 5)
             for right in (0, 1):
-                np.add.at(lit, (ey, ex + right), amount)
+                np.add.at(lit, (part.ey, part.ex + right), part.amount)
             m = n % 20
             lit[6 + m : 8 + m, 4 + 2 * m : 6 + 2 * m] += 1440
             image = np.where((x * y + n) % 97 == 0, 0, image + np.minimum(lit[:, :SIZE], 8000))
@@ -52,7 +51,10 @@ def fits_files(spark, sf_dir, shifted=False):
         return pd.DataFrame({"path": [f"seq_{s}/{day:%Y%m%d}.fts"], "content": [fits.write_image(image.astype(np.int16), header)]})
 
     e = table(spark, sf_dir, "events")
-    x = e.select(_sequence(F.col("event_type")).alias("sequence_id"), F.to_date("ts").alias("day"), "event_id")
+    # events are summed by pixel first, so a frame's group is as large as its field at most, however many events it has
+    pixel = lambda factor: F.lit(4) + F.pmod(F.pmod("event_id", F.lit(40)) * factor, F.lit(40))
+    x = e.groupBy(_sequence(F.col("event_type")).alias("sequence_id"), F.to_date("ts").alias("day"), pixel(7919).alias("ex"), pixel(104729).alias("ey"))
+    x = x.agg(F.sum(F.lit(160) + F.pmod("event_id", F.lit(5)) * 16).alias("amount"))
     return x.groupBy("sequence_id", "day").applyInPandas(make, "path string, content binary")
 
 
