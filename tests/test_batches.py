@@ -82,3 +82,18 @@ def test_frames_beyond_the_lateness_are_left_out(spark, tmp_path):
     existing = spark.createDataFrame([], "sequence_id long, instrument string, start_time timestamp, end_time timestamp")
     got = streamed(spark, tmp_path, [[(1, 0)], [(2, 600)], [(3, 650)], [(4, 30)], [(5, 9000)], [(6, 99_000)]], existing, "1 hour")
     assert got == [(1, None, 1), (2, None, 2), (3, None, 2), (5, None, 1)]
+
+
+def test_frames_that_wait_take_few_bytes():
+    """A day's state holds its frames as two numbers each; as objects they took more than a hundred bytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 200_000
+    times, ids = pd.Series(pd.date_range("2024-01-01", periods=n, freq="100ms")), pd.Series(range(n))
+    tracemalloc.start()
+    x = incremental.arrived(times, ids)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20 * n and x[1].tolist() == [1_704_067_200_100_000, 1]
