@@ -27,7 +27,7 @@ class TracksConfig:
     min_track_frames: int = 5
 
 
-@dataclass
+@dataclass(slots=True)
 class Open:
     """A track that may go on: its first and last point, how often it was missed, its rows and residuals."""
 
@@ -128,11 +128,21 @@ def linked_at_once(left: dict[int, list[int]], right: dict[int, list[int]], near
                 heapq.heappush(heap, (left[g][-1], g))
 
 
-def matched(a: np.ndarray, b: np.ndarray, reach: float, many: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matched(a: np.ndarray, b: np.ndarray, reach: float, many: int = 200_000, few: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance, i, j) of the pairs that stay when all places a[i], b[j] at most ``reach`` apart are taken nearest first, then by i and j, and each takes its two sides away from all later ones.
 
-    A ring's radius is halved until about ``many`` pairs are measured. What is left of an inner ring has no pair in it.
+    Of few places all pairs are measured at once. Else a ring's radius is halved until about ``many`` pairs are measured.
+    What is left of an inner ring has no pair in it.
     """
+    if len(a) * len(b) <= few:
+        left, right = (np.flatnonzero(np.isfinite(x).all(axis=1)) for x in (a, b))
+        x, y = a[left], b[right]
+        d = np.hypot(x[:, None, 0] - y[:, 0], x[:, None, 1] - y[:, 1]).ravel()
+        near = np.flatnonzero(d <= reach)
+        near = near[np.argsort(d[near], kind="stable")]
+        i, j = np.divmod(near, max(1, len(y)))
+        kept = first_come(i, j)
+        return d[near[kept]], left[i[kept]], right[j[kept]]
     (pa_, rows_a), (pb, rows_b) = places_of(a), places_of(b)
     left, right = ({g: r[::-1].tolist() for g, r in enumerate(rows)} for rows in (rows_a, rows_b))
     out, inner = [], -1.0
