@@ -1,23 +1,28 @@
 """Frames as rows: normalise, register, subtract, detect, crop. Pixels travel as binary and never beyond the detection step.
 
 A frame row holds one frame; what a frame needs of others is brought to it by a join (the sequence's reference) or
-by streaming its sequence past a window of a few frames, so no task holds a whole day of frames. Spark cuts the rows that
-it hands to Python at 64 MB.
+by streaming its sequence past a window of a few frames, so no task holds a whole day of frames. Python takes and gives
+rows in slices of some megabytes.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import frames as k
 from ..schemas import DETECTION
+from ..slices import map_rows
+
+#: What a frame keeps as its pixels change.
+SAME = ("sequence_id", "frame", "ts", "height", "width")
+
 
 def pixels(data: bytes, height: int, width: int, kind: str = "<f4") -> np.ndarray:
     return np.frombuffer(data, kind).reshape(int(height), int(width))
@@ -29,18 +34,15 @@ NORMALISED = "sequence_id long, frame string, ts timestamp, height int, width in
 def preprocess(raw: DataFrame, **own) -> DataFrame:
     """Raw frames (sequence_id, frame, ts, height, width, dtype, data, detector, exposure_seconds, sun_x, sun_y, plate_scale_arcsec) to normalised ones with quality."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                some = lambda v: None if v is None or pd.isna(v) else float(v)
-                center = None if some(r.sun_x) is None or some(r.sun_y) is None else (float(r.sun_x), float(r.sun_y))
-                data, mask, qa = k.preprocess(pixels(r.data, r.height, r.width, r.dtype), some(r.exposure_seconds), center, some(r.plate_scale_arcsec), k.PreprocessConfig.for_detector(r.detector or "", **own))
-                rows.append({"sequence_id": r.sequence_id, "frame": r.frame, "ts": r.ts, "height": r.height, "width": r.width, "data": data.tobytes(), "mask": np.packbits(mask).tobytes(), "sun_x": r.sun_x, "sun_y": r.sun_y, **qa})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NORMALISED.split(", ")])
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            some = lambda v: None if v is None or math.isnan(v) else float(v)
+            center = None if some(r["sun_x"]) is None or some(r["sun_y"]) is None else (r["sun_x"], r["sun_y"])
+            data, mask, qa = k.preprocess(pixels(r["data"], r["height"], r["width"], r["dtype"]), some(r["exposure_seconds"]), center, some(r["plate_scale_arcsec"]), k.PreprocessConfig.for_detector(r["detector"] or "", **own))
+            yield {c: r[c] for c in (*SAME, "sun_x", "sun_y")} | {"data": data.tobytes(), "mask": np.packbits(mask).tobytes(), **qa}
 
     columns = ["sequence_id", "frame", "ts", "height", "width", "dtype", "data", "detector", "exposure_seconds", "sun_x", "sun_y", "plate_scale_arcsec"]
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns).mapInPandas(run, NORMALISED)
+    return map_rows(raw.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns), run, NORMALISED)
 
 
 def mask_of(data: bytes, height: int, width: int) -> np.ndarray:
@@ -60,23 +62,20 @@ REGISTERED = "sequence_id long, frame string, ts timestamp, height int, width in
 def register(normalised: DataFrame, config: k.RegisterConfig = k.RegisterConfig()) -> DataFrame:  # noqa: B008
     """Usable frames moved onto their sequence's reference. Status: reference, ok, or failed (as it was, left out downstream)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                data, mask = pixels(r.data, r.height, r.width), mask_of(r.mask, r.height, r.width)
-                if r.frame == r.reference:
-                    found = {"dx": 0.0, "dy": 0.0, "response": 1.0, "status": "reference"}
-                elif (r.height, r.width) != (r.reference_height, r.reference_width):
-                    found = {"dx": 0.0, "dy": 0.0, "response": 0.0, "status": "failed"}
-                else:
-                    data, mask, found = k.register(pixels(r.reference_data, r.height, r.width), data, mask, config)
-                rows.append({"sequence_id": r.sequence_id, "frame": r.frame, "ts": r.ts, "height": r.height, "width": r.width, "data": data.tobytes(), "mask": np.packbits(mask).tobytes(), **{c: found[c] for c in ("dx", "dy", "response", "status")}})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in REGISTERED.split(", ")])
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            data, mask = pixels(r["data"], r["height"], r["width"]), mask_of(r["mask"], r["height"], r["width"])
+            if r["frame"] == r["reference"]:
+                found = {"dx": 0.0, "dy": 0.0, "response": 1.0, "status": "reference"}
+            elif (r["height"], r["width"]) != (r["reference_height"], r["reference_width"]):
+                found = {"dx": 0.0, "dy": 0.0, "response": 0.0, "status": "failed"}
+            else:
+                data, mask, found = k.register(pixels(r["reference_data"], r["height"], r["width"]), data, mask, config)
+            yield {c: r[c] for c in SAME} | {"data": data.tobytes(), "mask": np.packbits(mask).tobytes(), **{c: found[c] for c in ("dx", "dy", "response", "status")}}
 
     ref = reference_frames(normalised).select("sequence_id", F.col("frame").alias("reference"), F.col("data").alias("reference_data"), F.col("height").alias("reference_height"), F.col("width").alias("reference_width"))
     x = normalised.where("usable").select("sequence_id", "frame", "ts", "height", "width", "data", "mask").join(ref, "sequence_id")
-    return x.mapInPandas(run, REGISTERED)
+    return map_rows(x, run, REGISTERED)
 
 
 MOVED = "sequence_id long, frame string, ts timestamp, height int, width int, data binary, mask binary, dx double, dy double"
@@ -89,16 +88,13 @@ def moved(normalised: DataFrame, dx: Column, dy: Column) -> DataFrame:
     whose shift is null or NaN are left out.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                data, mask = k.apply_shift(pixels(r.data, r.height, r.width), mask_of(r.mask, r.height, r.width), r.dx, r.dy)
-                rows.append((r.sequence_id, r.frame, r.ts, r.height, r.width, data.tobytes(), np.packbits(mask).tobytes(), r.dx, r.dy))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MOVED.split(", ")])
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            data, mask = k.apply_shift(pixels(r["data"], r["height"], r["width"]), mask_of(r["mask"], r["height"], r["width"]), r["dx"], r["dy"])
+            yield {c: r[c] for c in (*SAME, "dx", "dy")} | {"data": data.tobytes(), "mask": np.packbits(mask).tobytes()}
 
     x = normalised.where("usable").select("sequence_id", "frame", "ts", "height", "width", "data", "mask", dx.cast("double").alias("dx"), dy.cast("double").alias("dy"))
-    return x.where("dx is not null and dy is not null and not isnan(dx) and not isnan(dy)").mapInPandas(run, MOVED)
+    return map_rows(x.where("dx is not null and dy is not null and not isnan(dx) and not isnan(dy)"), run, MOVED)
 
 
 DETECTED = f"sequence_id long, frame string, ts timestamp, sigma double, detections array<{DETECTION}>"
@@ -138,19 +134,6 @@ def windows(rows: Iterable[dict], before: int, after: int) -> Iterator[tuple[dic
         yield given()
 
 
-def together(rows: Iterable[dict], many: int = 64, size: int = 1 << 24) -> Iterator[pd.DataFrame]:
-    """Rows as frames of at most ``many`` rows, cut where their residuals pass ``size`` bytes."""
-    held, taken = [], 0
-    for r in rows:
-        held.append(r)
-        taken += len(r.get("residual", b""))
-        if len(held) == many or taken >= size:
-            yield pd.DataFrame(held)
-            held, taken = [], 0
-    if held:
-        yield pd.DataFrame(held)
-
-
 def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), residuals: bool = False, span: int | None = None) -> DataFrame:  # noqa: B008
     """Detections of each frame against the median of its neighbours (or the frame before); ``residuals`` adds height, width, residual and mask.
 
@@ -165,8 +148,7 @@ def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), res
     before, after = (config.window // 2, config.window // 2) if median else (1, 0)
     schema = DETECTED + (", height int, width int, residual binary, mask binary" if residuals else "")
 
-    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        rows = (r for part in parts for r in part.to_dict("records"))
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
         for (sequence, _), members in groupby(rows, key=lambda r: (r["sequence_id"], r["span"])):
             seen = n = 0
             for r, near in windows(members, before, after):
@@ -191,7 +173,7 @@ def detect(registered: DataFrame, config: k.MotionConfig = k.MotionConfig(), res
         near = spans(x.select("sequence_id", "frame"), span, before, after)
         x = x.join(near, "sequence_id").where("frame between low and high").withColumn("own", F.expr("frame between first and last"))
         x = x.drop("first", "last", "low", "high").repartition("sequence_id", "span")
-    return x.sortWithinPartitions("sequence_id", "span", "frame").mapInPandas(lambda parts: together(rows_of(parts)), schema)
+    return map_rows(x.sortWithinPartitions("sequence_id", "span", "frame"), run, schema)
 
 
 def exploded(detected: DataFrame) -> DataFrame:
@@ -205,19 +187,16 @@ def crops(points: DataFrame, residual_frames: DataFrame, size: int = 32) -> Data
     Points meet their frame's residual once; frames that were not registered drop out, tracks without any frame as well.
     """
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.to_dict("records"):
-                res, mask = pixels(r["residual"], r["height"], r["width"]), mask_of(r["mask"], r["height"], r["width"])
-                for p in r["points"]:
-                    image, share = k.crop(res, mask, p["x"], p["y"], size)
-                    rows.append((p["track_id"], p["seq"], r["frame"], p["x"], p["y"], image.tobytes(), share))
-            yield pd.DataFrame(rows, columns=["track_id", "seq", "frame", "x", "y", "crop", "valid_fraction"])
+    def cut(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            res, mask = pixels(r["residual"], r["height"], r["width"]), mask_of(r["mask"], r["height"], r["width"])
+            for p in r["points"]:
+                image, share = k.crop(res, mask, p["x"], p["y"], size)
+                yield {"track_id": p["track_id"], "seq": p["seq"], "frame": r["frame"], "x": p["x"], "y": p["y"], "crop": image.tobytes(), "valid_fraction": share}
 
     by_frame = points.groupBy("sequence_id", "frame").agg(F.collect_list(F.struct("track_id", "seq", "x", "y")).alias("points"))
     x = residual_frames.select("sequence_id", "frame", "height", "width", "residual", "mask").join(by_frame, ["sequence_id", "frame"])
-    c = x.mapInPandas(cut, "track_id string, seq int, frame string, x double, y double, crop binary, valid_fraction double")
+    c = map_rows(x, cut, "track_id string, seq int, frame string, x double, y double, crop binary, valid_fraction double")
     g = c.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame", "x", "y", "crop", "valid_fraction"))).alias("a"))
     joined = F.unhex(F.array_join(F.transform("a", lambda p: F.hex(p["crop"])), ""))  # one buffer, not one a crop
     return g.select("track_id", F.size("a").alias("n_frames"), F.lit(size).alias("crop_size"), joined.alias("crops"), F.col("a.valid_fraction").alias("valid_fractions"), F.col("a.frame").alias("frames"), F.transform("a", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("positions"))
@@ -226,21 +205,21 @@ def crops(points: DataFrame, residual_frames: DataFrame, size: int = 32) -> Data
 def totals(frames: DataFrame, keys: list[str]) -> DataFrame:
     """The keys of each frame (height, width, dtype, data) with the sum and the largest of its pixels."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            images = [pixels(d, h, w, kind).astype(np.float64) for d, h, w, kind in zip(part.data, part.height, part.width, part.dtype, strict=True)]
-            yield part[keys].assign(total=[x.sum() for x in images], largest=[x.max(initial=-np.inf) for x in images])
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            image = pixels(r["data"], r["height"], r["width"], r["dtype"]).astype(np.float64)
+            yield {c: r[c] for c in keys} | {"total": image.sum(), "largest": image.max(initial=-np.inf)}
 
     kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
-    return frames.select(*keys, "height", "width", "dtype", "data").mapInPandas(run, f"{kinds}, total double, largest double")
+    return map_rows(frames.select(*keys, "height", "width", "dtype", "data"), run, f"{kinds}, total double, largest double")
 
 
 def stack_totals(stacks: DataFrame) -> DataFrame:
     """track_id with the sums of all its crops, of the first and of the last one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sums = [np.frombuffer(c, "<f4").reshape(-1, n * n).sum(axis=1, dtype=np.float64) for c, n in zip(part.crops, part.crop_size, strict=True)]
-            yield pd.DataFrame({"track_id": part.track_id, "total": [x.sum() for x in sums], "first_total": [x[0] for x in sums], "last_total": [x[-1] for x in sums]})
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            x = np.frombuffer(r["crops"], "<f4").reshape(-1, r["crop_size"] ** 2).sum(axis=1, dtype=np.float64)
+            yield {"track_id": r["track_id"], "total": x.sum(), "first_total": x[0], "last_total": x[-1]}
 
-    return stacks.select("track_id", "crops", "crop_size").mapInPandas(run, "track_id string, total double, first_total double, last_total double")
+    return map_rows(stacks.select("track_id", "crops", "crop_size"), run, "track_id string, total double, first_total double, last_total double")

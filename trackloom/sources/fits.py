@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import observation_time
 from ..kernels import fits
+from ..slices import map_rows
 
 FRAME = "path string, height int, width int, dtype string, data binary, date_obs string, telescope string, detector string, instrument string, exposure_seconds double, filter_name string, polarizer string, sun_x double, sun_y double, plate_scale_arcsec double, roll_deg double, binning_x int, binning_y int, header map<string,string>, error string"
 NAMES = [c.split()[0] for c in FRAME.split(", ")]
@@ -28,11 +29,12 @@ def decoded(path: str, content: bytes) -> dict:
 def decode(files: DataFrame) -> DataFrame:
     """(path, content) to frames with ``ts``; files that hold no frame, or whose time cannot be read, carry an error."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([decoded(p, bytes(c)) for p, c in zip(part.path, part.content, strict=True)], columns=NAMES)
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
+        for r in rows:
+            d = decoded(r["path"], r["content"])
+            yield d | {"header": None if d["header"] is None else list(d["header"].items())}
 
-    x = files.select("path", "content").mapInPandas(run, FRAME).withColumn("ts", observation_time(F.col("date_obs")))
+    x = map_rows(files.select("path", "content"), run, FRAME).withColumn("ts", observation_time(F.col("date_obs")))
     return x.withColumn("error", F.coalesce("error", F.when(F.col("ts").isNull(), "unparseable observation time")))
 
 
